@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from stratalog.llm.linededup import OP8_SQL, op8_line_dedup
 from stratalog.llm.neardup import op9_minhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op9_minhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op8_line_dedup, op9_minhash_near_dedup)}
 
 #: Queries that no SQL here expresses are held against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL}

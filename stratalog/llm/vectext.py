@@ -35,6 +35,8 @@ def coefficients(seed: int, n: int = _PERIOD) -> np.ndarray:
 
 _COEF = {seed: coefficients(seed) for seed in (1, 2)}
 _POW = {seed: coefficients(seed + 77, 4096) | U64(1) for seed in (1, 2)}
+for _power in _POW.values():
+    _power[0] = 1
 
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
