@@ -12,9 +12,10 @@ with a chance of 4e-9.
 Whole links without all pairs of a group: texts with one shingle set are one class. Each class is
 checked against the least class of each of its buckets; verified links are contracted to
 components. What can still be missing are links between classes of one bucket that are in different
-components. Those classes alone enter an exact prefix-filter join: shingles are ordered by how many
-of these classes have them, and two sets with a Jaccard of s or more share one among the first
-n - ceil(s n) + 1 of each. No pair inside one component is made, and no bucket is capped.
+components. In some rounds, each class of such a bucket that is outside its largest component is
+checked against a changing member of that component, and links are contracted again. What is left
+in buckets of more than one component is checked pair by pair, across components only. No bucket is
+capped, and no pair inside one component is made.
 """
 
 from __future__ import annotations
@@ -26,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
 from stratalog.llm import vectext as V
 from stratalog.llm.common import documents, materialize
 from stratalog.llm.components import components
 
 ROWS_PER_BAND, BANDS = 6, 64
+PROBES = 4
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64((1 << 52) - 1)
 
@@ -166,19 +167,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     def verified(pairs: DataFrame) -> DataFrame:
         left, right = grams.select(F.col("node").alias("a"), F.col("grams").alias("ga")), grams.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
         same = F.size(F.array_intersect("ga", "gb"))
-        return pairs.join(left, "a").join(right, "b").where(100 * same >= percent * (F.size("ga") + F.size("gb") - same)).select("a", "b")
+        return pairs.join(left, "a").join(right, "b").where(100 * same >= percent * (F.size("ga") + F.size("gb") - same)).drop("ga", "gb")
 
     near = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     size_of = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
     stars = members.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"), F.col("n").alias("na")).distinct()
-    links = materialize(verified(stars.join(size_of, "b").where(near).select("a", "b")), "links")
-    roots = components(links)
-
-    placed = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_ = materialize(placed.join(mixed, "key", "left_semi").select("node", "n", "root").distinct(), "open")
-    links = links.union(verified(_prefix_pairs(open_, grams, percent)))
-    roots = components(links)
+    roots = components(materialize(verified(stars.join(size_of, "b").where(near).select("a", "b")), "links"))
+
+    def still_mixed() -> DataFrame:
+        placed = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+        mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        return materialize(placed.join(mixed, "key", "left_semi"), "open")
+
+    def contracted(new: DataFrame) -> DataFrame:
+        joined = components(new.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("to"))
+        old = roots.join(joined, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        alone = joined.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("to").alias("root"))
+        return materialize(old.union(alone), "roots")
+
+    open_ = still_mixed()
+    for k in range(PROBES):
+        new = materialize(verified(_probe_pairs(open_, k).where(near)), "links")
+        if new.isEmpty():
+            break
+        roots = contracted(new)
+        open_ = still_mixed()
+    new = materialize(verified(_cross_pairs(open_, classes).where(near)), "links")
+    if not new.isEmpty():
+        roots = contracted(new)
 
     component = classes.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root"))
     out = table.select("doc_id", "n_shingles", "s1", "s2").join(component, ["s1", "s2"], "left")
@@ -186,21 +202,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _prefix_pairs(nodes: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of ``nodes`` (node, n, root) in different roots whose prefixes by rarity share a shingle."""
-    each = materialize(nodes.join(grams, "node").select("node", "n", "root", F.explode("grams").alias("gram")), "grams")
-    counts = each.groupBy("gram").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    ranked = each.join(counts, "gram").withColumn("rank", F.row_number().over(W.partitionBy("node").orderBy("df", "gram")))
-    prefix = ranked.where(f"rank <= n - ceil(n * {percent} / 100.0D) + 1 and lo < hi").select("gram", "node", "n", "root")
-    prefix = materialize(prefix, "prefixes")
-    # of each shingle's components the largest is met by the others only, never by itself
-    sizes = prefix.groupBy("gram", "root").agg(F.count("*").alias("c"))
-    major = sizes.groupBy("gram").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count("*").alias("roots")).where("roots > 1")
-    held = prefix.join(major, "gram")
-    minor = held.where("root <> major").select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    other = held.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), (F.col("root") == F.col("major")).alias("top"))
-    pairs = minor.join(other, "gram").where(f"ra <> rb and (top or a < b) and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+def _majors(nodes: DataFrame, center: F.Column) -> DataFrame:
+    """Per bucket its largest component, and a member of it by ``center``."""
+    sizes = nodes.groupBy("key", "root").agg(F.count("*").alias("c"), F.min_by(F.struct("node", "n"), center).alias("center"))
+    return sizes.groupBy("key").agg(F.max_by(F.struct("root", "center"), F.struct("c", "root")).alias("major")).select("key", F.col("major.root").alias("major"), F.col("major.center").alias("center"))
+
+
+def _probe_pairs(nodes: DataFrame, k: int) -> DataFrame:
+    """Each class outside its bucket's largest component with one member of that component, another in each round."""
+    held = nodes.join(_majors(nodes, F.xxhash64("node", F.lit(k))), "key").where("root <> major")
+    return held.select(F.col("node").alias("a"), F.col("center.node").alias("b"), F.col("n").alias("na"), F.col("center.n").alias("nb"), F.col("root").alias("ra"), F.col("major").alias("rb")).distinct()
+
+
+def _cross_pairs(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """Every pair of one bucket across components, made in the first bucket that the two share.
+
+    Of a bucket's components the largest is met by the others only, never by itself.
+    """
+    held = nodes.join(_majors(nodes, F.col("node")), "key").join(classes.select("node", "bands"), "node")
+    minor = held.where("root <> major").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("bands").alias("ka"))
+    other = held.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("bands").alias("kb"), (F.col("root") == F.col("major")).alias("top"))
+    at = F.get(F.array_intersect("ka", "kb"), F.lit(0))
+    return minor.join(other, (minor.key == other.key) & (F.col("ra") != F.col("rb")) & (F.col("top") | (F.col("a") < F.col("b"))) & (at == minor.key)).select("a", "b", "na", "nb", "ra", "rb").distinct()
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
