@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from stratalog.llm.decontam import op6_benchmark_decontamination
 from stratalog.llm.langid import op5_language_id
 from stratalog.llm.linededup import OP8_SQL, op8_line_dedup
 from stratalog.llm.neardup import op9_minhash_near_dedup
 from stratalog.llm.packing import op7_packing
 from stratalog.llm.tokens import op4_token_ids
 
-QUERIES = {f.__name__: f for f in (op4_token_ids, op5_language_id, op7_packing, op8_line_dedup, op9_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op4_token_ids, op5_language_id, op6_benchmark_decontamination, op7_packing, op8_line_dedup, op9_minhash_near_dedup)}
 
 #: Queries that no SQL here expresses are held against brute force in tests/llm.
 ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL}
