@@ -1,23 +1,88 @@
-"""The corpus pipeline: documents through the stages, each written and read again."""
+"""The corpus pipeline: documents through language ID, line dedup, near dedup, decontamination and packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. Stages but the
+last return the columns of documents; n_chars is the length of the text as the stage leaves it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stratalog.llm.common import materialize
+from stratalog.llm.common import discard, materialize
+from stratalog.llm.decontam import find_leaks
+from stratalog.llm.langid import identify, train_on
+from stratalog.llm.linededup import drop_common_lines
+from stratalog.llm.neardup import near_duplicates
+from stratalog.llm.packing import pack
 from stratalog.session import ship
 
-STAGES: list = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+CARRIED = ("doc_id", "lang", "source", "n_chars")
+#: A document goes if less than this share of its letters is in its main language.
+MIN_LANGUAGE_SHARE = 0.2
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter (null and empty texts too) and those without a main language."""
+    ship(spark)
+    found = identify(docs, train_on(docs), carry=CARRIED, with_spans=False)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SHARE)).select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the lines that at least 10 documents have; every document stays."""
+    ship(spark)
+    kept = drop_common_lines(docs, min_docs=10, min_chars=1, carry=("doc_id", "lang", "source"))
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (five-word shingles, similarity 0.8): the one with the least doc_id."""
+    ship(spark)
+    kept = near_duplicates(docs, words=5, percent=80).where("kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    kept = materialize(kept, "kept")
+    out = docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").select(*COLUMNS)
+    if not kept.where("rows > 1 and doc_id is not null").isEmpty():
+        alone = docs.join(kept.where("rows = 1 or doc_id is null"), docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").select(*COLUMNS)
+        again = docs.join(kept.where("rows > 1 and doc_id is not null"), "doc_id", "left_semi").select(*COLUMNS)
+        out = alone.union(again.dropDuplicates(["doc_id"]))
+    return out
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, copied or edited, go."""
+    ship(spark)
+    found = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=CARRIED)
+    return found.where(F.size("hits") == 0).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of at most 4096 token ids; one row per piece, with its ids."""
+    ship(spark)
+    return pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
 #: No SQL expresses a trained language model, sketches or alignments; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
+    """All stages in order, each but the last written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, name)
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        out = materialize(out, name)
+        discard(docs)
+        docs = out
     return docs

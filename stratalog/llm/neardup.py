@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalog.llm import vectext as V
-from stratalog.llm.common import documents, materialize
+from stratalog.llm.common import discard, documents, materialize
 from stratalog.llm.components import components
 
 ROWS_PER_BAND, BANDS = 6, 64
@@ -191,12 +191,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
         if new.isEmpty():
             break
         roots = contracted(new)
+        discard(open_)
         open_ = still_mixed()
     new = materialize(verified(_cross_pairs(open_, classes).where(near)), "links")
     if not new.isEmpty():
         roots = contracted(new)
 
-    component = classes.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root"))
+    component = materialize(classes.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root")), "components")
+    for done in (classes, shared, members, grams, open_, roots):
+        discard(done)
     out = table.select("doc_id", "n_shingles", "s1", "s2").join(component, ["s1", "s2"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
