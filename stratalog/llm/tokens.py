@@ -12,11 +12,11 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,26 +26,15 @@ from pyspark.sql.window import Window as W
 from stratalog.llm import vectext as V
 from stratalog.llm.common import documents, new_path, shuffle_width
 
-CACHED_WORDS = 600_000
-
-
-class _Words(dict):
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word):
-        at = self[word] = len(self)
-        self.new.append(word)
-        return at
+CACHED_WORDS = 1_200_000
 
 
 class Encoder:
     """Encodes texts with a tokenizers file, without special tokens.
 
     ``by_word``: the tokenizer drops white space and joins nothing across it, so a text's ids are
-    its words' ids in order; every word is then encoded once and remembered (at most
-    ``CACHED_WORDS`` words, then the memory starts anew).
+    its words' ids in order; every word is then encoded once and remembered. Beyond
+    ``CACHED_WORDS`` words those seen once only are forgotten, or all if that is not enough.
     """
 
     def __init__(self, path: str, by_word: bool = True):
@@ -57,7 +46,22 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.words, self.pool, self.n_pool, self.starts, self.n_words = _Words(), np.zeros(1 << 16, np.uint32), 0, np.zeros(1 << 16, np.int64), 0
+        self.words, self.pool, self.n_pool, self.starts, self.n_words = {}, np.zeros(1 << 16, np.uint32), 0, np.zeros(1 << 16, np.int64), 0
+        self.seen = np.zeros(1 << 16, np.int32)
+
+    def _thin(self) -> None:
+        kept = np.flatnonzero(self.seen[: self.n_words] > 1)
+        if len(kept) > CACHED_WORDS * 3 // 4:
+            return self._forget()
+        names = list(self.words)
+        first = self.starts[kept]
+        n = self.starts[kept + 1] - first
+        end = np.cumsum(n)
+        self.pool = self.pool[np.arange(int(end[-1]) if len(end) else 0) + np.repeat(first - (end - n), n)]
+        self.words = dict(zip(map(names.__getitem__, kept.tolist()), range(len(kept)), strict=True))
+        self.n_pool, self.n_words = len(self.pool), len(kept)
+        self.pool, self.starts = np.append(self.pool, np.zeros(1 << 16, np.uint32)), np.concatenate([[0], end, np.zeros(1 << 16, np.int64)])
+        self.seen = np.concatenate([np.ones(len(kept), np.int32), np.zeros(1 << 16, np.int32)])
 
     def _learn(self, new: list[str]) -> None:
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
@@ -67,31 +71,40 @@ class Encoder:
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while self.n_words + len(new) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        while self.n_words + len(new) > len(self.seen):
+            self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
         self.pool[self.n_pool : self.n_pool + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.starts[self.n_words + 1 : self.n_words + 1 + len(new)] = self.n_pool + np.cumsum(n)
         self.n_pool += total
         self.n_words += len(new)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and how many each text has."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a string column (null: empty) in order, and how many each text has."""
+        texts = texts.fill_null("")
         if not self.by_word:
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast([x or "" for x in texts], add_special_tokens=False)]
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             n = np.fromiter(map(len, ids), np.int64, len(ids))
             return np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum())), n
         if len(self.words) > CACHED_WORDS:
-            self._forget()
-        split = [(x or "").replace("\n", " ").split(" ") for x in texts]
-        per_text = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, int(per_text.sum()))
-        if self.words.new:
-            self._learn(self.words.new)
-            self.words.new = []
+            self._thin()
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        per_text = pc.list_value_length(split).to_numpy()
+        coded = split.flatten().dictionary_encode()
+        listed = coded.dictionary.to_pylist()
+        known = np.fromiter(map(self.words.get, listed, repeat(-1)), np.int64, len(listed))
+        if len(new := np.flatnonzero(known < 0)):
+            known[new] = np.arange(self.n_words, self.n_words + len(new))
+            names = list(map(listed.__getitem__, new.tolist()))
+            self.words.update(zip(names, known[new].tolist(), strict=True))
+            self._learn(names)
+        at = known[coded.indices.to_numpy()]
+        self.seen[: self.n_words] += np.bincount(at, minlength=self.n_words).astype(np.int32)
         first = self.starts[at]
         n = self.starts[at + 1] - first
         end = np.cumsum(n)
         ids = self.pool[np.arange(int(end[-1]) if len(end) else 0) + np.repeat(first - (end - n), n)]
         before = np.concatenate([[0], end])
-        edge = np.concatenate([[0], np.cumsum(per_text)])
+        edge = np.concatenate([[0], np.cumsum(per_text, dtype=np.int64)])
         return ids, np.diff(before[edge])
 
 
@@ -110,10 +123,10 @@ def encoder(path: str, by_word: bool = True) -> Encoder:
     return _encoders[path, by_word]
 
 
-def slices(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, list]]:
-    """Rows of a string column in lists of about ``limit`` bytes."""
+def slices(column: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """A string column in slices of about ``limit`` bytes, with the number of each one's first row."""
     for b in V.blocks(column, limit):
-        yield b.first, column.slice(b.first, len(b.starts)).to_pylist()
+        yield b.first, column.slice(b.first, len(b.starts))
 
 
 def with_end(ids: np.ndarray, n: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,14 +186,15 @@ def read_tokens(spark: SparkSession, path: str, first: int | None = None, last:
         store = store.where(F.col("doc_id") >= first)
     if last is not None:
         store = store.where(F.col("doc_id") <= last)
-    return store.join(offsets, "part").withColumn("start", F.col("before") + F.col("local_start")).drop("before")
+    # one row per part: as many as the store has files
+    return store.join(F.broadcast(offsets), "part").withColumn("start", F.col("before") + F.col("local_start")).drop("before")
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         tokens = batch.column(3)
         values = tokens.flatten().to_numpy().astype("<u4")
-        ends = np.cumsum(pa.compute.list_value_length(tokens).to_numpy())
+        ends = np.cumsum(pc.list_value_length(tokens).to_numpy())
         crc = [zlib.crc32(memoryview(values[a:b])) for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)] if len(ends) else []
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
