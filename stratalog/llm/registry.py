@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from stratalog.llm.chat import OP1_SQL, op1_chat_formatting
 from stratalog.llm.decontam import op6_benchmark_decontamination
 from stratalog.llm.langid import op5_language_id
 from stratalog.llm.linededup import OP8_SQL, op8_line_dedup
@@ -12,7 +13,7 @@ from stratalog.llm.quality_rules import op10_quality_rules
 from stratalog.llm.sharding import op3_sharding
 from stratalog.llm.tokens import op4_token_ids
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_sharding, op4_token_ids, op5_language_id, op6_benchmark_decontamination, op7_packing, op8_line_dedup, op9_minhash_near_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_classifier, op3_sharding, op4_token_ids, op5_language_id, op6_benchmark_decontamination, op7_packing, op8_line_dedup, op9_minhash_near_dedup, op10_quality_rules)}
 
 #: Queries that no SQL here expresses are held against brute force in tests/llm.
-ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op8_line_dedup": OP8_SQL}
