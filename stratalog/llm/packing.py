@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm.common import documents
-from stratalog.llm.tokens import encoder, slices, with_end
+from stratalog.llm.tokens import encoder, slices
 
 CAPACITY = 4096
 BLOCK_BYTES = 4 << 20
@@ -80,7 +80,7 @@ def _pack(tokenizer: str, by_word: bool, end_id: int, capacity: int, piece: int,
         if isinstance(text, pa.ChunkedArray):
             text = pa.concat_arrays(text.chunks)
         tool = encoder(tokenizer, by_word)
-        parts = [with_end(*tool.encode(texts), end_id) for _, texts in slices(text)]
+        parts = [tool.encode(texts, end_id) for _, texts in slices(text)]
         ids, n = np.concatenate([x for x, _ in parts]).astype("<u4"), np.concatenate([x for _, x in parts])
         base = np.cumsum(n) - n
         whole, rest = n // capacity, n % capacity

@@ -26,7 +26,7 @@ from pyspark.sql.window import Window as W
 from stratalog.llm import vectext as V
 from stratalog.llm.common import documents, new_path, shuffle_width
 
-CACHED_WORDS = 1_200_000
+CACHED_WORDS = 900_000
 
 
 class Encoder:
@@ -43,6 +43,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = by_word
+        letters = "ABC DEFGH IJKLMNO PQRSTUVWXYZ"
+        #: The tokenizer itself lower-cases: A-Z may be folded before words are looked up.
+        self.folds = self.tokenizer.encode(letters, add_special_tokens=False).ids == self.tokenizer.encode(letters.lower(), add_special_tokens=False).ids
+        #: It also parts words from a stop or comma behind them, so these may be words of their own.
+        self.parts = all(self.tokenizer.encode("est" + x, add_special_tokens=False).ids == self.tokenizer.encode("est " + x, add_special_tokens=False).ids for x in ".,")
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -63,12 +69,15 @@ class Encoder:
         self.pool, self.starts = np.append(self.pool, np.zeros(1 << 16, np.uint32)), np.concatenate([[0], end, np.zeros(1 << 16, np.int64)])
         self.seen = np.concatenate([np.ones(len(kept), np.int32), np.zeros(1 << 16, np.int32)])
 
+    def _room(self, more: int) -> None:
+        while self.n_pool + more > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(1 << 20, np.uint32)])
+
     def _learn(self, new: list[str]) -> None:
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         n = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(n.sum())
-        while self.n_pool + total > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self._room(total)
         while self.n_words + len(new) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
         while self.n_words + len(new) > len(self.seen):
@@ -78,13 +87,19 @@ class Encoder:
         self.n_pool += total
         self.n_words += len(new)
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a string column (null: empty) in order, and how many each text has."""
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a string column (null: empty) in order, each text's followed by ``end_id`` if given, and how many each text has."""
         texts = texts.fill_null("")
         if not self.by_word:
+            end = [] if end_id is None else [end_id]
             ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            ids = [x + end for x in ids]
             n = np.fromiter(map(len, ids), np.int64, len(ids))
             return np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum())), n
+        if self.folds and not any(pc.any(pc.match_substring(texts, x, ignore_case=True)).as_py() for x in self.special):
+            texts = pc.ascii_lower(texts)
+        if self.parts:
+            texts = pc.replace_substring_regex(texts, r"(\pL)([.,])([ \n]|$)", r"\1 \2\3")
         if len(self.words) > CACHED_WORDS:
             self._thin()
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
@@ -99,10 +114,17 @@ class Encoder:
             self._learn(names)
         at = known[coded.indices.to_numpy()]
         self.seen[: self.n_words] += np.bincount(at, minlength=self.n_words).astype(np.int32)
-        first = self.starts[at]
-        n = self.starts[at + 1] - first
+        first, last = self.starts[at], self.starts[at + 1]
+        if end_id is not None:
+            # the end id stands in the pool behind all words
+            self._room(1)
+            self.pool[self.n_pool] = end_id
+            place = np.cumsum(per_text)
+            first, last = np.insert(first, place, self.n_pool), np.insert(last, place, self.n_pool + 1)
+            per_text = per_text + 1
+        n = last - first
         end = np.cumsum(n)
-        ids = self.pool[np.arange(int(end[-1]) if len(end) else 0) + np.repeat(first - (end - n), n)]
+        ids = self.pool[np.arange(int(end[-1]) if len(end) else 0, dtype=np.int32) + np.repeat((first - (end - n)).astype(np.int32), n)]
         before = np.concatenate([[0], end])
         edge = np.concatenate([[0], np.cumsum(per_text, dtype=np.int64)])
         return ids, np.diff(before[edge])
@@ -123,27 +145,22 @@ def encoder(path: str, by_word: bool = True) -> Encoder:
     return _encoders[path, by_word]
 
 
-def slices(column: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, pa.Array]]:
+def slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
     """A string column in slices of about ``limit`` bytes, with the number of each one's first row."""
     for b in V.blocks(column, limit):
         yield b.first, column.slice(b.first, len(b.starts))
 
 
-def with_end(ids: np.ndarray, n: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Every text's ids followed by ``end_id``."""
-    return np.insert(ids, np.cumsum(n), np.uint32(end_id)), n + 1
-
-
 def _encode(path: str, by_word: bool, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, part, before = encoder(path, by_word), TaskContext.get().partitionId(), 0
         for batch in batches:
             for first, texts in slices(batch.column(1)):
-                ids, n = with_end(*tool.encode(texts), end_id)
+                ids, n = tool.encode(texts, end_id)
                 start = before + np.cumsum(n) - n
                 before += int(n.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(n)), pa.array(np.full(len(n), part, np.int32)), pa.array(start), pa.array(n), V.arrow_list(ids.astype(np.int32), n, pa.int32())],
+                    [batch.column(0).slice(first, len(n)), pa.array(np.full(len(n), part, np.int32)), pa.array(start), pa.array(n), V.arrow_list(ids.view(np.int32), n, pa.int32())],
                     names=["doc_id", "part", "local_start", "n_tokens", "tokens"],
                 )
 
