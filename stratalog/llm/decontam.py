@@ -96,6 +96,9 @@ class Block:
         edges = np.searchsorted(self.where[order, 0], np.arange(len(self.seqs) + 1))
         for a, z in zip(edges[:-1], edges[1:], strict=True):
             at = order[a:z]
+            at = at[df[gram[at]] > 0]  # others are in no document
+            if not len(at):
+                continue
             f = df[gram[at]]
             seed[at[f <= 2 * np.median(f)]] = True
             for i in range(0, max(1, len(f) - WINDOW + 1)):
