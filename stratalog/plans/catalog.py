@@ -2,41 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+from stratalog.plans import queries_media, queries_stats, queries_tags, queries_text
+from stratalog.plans.registry import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query(
-    "longest_streak",
-    """
-    WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS ad FROM events),
-    r AS (SELECT user_id, ad, ad - CAST(row_number() OVER (PARTITION BY user_id ORDER BY ad) AS INTEGER) AS island FROM d),
-    s AS (SELECT user_id, island, count(*) AS days, min(ad) AS first_day, max(ad) AS last_day FROM r GROUP BY user_id, island)
-    SELECT user_id, days, first_day, last_day FROM (
-      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY days DESC, first_day) AS k FROM s) WHERE k = 1
-    """,
-)
-def longest_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("ad")).distinct()
-    island = F.date_sub("ad", F.row_number().over(W.partitionBy("user_id").orderBy("ad")))
-    runs = days.withColumn("island", island).groupBy("user_id", "island").agg(F.count("*").alias("days"), F.min("ad").alias("first_day"), F.max("ad").alias("last_day"))
-    k = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("days"), "first_day"))
-    return runs.withColumn("k", k).where("k = 1").select("user_id", "days", "first_day", "last_day")
+__all__ = ["ORACLES", "QUERIES", "queries_media", "queries_stats", "queries_tags", "queries_text"]
