@@ -145,6 +145,7 @@ def _grams(b: V.Block, words: int):
 
 def _document_frequency(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        V.release()
         block: Block = sent.value
         total = np.zeros(len(block.grams), np.int64)
         for batch in batches:
@@ -163,6 +164,7 @@ def _search(sent, carried: int, more: bool, kind: pa.DataType, min_score: float)
     hit = pa.struct([("item_id", kind), ("score", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        V.release()
         block: Block = sent.value
         for batch in batches:
             text = batch.column(carried)

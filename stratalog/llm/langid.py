@@ -164,6 +164,7 @@ _SPAN = pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int6
 
 def _label(sent, carried: int, with_spans: bool, switch: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        V.release()
         model: Model = sent.value
         k = len(model.langs)
         for batch in batches:

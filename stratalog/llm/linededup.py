@@ -124,13 +124,14 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [int(pdf.shard.iloc[0])], "arrays": [index.to_bytes()]})
 
 
-_loaded: dict = {}
+_loaded = V.kept()
 
 
 def _probe(shards, n_shards: int, min_docs: int, carried: int, marked: bool, last: bool):
     """Columns in: carried ones, text, and marks if ``marked``. Out: carried ones, text, marks; with ``last`` n_lines and n_dropped in their place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        V.release(_loaded)
         if _loaded.get("of") != shards.value["token"]:
             _loaded.clear()
             _loaded.update(of=shards.value["token"], index={k: LineIndex.from_bytes(v) for k, v in shards.value["arrays"].items()})

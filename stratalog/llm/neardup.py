@@ -110,6 +110,7 @@ def _digest(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _sketched(width: int, rows: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        V.release()
         for batch in batches:
             ids = batch.column(0)
             for first, values, lengths in shingle_sets(batch.column(1), width):
@@ -179,31 +180,41 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     stars = members.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"), F.col("n").alias("na")).groupBy("a", "b", "na").agg(F.count("*").alias("k")).where("k > 1")
     roots = components(materialize(verified(stars.join(size_of, "b").where(near).select("a", "b")), "links"))
 
-    def still_mixed() -> DataFrame:
-        placed = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    def still_mixed(placed: DataFrame) -> DataFrame:
         mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
         return materialize(placed.join(mixed, "key", "left_semi"), "open")
 
-    def contracted(new: DataFrame) -> DataFrame:
-        joined = components(new.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("to"))
-        old = roots.join(joined, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        alone = joined.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("to").alias("root"))
-        return materialize(old.union(alone), "roots")
+    def contraction(new: DataFrame) -> DataFrame:
+        joined = components(new.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        return materialize(joined.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("to")), "contraction")
+
+    def moved(placed: DataFrame, steps: DataFrame) -> DataFrame:
+        return placed.join(steps, "root", "left").withColumn("root", F.coalesce("to", "root")).select(*placed.columns)
+
+    # from here on only classes of mixed buckets are touched, fewer each round
+    open_ = still_mixed(members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")))
+    steps: list[DataFrame] = []
+
+    def linked(pairs: DataFrame) -> bool:
+        new = materialize(verified(pairs.where(near)), "links")
+        found = not new.isEmpty()
+        if found:
+            steps.append(contraction(new))
+        discard(new)
+        return found
 
-    open_ = still_mixed()
     for k in range(PROBES):
-        new = materialize(verified(_probe_pairs(open_, k).where(near)), "links")
-        if new.isEmpty():
+        if not linked(_probe_pairs(open_, k)):
             break
-        roots = contracted(new)
-        discard(open_)
-        open_ = still_mixed()
-    new = materialize(verified(_cross_pairs(open_, classes).where(near)), "links")
-    if not new.isEmpty():
-        roots = contracted(new)
-
-    component = materialize(classes.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root")), "components")
-    for done in (classes, shared, members, grams, open_, roots):
+        old, open_ = open_, still_mixed(moved(open_, steps[-1]))
+        discard(old)
+    linked(_cross_pairs(open_, classes))
+    of = classes.select("s1", "s2", "node").join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root"))
+    for step in steps:
+        of = moved(of, step)
+
+    component = materialize(of, "components")
+    for done in (classes, shared, members, grams, open_, *steps):
         discard(done)
     out = table.select("doc_id", "n_shingles", "s1", "s2").join(component, ["s1", "s2"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

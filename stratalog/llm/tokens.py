@@ -26,7 +26,7 @@ from pyspark.sql.window import Window as W
 from stratalog.llm import vectext as V
 from stratalog.llm.common import documents, new_path, shuffle_width
 
-CACHED_WORDS = 900_000
+CACHED_WORDS = 700_000
 
 
 class Encoder:
@@ -130,11 +130,12 @@ class Encoder:
         return ids, np.diff(before[edge])
 
 
-_encoders: dict = {}
+_encoders = V.kept()
 
 
 def encoder(path: str, by_word: bool = True) -> Encoder:
     """This worker's encoder for a file; a bare name is one of the public tokenizers' files."""
+    V.release(_encoders)
     if (path, by_word) not in _encoders:
         found = path
         if os.sep not in path:
@@ -208,6 +209,7 @@ def read_tokens(spark: SparkSession, path: str, first: int | None = None, last:
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    V.release()
     for batch in batches:
         tokens = batch.column(3)
         values = tokens.flatten().to_numpy().astype("<u4")

@@ -47,6 +47,21 @@ IS_PUNCT = np.ones(256, bool)
 IS_PUNCT[48:58] = IS_PUNCT[65:91] = IS_PUNCT[97:123] = IS_PUNCT[128:] = False
 
 
+#: What workers keep between tasks; an operator drops what others have kept.
+KEPT: list[dict] = []
+
+
+def kept() -> dict:
+    KEPT.append({})
+    return KEPT[-1]
+
+
+def release(own: dict | None = None) -> None:
+    for cache in KEPT:
+        if cache is not own:
+            cache.clear()
+
+
 class Block(NamedTuple):
     """Rows ``first`` to ``first + len(starts)`` of a column: their bytes, and each row's start and end."""
 
