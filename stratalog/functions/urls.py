@@ -56,5 +56,5 @@ def url_path(url: Column) -> Column:
 
 def download_name(src: Column, key: Column) -> Column:
     """Last segment without query, percent-decoded; `key`.jpg without one."""
-    last = F.element_at(F.filter(F.split(F.split(src, "[?#]")[0], "/"), lambda p: p != ""), -1)
+    last = F.try_element_at(F.filter(F.split(F.split(src, "[?#]")[0], "/"), lambda p: p != ""), F.lit(-1))
     return F.coalesce(F.try_url_decode(F.replace(last, F.lit("+"), F.lit("%2B"))), F.concat(key, F.lit(".jpg")))
