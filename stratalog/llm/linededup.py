@@ -12,6 +12,7 @@ pass over the documents, unless there are more frequent keys than that holds, th
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -202,7 +203,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, c
     for k, group in enumerate(groups):
         last = k == len(groups) - 1
         arrays = {int(s): bytes(a) for s, a in shards.where(F.col("shard").isin(group)).collect()} if group else {}
-        sent = spark.sparkContext.broadcast({"token": (id(shards), k, len(arrays)), "arrays": arrays})
+        sent = spark.sparkContext.broadcast({"token": uuid.uuid4().hex, "arrays": arrays})
         more = [T.StructField(f"c{len(fields)}", T.LongType()), T.StructField(f"c{len(fields) + 1}", T.LongType())] if last else [T.StructField(f"c{len(fields)}", T.ArrayType(T.IntegerType()))]
         state = state.mapInArrow(_probe(sent, n_shards, min_docs, len(carry), k > 0, last), T.StructType(fields + more))
         if not last:
