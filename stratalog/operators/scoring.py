@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.operators.ranking import global_rank
+
 
 class Provider(Protocol):
     """Scores a batch of (unit_id, payload) rows: one mapping tag -> score per row, and the batch's cost."""
@@ -36,10 +38,9 @@ def greedy_batches(rows: DataFrame, by: str, pos: str, size: str, most_rows: int
     return rows.groupBy(by).applyInPandas(plan, schema)
 
 
-def fixed_batches(rows: DataFrame, order: list, size: int) -> DataFrame:
-    from pyspark.sql.window import Window as W
-
-    return rows.withColumn("batch", F.floor((F.row_number().over(W.orderBy(*order)) - 1) / size).cast("int"))
+def fixed_batches(rows: DataFrame, primary, order: list, size: int) -> DataFrame:
+    """``batch``: ``size`` rows each, in order."""
+    return global_rank(rows, primary, order, "i_").withColumn("batch", F.floor(F.col("i_") / size).cast("int")).drop("i_")
 
 
 def pending(units: DataFrame, cache: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from stratalog.functions import dates
+from stratalog.operators.ranking import global_rank
 
 
 def members(series: DataFrame, posts: DataFrame, ids: str = "postIds", key: str = "id") -> DataFrame:
@@ -50,12 +51,17 @@ def newest_first(items: DataFrame, value: Column, title: str = "title") -> DataF
     return items.orderBy(dates.parsed(value).desc_nulls_last(), F.expr(f"{title} COLLATE nl"))
 
 
-def chronology(items: DataFrame, value: Column, order: list) -> DataFrame:
-    """Month groups: key, year, rows, first index in ``order``, and whether the group begins its year."""
-    numbered = items.withColumn("idx", F.row_number().over(W.orderBy(*order)) - 1).withColumn("month_key", dates.month_key(value)).withColumn("year", dates.year_key(value))
-    months = numbered.groupBy("month_key", "year").agg(F.count("*").alias("n"), F.min("idx").alias("first_index"))
-    first = F.row_number().over(W.partitionBy("year").orderBy("first_index")) == 1
-    return months.withColumn("starts_year", first)
+def chronology(items: DataFrame, value: Column, newest: bool = True) -> DataFrame:
+    """Month groups: key, year, rows, first index in chronological order (undated last), and whether the group begins its year.
+
+    Indexes follow from the months' counts; items are not sorted.
+    """
+    months = items.groupBy(dates.month_key(value).alias("month_key"), dates.year_key(value).alias("year")).agg(F.count("*").alias("n"))
+    undated = F.col("year") == dates.UNDATED
+    order = [undated, F.desc("month_key") if newest else F.asc("month_key")]
+    before = F.coalesce(F.sum("n").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    first = F.row_number().over(W.partitionBy("year").orderBy(*order)) == 1
+    return months.withColumn("first_index", before).withColumn("starts_year", first)
 
 
 def grid_rows(rows: DataFrame, by: list[str], order: list, columns: int) -> DataFrame:
@@ -72,24 +78,24 @@ def even_spread(rows: DataFrame, by: list[str], pos: str, k: int) -> DataFrame:
 
 
 def round_robin(rows: DataFrame, stratum: str, order: list, n: int) -> DataFrame:
-    """``n`` rows, one of every stratum in turn; large strata first in each turn."""
-    w = W.partitionBy(stratum)
-    ranked = rows.withColumn("turn", F.row_number().over(w.orderBy(*order))).withColumn("size_", F.count("*").over(w))
-    return ranked.orderBy("turn", F.desc("size_"), stratum).limit(n).drop("size_")
+    """``n`` rows, one of every stratum in turn; large strata first in each turn. No stratum sorts more than ``n`` rows per task."""
+    sizes = rows.groupBy(stratum).agg(F.count("*").alias("size_"))
+    ranked = rows.withColumn("turn", F.row_number().over(W.partitionBy(stratum).orderBy(*order))).where(F.col("turn") <= n)
+    return ranked.join(sizes, stratum).orderBy("turn", F.desc("size_"), stratum).limit(n).drop("size_")
 
 
-def circular(rows: DataFrame, order: list, key: str, offsets: tuple[int, ...] = (1, 2, 3, -1)) -> DataFrame:
+def circular(rows: DataFrame, primary: Column, order: list, key: str, offsets: tuple[int, ...] = (1, 2, 3, -1), descending: bool = False) -> DataFrame:
     """Keys at circular offsets of every row of an ordered list."""
-    placed = rows.select(key, (F.row_number().over(W.orderBy(*order)) - 1).alias("i"))
-    total = placed.agg(F.count("*").alias("n_"))
+    placed = global_rank(rows, primary, order, "i", descending).select(key, "i")
+    total = rows.agg(F.count("*").alias("n_"))
     asked = placed.crossJoin(F.broadcast(total)).select(F.col(key), F.explode(F.array(*[F.lit(o) for o in offsets])).alias("off"), "i", "n_").withColumn("j", F.pmod(F.col("i") + F.col("off"), F.col("n_")))
     return asked.join(placed.select(F.col(key).alias("target"), F.col("i").alias("j")), "j").select(key, "off", "target")
 
 
-def rotate(rows: DataFrame, order: list, key: str, start) -> DataFrame:
+def rotate(rows: DataFrame, primary: Column, order: list, key: str, start, descending: bool = False) -> DataFrame:
     """Order that begins at ``start`` and wraps around: key, place."""
-    placed = rows.select(key, (F.row_number().over(W.orderBy(*order)) - 1).alias("i"))
-    head = placed.where(F.col(key) == start).select(F.col("i").alias("s_")).crossJoin(placed.agg(F.count("*").alias("n_")))
+    placed = global_rank(rows, primary, order, "i", descending).select(key, "i")
+    head = placed.where(F.col(key) == start).select(F.col("i").alias("s_")).crossJoin(rows.agg(F.count("*").alias("n_")))
     return placed.crossJoin(F.broadcast(head)).select(key, F.pmod(F.col("i") - F.col("s_"), F.col("n_")).alias("place"))
 
 

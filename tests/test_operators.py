@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalog.functions import dates
-from stratalog.operators import checks, cluster, gallery, scoring, search, series, species, stats, tags, vectors
+from stratalog.operators import checks, cluster, gallery, ranking, scoring, search, series, species, stats, tags, vectors
 from stratalog.plans.query_specs import ArchiveQuery, AtlasQuery, GalleryQuery, SearchQuery
 from stratalog.sources import documents, sinks
 
@@ -29,7 +29,7 @@ def test_chronology(spark):
     rows = [("b", "2007-02-01", ""), ("a", "2006-01-05", ""), ("c", "2007-03-09T10:00:00", ""), ("d", "nonsense", "x"), ("é", "2006-01-05", "")]
     items = spark.createDataFrame(rows, "title string, isoDate string, date string").withColumn("v", dates.date_text(F.col("isoDate"), F.col("date")))
     assert [x.title for x in series.newest_first(items, F.col("v")).collect()] == ["c", "b", "a", "é", "d"]
-    groups = {x.month_key: x for x in series.chronology(items, F.col("v"), [dates.parsed(F.col("v")).desc_nulls_last(), "title"]).collect()}
+    groups = {x.month_key: x for x in series.chronology(items, F.col("v")).collect()}
     assert (groups["m-2007-03"].first_index, groups["m-2007-03"].starts_year) == (0, True)
     assert (groups["m-2007-02"].n, groups["m-2007-02"].starts_year) == (1, False)
     assert groups["m-ongedateerd"].first_index == 4
@@ -47,6 +47,18 @@ def test_round_robin_takes_rare_strata(spark):
     assert {"r0", "r1"} <= set(got) and len(got) == 5
 
 
+@pytest.mark.parametrize("buckets", [2, 256])
+def test_global_rank(spark, buckets):
+    r = random.Random(3)
+    rows = [(i, r.choice([None, 1.0, 2.0, 2.5, -3.0, 9.0])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, v double").repartition(5)
+    for descending in (False, True):
+        want = [i for i, _ in sorted(rows, key=lambda x: (x[1] is None, (-x[1] if descending else x[1]) if x[1] is not None else 0, x[0]))]
+        assert [x.id for x in ranking.global_rank(df, F.col("v"), ["id"], "rank", descending, buckets).orderBy("rank").collect()] == want
+    assert ranking.global_rank(df.limit(0), F.col("v"), ["id"], "rank").collect() == []
+    assert tuple(ranking.around(df.where("v is not null"), F.struct("v", "id"), "id", -1).first()) == (None, None)
+
+
 def test_viewport_rows(spark):
     rows = spark.createDataFrame([(0, 0.0, 500.0, "2020"), (1, 500.0, 500.0, "2019")], "index int, start double, size double, year string")
     assert series.active_at(rows, 560).first().year == "2019" and series.active_at(rows, 9999).first().year == "2019"
