@@ -7,16 +7,18 @@ coordinate is filled whatever the size of the set, and the share of equal coordi
 concentrates around their Jaccard similarity. The cost is about |set| + t log t hashes.
 
 Banding: r coordinates make one key, pairs with ``SHARED`` common keys or more are checked. With
-r = 6 and 80 bands a pair at similarity 0.8 has fewer with a chance of 1.2e-8, while one at 0.4 has
-that many with a chance of 0.005: documents that merely share a passage are seldom compared.
+r = 8 and 110 bands a pair at similarity 0.8 has fewer with a chance of 4e-8, while one at 0.4 has
+that many with a chance of 0.002: documents that merely share a passage are seldom compared.
 
 Whole links without all pairs of a group: texts with one shingle set are one class. Each class is
 checked against the least class of each of its buckets; verified links are contracted to
 components. What can still be missing are links between classes of one bucket that are in different
-components. In some rounds, each class of such a bucket that is outside its largest component is
-checked against a changing member of that component, and links are contracted again. What is left
-in buckets of more than one component is checked pair by pair, across components only. No bucket is
-capped, and no pair inside one component is made.
+components. In a few rounds, each class of such a bucket that is outside its largest component is
+checked against a changing member of that component, and links are contracted again. The rest is
+exact: a bucket's largest component and the classes outside of it that meet it in any bucket form a
+group, and the outside classes are checked against the whole group. Small groups are joined pair by
+pair; of large ones, chunks of sets are laid against chunks, and a task returns its links, at most
+one for each two components. No bucket is capped, and no pair inside one component is made.
 """
 
 from __future__ import annotations
@@ -34,10 +36,12 @@ from stratalog.llm import vectext as V
 from stratalog.llm.common import discard, documents, materialize
 from stratalog.llm.components import components
 
-ROWS_PER_BAND, BANDS = 6, 80
-#: Pairs with fewer common keys are not checked: at similarity 0.8 that loses a pair with a chance of 1.2e-8.
-SHARED = 3
-PROBES = 4
+ROWS_PER_BAND, BANDS = 8, 110
+#: Pairs with fewer common keys are not checked: at similarity 0.8 that loses a pair with a chance of 4e-8.
+SHARED = 2
+PROBES = 3
+#: Groups of so many pairs or more are checked in chunks of ``CHUNK`` sets.
+LARGE, CHUNK = 10_000, 512
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64((1 << 52) - 1)
 
@@ -195,8 +199,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     open_ = still_mixed(members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")))
     steps: list[DataFrame] = []
 
-    def linked(pairs: DataFrame) -> bool:
-        new = materialize(verified(pairs.where(near)), "links")
+    def linked(pairs: DataFrame, checked: bool = False) -> bool:
+        new = materialize(pairs if checked else verified(pairs.where(near)).select("a", "b", "ra", "rb"), "links")
         found = not new.isEmpty()
         if found:
             steps.append(contraction(new))
@@ -208,13 +212,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
             break
         old, open_ = open_, still_mixed(moved(open_, steps[-1]))
         discard(old)
-    linked(_cross_pairs(open_, classes))
+    groups = materialize(_groups(open_), "groups")
+    tested = verified(_small_pairs(groups, classes).where(near)).select("a", "b", "ra", "rb").union(_large_links(groups, grams, percent))
+    linked(tested, checked=True)
     of = classes.select("s1", "s2", "node").join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root"))
     for step in steps:
         of = moved(of, step)
 
     component = materialize(of, "components")
-    for done in (classes, shared, members, grams, open_, *steps):
+    for done in (classes, shared, members, grams, open_, groups, *steps):
         discard(done)
     out = table.select("doc_id", "n_shingles", "s1", "s2").join(component, ["s1", "s2"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -233,16 +239,53 @@ def _probe_pairs(nodes: DataFrame, k: int) -> DataFrame:
     return held.select(F.col("node").alias("a"), F.col("center.node").alias("b"), F.col("n").alias("na"), F.col("center.n").alias("nb"), F.col("root").alias("ra"), F.col("major").alias("rb")).distinct()
 
 
-def _cross_pairs(nodes: DataFrame, classes: DataFrame) -> DataFrame:
-    """Every pair across components with ``SHARED`` common keys, made in the first bucket that the two share.
-
-    Of a bucket's components the largest is met by the others only, never by itself.
-    """
-    held = nodes.join(_majors(nodes, F.col("node")), "key").join(classes.select("node", "bands"), "node")
-    minor = held.where("root <> major").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("bands").alias("ka"))
-    other = held.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("bands").alias("kb"), (F.col("root") == F.col("major")).alias("top"))
-    common = F.array_intersect("ka", "kb")
-    return minor.join(other, (minor.key == other.key) & (F.col("ra") != F.col("rb")) & (F.col("top") | (F.col("a") < F.col("b"))) & (F.get(common, F.lit(0)) == minor.key) & (F.size(common) >= SHARED)).select("a", "b", "na", "nb", "ra", "rb").distinct()
+def _groups(nodes: DataFrame) -> DataFrame:
+    """Per largest component of any bucket (``group``): its members and the classes outside of it that meet it, with their numbers."""
+    major = _majors(nodes, F.col("node")).select("key", F.col("major").alias("group"))
+    held = nodes.join(major, "key").select("group", "node", "n", "root").distinct()
+    sizes = held.groupBy("group").agg(F.count_if(F.col("root") != F.col("group")).alias("outside"), F.count("*").alias("all"))
+    return held.join(sizes, "group")
+
+
+def _small_pairs(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs of small groups across components that share ``SHARED`` keys, each class outside with all others."""
+    rows = groups.where(F.col("outside") * F.col("all") < LARGE).join(classes.select("node", "bands"), "node")
+    minor = rows.where("root <> group").select("group", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("bands").alias("ka"))
+    other = rows.select("group", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("bands").alias("kb"), (F.col("root") == F.col("group")).alias("top"))
+    met = (minor.group == other.group) & (F.col("ra") != F.col("rb")) & (F.col("top") | (F.col("a") < F.col("b"))) & (F.size(F.array_intersect("ka", "kb")) >= SHARED)
+    return minor.join(other, met).select("a", "b", "na", "nb", "ra", "rb").distinct()
+
+
+def _large_links(groups: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b, ra, rb) of large groups: chunks of the classes outside against chunks of all, one link at most for two components and chunks."""
+    chunks = lambda n: F.ceil(n / F.lit(CHUNK)).cast("int")
+    of = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), chunks(n)).cast("int")
+    rows = groups.where(F.col("outside") * F.col("all") >= LARGE)
+    left = rows.where("root <> group").select("group", "node", "root", F.lit(True).alias("asks"), of(F.col("outside"), 1).alias("i"), F.explode(F.sequence(F.lit(0), chunks(F.col("all")) - 1)).alias("j"))
+    right = rows.select("group", "node", "root", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), chunks(F.col("outside")) - 1)).alias("i"), of(F.col("all"), 2).alias("j"))
+
+    def check(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy()
+        side = [table.filter(pa.array(asks)), table.filter(pa.array(~asks))]
+        (la, ra, lg, ln), (lb, rb, rg, rn) = ((t.column("node").to_numpy(), t.column("root").to_numpy(), t.column("grams").combine_chunks().flatten().to_numpy(), np.diff(t.column("grams").combine_chunks().offsets.to_numpy())) if t.num_rows else (np.zeros(0, np.int64),) * 4 for t in side)
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        if len(la) and len(lb):
+            owner = np.repeat(np.arange(len(la)), ln)
+            order = np.argsort(lg, kind="stable")
+            lg, owner = lg[order], owner[order]
+            at = np.cumsum(rn) - rn
+            lo, hi = np.searchsorted(lg, rg, "left"), np.searchsorted(lg, rg, "right")
+            for k in range(len(lb)):
+                a, n = lo[at[k] : at[k] + rn[k]], (hi - lo)[at[k] : at[k] + rn[k]]
+                total = int(n.sum())
+                if not total:
+                    continue
+                same = np.bincount(owner[np.arange(total) + np.repeat(a - (np.cumsum(n) - n), n)], minlength=len(la))
+                for i in np.flatnonzero((100 * same >= percent * (ln + rn[k] - same)) & (ra != rb[k])):
+                    found.setdefault((int(ra[i]), int(rb[k])), (int(la[i]), int(lb[k])))
+        return pa.table([pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.int64()), pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64())], names=["a", "b", "ra", "rb"])
+
+    return left.union(right).join(grams, "node").groupBy("group", "i", "j").applyInArrow(check, "a long, b long, ra long, rb long")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -9,7 +10,7 @@ from stratalog.llm import vectext as V
 from stratalog.llm.linededup import LineIndex, drop_common_lines
 from stratalog.llm.neardup import near_duplicates, sketches
 from stratalog.llm.quality_rules import quality_rules
-from tests.llm.cases import documents, frame, key
+from tests.llm.cases import documents, frame, key, word
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -80,9 +81,20 @@ def shingles(text, n):
     return frozenset(zip(*(w[k:] for k in range(n)))) if len(w) >= n else frozenset([tuple(w)]) if w else frozenset()
 
 
-@pytest.mark.parametrize("n", [2, 5])
-def test_near_duplicates(spark, n):
+@pytest.mark.parametrize("n, large", [(2, 10_000), (5, 10_000), (2, 1)])
+def test_near_duplicates(spark, n, large, monkeypatch):
+    monkeypatch.setattr("stratalog.llm.neardup.LARGE", large)
+    monkeypatch.setattr("stratalog.llm.neardup.PROBES", 0 if large == 1 else 3)
+    monkeypatch.setattr("stratalog.llm.neardup.CHUNK", 5)
     rows = documents(2)
+    base = documents(2)[0][1] or "a b c"
+    r = random.Random(5)
+    shared = " ".join(word(r) for _ in range(60)).split()
+    for k in range(60):  # edits around the limit of similarity
+        w = list(shared)
+        for _ in range(r.randint(1, 9)):
+            w[r.randrange(len(w))] = word(r)
+        rows.append((2000 + k, " ".join(w), None, None, 0, base[:3], None, None, None))
     sets = [shingles(row[1], n) for row in rows]
     root = list(range(len(rows)))
 
