@@ -32,6 +32,12 @@ CUTOFF = 100.0
 #: Variances of the transformed statistics do not fall below these, so that constant ones don't blow up.
 _FLOOR = (0.25, 0.05, 0.03, 0.5, 0.1)
 _BINS_PER_E = 16
+#: Tables of one row per group are broadcast up to so many groups, and joined by shuffle beyond.
+MOST_BROADCAST = 20_000
+
+
+def _sent(table: DataFrame, groups: int) -> DataFrame:
+    return F.broadcast(table) if groups <= MOST_BROADCAST else table
 
 
 def text_statistics(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -99,14 +105,14 @@ def _bin(d: Column) -> Column:
     return F.floor(F.log(F.greatest(d, F.lit(1e-6))) * _BINS_PER_E).cast("int")
 
 
-def _nearest(rows: DataFrame, by: list[str], share: float) -> DataFrame:
+def _nearest(rows: DataFrame, by: list[str], share: float, groups: int) -> DataFrame:
     """The least whole bins of ``d`` that hold ``share`` of each group's rows."""
     rows = rows.withColumn("bin", _bin(F.col("d")))
     counts = rows.groupBy(*by, "bin").agg(F.count("*").alias("c"))
     upto = W.partitionBy(*by).orderBy("bin")
     counts = counts.withColumn("cum", F.sum("c").over(upto)).withColumn("all", F.sum("c").over(W.partitionBy(*by)))
     limit = counts.where(F.col("cum") >= F.ceil(F.col("all") * share)).groupBy(*by).agg(F.min("bin").alias("limit"))
-    return rows.join(limit, by).where("bin <= limit")
+    return rows.join(_sent(limit, groups), by).where("bin <= limit")
 
 
 def _medians(rows: DataFrame, by: list[str], columns: dict[str, Column], per_unit: int = 200) -> DataFrame:
@@ -139,18 +145,19 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
     by = ["level", "lang", "source"]
     levels = F.array(*[F.struct(F.lit(k).alias("level"), (F.col("lang") if k >= 1 else F.lit("")).alias("lang"), (F.col("source") if k == 2 else F.lit("")).alias("source")) for k in range(3)])
     tall = rows.select(F.explode(levels).alias("g"), *[f"x_{i}" for i in range(P)]).select("g.*", *[f"x_{i}" for i in range(P)])
-    mid = _medians(tall, by, {f"m_{i}": F.col(f"x_{i}") for i in range(P)})
-    spread = _medians(tall.join(mid, by), by, {f"s_{i}": F.abs(F.col(f"x_{i}") - F.col(f"m_{i}")) for i in range(P)})
+    mid = materialize(_medians(tall, by, {f"m_{i}": F.col(f"x_{i}") for i in range(P)}), "mcd-medians")
+    n_groups = mid.count()
+    spread = _medians(tall.join(_sent(mid, n_groups), by), by, {f"s_{i}": F.abs(F.col(f"x_{i}") - F.col(f"m_{i}")) for i in range(P)})
     start = materialize(mid.join(spread, by), "mcd-start")
     found = []
     for kind in range(2):
-        apart = tall.join(start, by)
+        apart = tall.join(_sent(start, n_groups), by)
         terms = [F.abs(F.col(f"x_{i}") - F.col(f"m_{i}")) / (F.col(f"s_{i}") * 1.4826 + _FLOOR[i]) for i in range(P)]
         d = sum((t * t for t in terms[1:]), terms[0] * terms[0]) if kind == 0 else F.greatest(*terms)
-        chosen = _nearest(apart.withColumn("d", d).select(*by, *[f"x_{i}" for i in range(P)], "d"), by, 0.5)
+        chosen = _nearest(apart.withColumn("d", d).select(*by, *[f"x_{i}" for i in range(P)], "d"), by, 0.5, n_groups)
         model = materialize(_estimate(chosen, by), "mcd")
         for _ in range(STEPS):
-            near = _nearest(_distance(tall.join(model, by), "d").select(*by, *[f"x_{i}" for i in range(P)], "d"), by, SUPPORT)
+            near = _nearest(_distance(tall.join(_sent(model, n_groups), by), "d").select(*by, *[f"x_{i}" for i in range(P)], "d"), by, SUPPORT, n_groups)
             step = materialize(_estimate(near, by), "mcd")
             discard(model)
             model = step
@@ -182,7 +189,8 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     of_all = model.where("level = 0").drop("level", "lang", "source")
     by_all = own.join(of_lang.select("lang"), "lang", "left_anti").crossJoin(F.broadcast(of_all))
     table = chosen.unionByName(by_lang).unionByName(by_all)
-    out = _distance(stats.join(table.drop("n", "logdet", "kind", *[f"c_{i}_{j}" for i in range(P) for j in range(i + 1)]), keys, "left"), "distance")
+    table = materialize(table.drop("n", "logdet", "kind", *[f"c_{i}_{j}" for i in range(P) for j in range(i + 1)]), "mcd-table")
+    out = _distance(stats.join(_sent(table, table.count()), keys, "left"), "distance")
     distance = F.when(~F.col("base_failed"), F.col("distance"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance.alias("distance"), (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)).alias("kept"))
 
