@@ -28,7 +28,7 @@ SUPPORT = 0.75
 STEPS = 4
 LEAST_ROWS = 50
 #: Far beyond the chi-square quantiles of Gaussian vectors: text statistics have long tails.
-CUTOFF = 100.0
+CUTOFF = 150.0
 #: Variances of the transformed statistics do not fall below these, so that constant ones don't blow up.
 _FLOOR = (0.25, 0.05, 0.03, 0.5, 0.1)
 _BINS_PER_E = 16

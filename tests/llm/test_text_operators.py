@@ -9,7 +9,7 @@ import pytest
 from stratalog.llm import vectext as V
 from stratalog.llm.linededup import LineIndex, drop_common_lines
 from stratalog.llm.neardup import near_duplicates, sketches
-from stratalog.llm.quality_rules import quality_rules
+from stratalog.llm.quality_rules import CUTOFF, quality_rules
 from tests.llm.cases import documents, frame, key, word
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -148,7 +148,7 @@ def test_quality_statistics(spark):
         want.append((row[0], len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(cover), failed))
     got = quality_rules(frame(spark, rows)).collect()
     assert key(tuple(x)[:7] for x in got) == key(want)
-    assert all(x.kept == (not x.base_failed and x.distance <= 100) for x in got)
+    assert all(x.kept == (not x.base_failed and x.distance <= CUTOFF) for x in got)
 
 
 def test_quality_rules_reject_outliers_and_keep_the_rest(spark):
