@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from stratalog.operators.ranking import global_rank
+
 
 def totals(rows: DataFrame, sums: dict[str, str], flags: dict[str, str], percentiles: dict[str, tuple[str, float]]) -> DataFrame:
     """One row: count, sums, conditional counts, and nearest-rank percentiles (no interpolation)."""
@@ -105,3 +107,11 @@ def intensity(rows: DataFrame, value: str) -> DataFrame:
     share = F.coalesce(F.try_divide(F.col(value), F.col("top_")), F.lit(0.0))
     step = F.when(share > 0.7, 4).when(share > 0.4, 3).when(share > 0.2, 2).when(share > 0, 1).otherwise(0)
     return rows.crossJoin(F.broadcast(top)).withColumn("intensity", F.round(share, 6)).withColumn("step", step).drop("top_")
+
+
+def floor_quantile(rows: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
+    """share, value: the value at place floor(n * share) from 0, the last one at most."""
+    ranked = global_rank(rows.where(F.col(value).isNotNull()).select(value), F.col(value), [], "i_")
+    total = rows.where(F.col(value).isNotNull()).agg(F.count("*").alias("n_"))
+    asked = total.select(F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share"), "n_").select("share", F.least(F.floor(F.col("n_") * F.col("share")), F.col("n_") - 1).alias("i_"))
+    return ranked.join(F.broadcast(asked), "i_").select("share", F.col(value).alias("value"))

@@ -23,9 +23,10 @@ def norm(v: Column) -> Column:
 
 
 def normalized(v: Column) -> Column:
-    """Unit length; a zero vector stays."""
-    n = norm(v)
-    return F.transform(v, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
+    """Unit length; a zero vector stays. The vector and its norm are bound once, not computed for each element."""
+    bound = F.transform(F.array(v), lambda a: F.struct(a.alias("v"), norm(a).alias("n")))
+    unit = F.transform(bound, lambda s: F.transform(s["v"], lambda x: x.cast("double") / F.when(s["n"] == 0, 1.0).otherwise(s["n"])))
+    return F.get(unit, F.lit(0))
 
 
 def invalid_vectors(rows: DataFrame, vector: str) -> DataFrame:
