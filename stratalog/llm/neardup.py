@@ -13,12 +13,14 @@ that many with a chance of 0.002: documents that merely share a passage are seld
 Whole links without all pairs of a group: texts with one shingle set are one class. Each class is
 checked against the least class of each of its buckets; verified links are contracted to
 components. What can still be missing are links between classes of one bucket that are in different
-components. In a few rounds, each class of such a bucket that is outside its largest component is
-checked against a changing member of that component, and links are contracted again. The rest is
-exact: a bucket's largest component and the classes outside of it that meet it in any bucket form a
-group, and the outside classes are checked against the whole group. Small groups are joined pair by
-pair; of large ones, chunks of sets are laid against chunks, and a task returns its links, at most
-one for each two components. No bucket is capped, and no pair inside one component is made.
+components. This rest is exact: a bucket's largest component and the classes outside of it that meet
+it in any bucket form a group, and the outside classes are checked against the whole group. Small
+groups are joined pair by pair; of large ones, chunks of sets are laid against chunks, and a task
+returns its links, at most one for each two components. No bucket is capped, and no pair inside one
+component is made.
+
+Tables of candidates are broadcast up to ``SENT_ROWS`` rows, which are counted before, and joined by
+shuffle beyond, so that neither texts nor keys move while candidates are few.
 """
 
 from __future__ import annotations
@@ -39,7 +41,8 @@ from stratalog.llm.components import components
 ROWS_PER_BAND, BANDS = 8, 110
 #: Pairs with fewer common keys are not checked: at similarity 0.8 that loses a pair with a chance of 4e-8.
 SHARED = 2
-PROBES = 3
+#: Candidate tables of up to so many rows of a few numbers are broadcast.
+SENT_ROWS = 1_000_000
 #: Groups of so many pairs or more are checked in chunks of ``CHUNK`` sets.
 LARGE, CHUNK = 10_000, 512
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -139,6 +142,11 @@ def _sets(width: int):
     return run
 
 
+def _sent(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it is small."""
+    return F.broadcast(table) if table.count() <= SENT_ROWS else table
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = ROWS_PER_BAND, bands: int = BANDS) -> DataFrame:
     """One row per row of ``docs`` (doc_id long, text string; other columns are not read).
 
@@ -149,7 +157,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
 
     Null or wordless texts: n_shingles 0, linked with nothing, component_id = doc_id. Repeated rows:
     returned as often as given, all of one component. Null doc_id: belongs to its class's component,
-    null where the class has no id; kept only then. Empty input: empty result.
+    null where the class has no id; kept only then. One doc_id with different texts: its rows are
+    linked as one document, by one of its texts. Empty input: empty result.
     """
     p = (percent / 100) ** rows
     assert sum(comb(bands, k) * p**k * (1 - p) ** (bands - k) for k in range(SHARED)) < 1e-6, "too few bands for whole links"
@@ -164,11 +173,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     )
     keys = classes.select("node", "n", F.explode("bands").alias("key"))
     shared = materialize(keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("members")).where("members > 1"), "buckets")
-    members = materialize(keys.join(shared, "key").select("key", "node", "n", "least"), "members")
+    members = materialize(keys.join(_sent(shared), "key").select("key", "node", "n", "least"), "members")
 
     # whose sets are needed: those that share a bucket, read once
-    wanted = members.select("node").distinct()
-    texts = source.join(wanted, source.doc_id == wanted.node, "left_semi")
+    wanted = materialize(members.select("node", "n").distinct(), "wanted")
+    chosen = _sent(wanted.select("node", "n")).select("node")
+    texts = source.join(chosen, source.doc_id == chosen.node, "left_semi")
     grams = materialize(
         texts.mapInArrow(_sets(words), T.StructType([T.StructField("node", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType()))])).groupBy("node").agg(F.max("grams").alias("grams")),
         "sets",
@@ -184,67 +194,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     stars = members.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"), F.col("n").alias("na")).groupBy("a", "b", "na").agg(F.count("*").alias("k")).where("k > 1")
     roots = components(materialize(verified(stars.join(size_of, "b").where(near).select("a", "b")), "links"))
 
-    def still_mixed(placed: DataFrame) -> DataFrame:
-        mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        return materialize(placed.join(mixed, "key", "left_semi"), "open")
-
-    def contraction(new: DataFrame) -> DataFrame:
-        joined = components(new.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        return materialize(joined.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("to")), "contraction")
-
-    def moved(placed: DataFrame, steps: DataFrame) -> DataFrame:
-        return placed.join(steps, "root", "left").withColumn("root", F.coalesce("to", "root")).select(*placed.columns)
-
-    # from here on only classes of mixed buckets are touched, fewer each round
-    open_ = still_mixed(members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")))
-    steps: list[DataFrame] = []
-
-    def linked(pairs: DataFrame, checked: bool = False) -> bool:
-        new = materialize(pairs if checked else verified(pairs.where(near)).select("a", "b", "ra", "rb"), "links")
-        found = not new.isEmpty()
-        if found:
-            steps.append(contraction(new))
-        discard(new)
-        return found
-
-    for k in range(PROBES):
-        if not linked(_probe_pairs(open_, k)):
-            break
-        old, open_ = open_, still_mixed(moved(open_, steps[-1]))
-        discard(old)
-    groups = materialize(_groups(open_), "groups")
+    placed = materialize(wanted.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")), "placed")
+    groups = materialize(_groups(members, placed), "groups")
     tested = verified(_small_pairs(groups, classes).where(near)).select("a", "b", "ra", "rb").union(_large_links(groups, grams, percent))
-    linked(tested, checked=True)
+    more = components(materialize(tested.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links"))
+    more = more.select(F.col("node").alias("root"), F.col("root").alias("to"))
+
     of = classes.select("s1", "s2", "node").join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root"))
-    for step in steps:
-        of = moved(of, step)
+    of = of.join(more, "root", "left").select("s1", "s2", F.coalesce("to", "root").alias("root"))
 
     component = materialize(of, "components")
-    for done in (classes, shared, members, grams, open_, groups, *steps):
+    for done in (classes, shared, members, wanted, grams, placed, groups):
         discard(done)
     out = table.select("doc_id", "n_shingles", "s1", "s2").join(component, ["s1", "s2"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _majors(nodes: DataFrame, center: F.Column) -> DataFrame:
-    """Per bucket its largest component, and a member of it by ``center``."""
-    sizes = nodes.groupBy("key", "root").agg(F.count("*").alias("c"), F.min_by(F.struct("node", "n"), center).alias("center"))
-    return sizes.groupBy("key").agg(F.max_by(F.struct("root", "center"), F.struct("c", "root")).alias("major")).select("key", F.col("major.root").alias("major"), F.col("major.center").alias("center"))
-
-
-def _probe_pairs(nodes: DataFrame, k: int) -> DataFrame:
-    """Each class outside its bucket's largest component with one member of that component, another in each round."""
-    held = nodes.join(_majors(nodes, F.xxhash64("node", F.lit(k))), "key").where("root <> major")
-    return held.select(F.col("node").alias("a"), F.col("center.node").alias("b"), F.col("n").alias("na"), F.col("center.n").alias("nb"), F.col("root").alias("ra"), F.col("major").alias("rb")).distinct()
-
-
-def _groups(nodes: DataFrame) -> DataFrame:
-    """Per largest component of any bucket (``group``): its members and the classes outside of it that meet it, with their numbers."""
-    major = _majors(nodes, F.col("node")).select("key", F.col("major").alias("group"))
-    held = nodes.join(major, "key").select("group", "node", "n", "root").distinct()
-    sizes = held.groupBy("group").agg(F.count_if(F.col("root") != F.col("group")).alias("outside"), F.count("*").alias("all"))
-    return held.join(sizes, "group")
+def _groups(members: DataFrame, placed: DataFrame) -> DataFrame:
+    """group, node, n, root, outside, all: per largest component of any mixed bucket (``group``), its classes and those outside of it that meet it, with their numbers."""
+    rows = members.select("key", "node").join(placed, "node")
+    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
+    major = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("group"), F.count("*").alias("roots")).where("roots > 1")
+    outside = materialize(rows.join(major, (rows.key == major.key) & (F.col("root") != F.col("group"))).select("group", "node", "n", "root").distinct(), "outside")
+    inside = placed.join(outside.select("group").distinct(), F.col("root") == F.col("group"), "left_semi").select(F.col("root").alias("group"), "node", "n", "root")
+    held = outside.union(inside)
+    counts = held.groupBy("group").agg(F.count_if(F.col("root") != F.col("group")).alias("outside"), F.count("*").alias("all"))
+    return held.join(counts, "group")
 
 
 def _small_pairs(groups: DataFrame, classes: DataFrame) -> DataFrame:

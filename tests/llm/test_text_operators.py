@@ -84,7 +84,7 @@ def shingles(text, n):
 @pytest.mark.parametrize("n, large", [(2, 10_000), (5, 10_000), (2, 1)])
 def test_near_duplicates(spark, n, large, monkeypatch):
     monkeypatch.setattr("stratalog.llm.neardup.LARGE", large)
-    monkeypatch.setattr("stratalog.llm.neardup.PROBES", 0 if large == 1 else 3)
+    monkeypatch.setattr("stratalog.llm.neardup.SENT_ROWS", 0 if large == 1 else 1_000_000)
     monkeypatch.setattr("stratalog.llm.neardup.CHUNK", 5)
     rows = documents(2)
     base = documents(2)[0][1] or "a b c"
