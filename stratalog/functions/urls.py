@@ -8,23 +8,43 @@ from pyspark.sql import functions as F
 _ABSOLUTE = r"^(?i)([a-z][a-z0-9+.-]*:|//|#)"
 
 
-def local_image(src: Column, host: str, prefix: str = "/images/") -> Column:
-    """Spellings of one host's image addresses to a local path; null for data URIs and skins."""
-    path = F.regexp_replace(src, rf"(?i)^(https?:)?//(www\.|blog\.)?{host}/", "/")
-    path = F.regexp_replace(F.regexp_replace(path, r"^\.{1,2}/+", "/"), r"^/*(images/)?", prefix)
-    return F.when(src.isNull() | src.rlike(r"(?i)^data:|/skins?/"), F.lit(None)).otherwise(path)
+PREFIX = "/archive-images/"
+_IMAGE = r"(?i)\.(jpe?g|png|gif|webp)(?:[?#].*)?$"
 
 
-def local_link(href: Column, host: str) -> Column:
-    """Links to a host's posts and comments become local ones; others stay."""
-    post = F.regexp_extract(href, rf"(?i){host}.*?(?:archief\.php\?ID=|/p/)(\d+)", 1)
-    reaction = F.regexp_extract(href, rf"(?i){host}.*?reactie\.php\?ID=(\d+)", 1)
-    return F.when(reaction != "", F.concat(F.lit("/posts/"), reaction, F.lit("/#reacties"))).when(post != "", F.concat(F.lit("/posts/"), post, F.lit("/"))).otherwise(href)
+def _to_prefix(src: Column, image_host: str, blog_host: str) -> Column:
+    """The five spellings of the image host's addresses to the local prefix."""
+    return F.regexp_replace(src, rf"(?i)^(?:https?://(?:{blog_host}/)?|\.\./(?:\.\./)?)?{image_host}/", PREFIX)
 
 
-def file_id(path: Column) -> Column:
-    """Digits of a mirrored file's name."""
-    return F.nullif(F.regexp_extract(path, r"(\d+)(?:\.[A-Za-z]+)?$", 1), F.lit(""))
+def local_image(src: Column, blog: Column, image_host: str, blog_host: str) -> Column:
+    """Local path of an image address, bare file names under their blog; null for skins, spacers, other schemes and other hosts.
+
+    Hosts are regexes. Whether the file exists is a semi join with a file listing.
+    """
+    raw = F.replace(F.trim(src), F.lit("&amp;"), F.lit("&"))
+    path = _to_prefix(raw, image_host, blog_host)
+    path = F.when(~path.startswith("/") & ~path.rlike("(?i)^https?://") & path.rlike(r"(?i)\.(jpe?g|png|gif|webp)$"), F.concat(F.lit(PREFIX), blog, F.lit("/"), path)).otherwise(path)
+    dropped = raw.rlike(r"(?i)/Images/Skin/|pixel\.gif|pijl\.gif|^(file|cid|data):") | ~path.startswith(PREFIX)
+    return F.when(F.coalesce(dropped, F.lit(True)), F.lit(None)).otherwise(path)
+
+
+def local_link(href: Column, blog: Column, image_host: str, blog_host: str) -> Column:
+    """Links to images, posts and comments of the archive become local ones; others stay."""
+    raw = F.replace(F.trim(href), F.lit("&amp;"), F.lit("&"))
+    part = lambda script, name: F.nullif(F.regexp_extract(raw, rf"(?i){script}\.php(?:%3F|\?){name}(?:%3D|=)(\d+)", 1), F.lit(""))
+    image = F.when(raw.rlike(_IMAGE) | raw.rlike(rf"(?i){image_host}"), local_image(href, blog, image_host, blog_host))
+    post, reaction = part("archief", "ID"), part("reageer", "postID")
+    return F.coalesce(image, F.concat(F.lit("/posts/"), blog, F.lit("-"), post, F.lit("/")), F.concat(F.lit("/posts/"), blog, F.lit("-"), reaction, F.lit("/#reactions")), raw)
+
+
+def post_file_id(path: Column) -> Column:
+    """Post id in a mirrored file's name; empty without one."""
+    return F.regexp_extract(path, r"archief\.php\?ID=(\d+)\.html$", 1)
+
+
+def reaction_file_id(path: Column) -> Column:
+    return F.regexp_extract(path, r"reageer\.php\?postID=(\d+)\.html$", 1)
 
 
 def thumbnail(src: Column, width: int) -> Column:

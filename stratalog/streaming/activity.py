@@ -1,6 +1,6 @@
 """Activity over streams of dated events, with watermarks: windows, sessions, and first rows by id.
 
-The batch operators are the reference's own; these are the same questions asked of a stream.
+An extension: the questions of the batch operators, asked of a stream.
 """
 
 from __future__ import annotations
