@@ -75,6 +75,14 @@ def excerpt(text: Column, limit: int) -> Column:
     return F.when(F.char_length(text) <= limit, text).otherwise(F.concat(F.rtrim(F.regexp_replace(cut, r"\s+\S*\z", "")), F.lit("…")))
 
 
+def metadata_excerpt(text: Column, limit: int) -> Column:
+    """At most ``limit`` characters with the ellipsis; cut at the last space if that keeps 65 % of it, without punctuation in front."""
+    cut = F.rtrim(F.substring(text, 1, max(0, limit - 1)))
+    word = F.regexp_replace(cut, r"\s\S*\z", "")
+    kept = F.when(F.char_length(word) > limit * 0.65, F.when(F.char_length(word) < F.char_length(cut), word).otherwise(cut)).otherwise(cut)
+    return F.when(F.char_length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(kept, r"[\s,.;:!?-]+\z", ""), F.lit("…")))
+
+
 def short_label(text: Column, limit: int) -> Column:
     return F.when(F.char_length(text) > limit, F.concat(F.rtrim(F.substring(text, 1, limit - 1)), F.lit("…"))).otherwise(text)
 

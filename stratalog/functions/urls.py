@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ABSOLUTE = r"^(?i)([a-z][a-z0-9+.-]*:|//|#)"
-
-
 PREFIX = "/archive-images/"
 _IMAGE = r"(?i)\.(jpe?g|png|gif|webp)(?:[?#].*)?$"
 
@@ -47,25 +44,34 @@ def reaction_file_id(path: Column) -> Column:
     return F.regexp_extract(path, r"reageer\.php\?postID=(\d+)\.html$", 1)
 
 
+#: Folders of thumbnails by width.
+THUMBS = {640: "/archive-thumbs/", 240: "/archive-thumbs-240/", 96: "/archive-thumbs-96/"}
+
+
 def thumbnail(src: Column, width: int) -> Column:
-    return F.regexp_replace(src, r"^/images/(.*?)(\.[A-Za-z0-9]+)?([?#].*)?$", f"/thumbs/{width}/$1.webp")
+    """Thumbnail path of an image or of another thumbnail, as webp, query and fragment kept; others stay."""
+    path, suffix = F.regexp_extract(src, r"^([^?#]*)", 1), F.regexp_extract(src, r"^[^?#]*(.*)$", 1)
+    folder = r"^/archive-(?:images|thumbs(?:-240|-96)?)/"
+    moved = F.regexp_replace(F.regexp_replace(path, folder, THUMBS[width]), r"\.[^/.]+$", ".webp")
+    return F.when(path.startswith(THUMBS[width]), src).when(path.rlike(folder), F.concat(moved, suffix)).otherwise(src)
 
 
 def absolute(path: Column, base: str) -> Column:
-    """A site path behind a base address; query and fragment stay behind it."""
-    return F.when(path.rlike(_ABSOLUTE), path).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), F.ltrim(path, F.lit("/"))))
+    """An image path of the archive behind a base address; others stay."""
+    return F.when(path.startswith(PREFIX), F.concat(F.lit(base.rstrip("/")), path)).otherwise(path)
 
 
 def rewrite_assets(markup: Column, base: str) -> Column:
-    return F.regexp_replace(markup, r"""(?i)\b(src|href)=(["'])/(images|thumbs)/""", "$1=$2" + base.rstrip("/") + "/$3/")
+    """Image paths in src and href, quoted or not, behind a base address."""
+    return F.regexp_replace(markup, rf"""(?i)\b(src|href)\s*=\s*(["']?){PREFIX}""", "$1=$2" + base.rstrip("/") + PREFIX)
 
 
 def site_path(path: Column, base: str) -> Column:
-    """Prefix once; absolute and data addresses untouched."""
+    """Rooted paths get the base once; all else stays."""
     base = "/" + base.strip("/")
     if base == "/":
         return path
-    return F.when(path.rlike(_ABSOLUTE) | (path == base) | path.startswith(base + "/"), path).otherwise(F.concat(F.lit(base + "/"), F.ltrim(path, F.lit("/"))))
+    return F.when(path.startswith("/") & ~path.startswith("//") & (path != base) & ~path.startswith(base + "/"), F.concat(F.lit(base), path)).otherwise(path)
 
 
 def url_path(url: Column) -> Column:

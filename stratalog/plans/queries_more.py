@@ -167,7 +167,7 @@ def price_ranks(spark, d):
     return global_rank(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), F.col("o_totalprice"), ["o_orderkey"], "rank", descending=True).select("o_orderkey", "rank")
 
 
-@query("asset_links", r"""SELECT page_id, regexp_replace(html, '(?i)\b(src|href)=(["''])/(images|thumbs)/', '\1=\2https://cdn.invalid/\3/', 'g') AS html, url || '.jpg' AS name FROM pages WHERE page_id % 10 = 0""")
+@query("asset_links", r"""SELECT page_id, regexp_replace(html, '(?i)\b(src|href)\s*=\s*(["'']?)/archive-images/', '\1=\2https://cdn.invalid/archive-images/', 'g') AS html, url || '.jpg' AS name FROM pages WHERE page_id % 10 = 0""")
 def asset_links(spark, d):
     rows = table(spark, d, "pages").where("page_id % 10 = 0")
     return rows.select("page_id", urls.rewrite_assets(F.col("html"), "https://cdn.invalid").alias("html"), F.concat("url", F.lit(".jpg")).alias("name"))

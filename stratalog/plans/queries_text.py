@@ -31,7 +31,7 @@ def link_counts(spark, d):
 
 
 @query("url_parts", r"""SELECT page_id, regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1) AS path,
-  CASE WHEN regexp_matches(url, '^(?i)([a-z][a-z0-9+.-]*:|//|#)') THEN url ELSE '/base/' || ltrim(url, '/') END AS site FROM pages""")
+  CASE WHEN starts_with(url, '/') AND NOT starts_with(url, '//') AND NOT starts_with(url, '/base/') THEN '/base' || url ELSE url END AS site FROM pages""")
 def url_parts(spark, d):
     return table(spark, d, "pages").select("page_id", urls.url_path(F.col("url")).alias("path"), urls.site_path(F.col("url"), "/base").alias("site"))
 

@@ -44,6 +44,7 @@ def test_text(spark):
     assert one(spark, text.metadata_text(t("<p> </p>"), t("none"))) == "none"
     assert one(spark, text.excerpt(t("one two three"), 9)) == "one two…"
     assert one(spark, text.excerpt(t("onetwothree"), 5)) == "onetw…"
+    assert one(spark, text.metadata_excerpt(t("een twee drie, vier vijf"), 16)) == "een twee drie…" and one(spark, text.metadata_excerpt(t("eenheellangwoord en"), 10)) == "eenheella…"
     assert one(spark, text.short_label(t("abcdef"), 4)) == "abc…"
     assert one(spark, text.author_text(t("Tekst Reacties 01-02-2008 meer"))).strip() == "Tekst"
     assert one(spark, text.author_text(t("Tekst cheap shoes\nmeer"), spam_tail=True)) == "Tekst "
@@ -74,14 +75,14 @@ def test_urls(spark):
     assert one(spark, urls.download_name(t("/images/a%20b.jpg?x=1"), t("k"))) == "a b.jpg"
     assert one(spark, urls.download_name(t(""), t("k"))) == "k.jpg"
     assert one(spark, urls.url_path(t("https://a.b/c%20d?e#f"))) == "/c d"
-    assert one(spark, urls.thumbnail(t("/images/x/y.jpg"), 320)) == "/thumbs/320/x/y.webp"
+    assert one(spark, urls.thumbnail(t("/archive-images/x/y.jpg?v=1"), 240)) == "/archive-thumbs-240/x/y.webp?v=1" and one(spark, urls.thumbnail(t("/archive-thumbs-240/y.webp"), 96)) == "/archive-thumbs-96/y.webp"
     assert one(spark, urls.post_file_id(t("x/archief.php?ID=123.html"))) == "123" and one(spark, urls.reaction_file_id(t("reageer.php?postID=9.html"))) == "9"
     hosts = (r"img\.host\.example", r"blog\.host\.example")
     for src, want in (("https://img.host.example/a/b.jpg", "/archive-images/a/b.jpg"), ("http://blog.host.example/img.host.example/b.jpg", "/archive-images/b.jpg"), ("../../img.host.example/b.jpg", "/archive-images/b.jpg"), ("b.PNG", "/archive-images/tuin/b.PNG"), ("data:image/gif;x", None), ("/Images/Skin/a.gif", None), ("https://other.example/b.jpg", None), ("", None)):
         assert one(spark, urls.local_image(t(src), t("tuin"), *hosts)) == want
     for href, want in (("archief.php?ID=12", "/posts/tuin-12/"), ("x/reageer.php%3FpostID%3D7", "/posts/tuin-7/#reactions"), ("img.host.example/c.jpg", "/archive-images/c.jpg"), ("https://other.example/", "https://other.example/")):
         assert one(spark, urls.local_link(t(href), t("tuin"), *hosts)) == want
-    assert one(spark, urls.rewrite_assets(t('<img src="/images/a.jpg">'), "https://cdn.example")) == '<img src="https://cdn.example/images/a.jpg">'
+    assert one(spark, urls.rewrite_assets(t('<img src = "/archive-images/a.jpg"><a href=/archive-images/b>'), "https://cdn.example")) == '<img src="https://cdn.example/archive-images/a.jpg"><a href=https://cdn.example/archive-images/b>'
 
 
 def test_scalars(spark):
