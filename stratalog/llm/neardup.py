@@ -174,10 +174,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     keys = classes.select("node", "n", F.explode("bands").alias("key"))
     shared = materialize(keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("members")).where("members > 1"), "buckets")
     members = materialize(keys.join(_sent(shared), "key").select("key", "node", "n", "least"), "members")
+    written = members
 
-    # whose sets are needed: those that share a bucket, read once
-    wanted = materialize(members.select("node", "n").distinct(), "wanted")
-    chosen = _sent(wanted.select("node", "n")).select("node")
+    # whose sets are needed: those that share buckets enough, read once
+    wanted = materialize(members.groupBy("node", "n").agg(F.count("*").alias("k")).where(F.col("k") >= SHARED).select("node", "n"), "wanted")
+    chosen = _sent(wanted).select("node")
+    members = members.join(chosen, "node", "left_semi")
     texts = source.join(chosen, source.doc_id == chosen.node, "left_semi")
     grams = materialize(
         texts.mapInArrow(_sets(words), T.StructType([T.StructField("node", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType()))])).groupBy("node").agg(F.max("grams").alias("grams")),
@@ -190,7 +192,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
         return pairs.join(left, "a").join(right, "b").where(100 * same >= percent * (F.size("ga") + F.size("gb") - same)).drop("ga", "gb")
 
     near = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    size_of = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
+    size_of = _sent(wanted).select(F.col("node").alias("b"), F.col("n").alias("nb"))
     stars = members.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"), F.col("n").alias("na")).groupBy("a", "b", "na").agg(F.count("*").alias("k")).where("k > 1")
     roots = components(materialize(verified(stars.join(size_of, "b").where(near).select("a", "b")), "links"))
 
@@ -204,7 +206,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     of = of.join(more, "root", "left").select("s1", "s2", F.coalesce("to", "root").alias("root"))
 
     component = materialize(of, "components")
-    for done in (classes, shared, members, wanted, grams, placed, groups):
+    for done in (classes, shared, written, wanted, grams, placed, groups):
         discard(done)
     out = table.select("doc_id", "n_shingles", "s1", "s2").join(component, ["s1", "s2"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -213,9 +215,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
 
 def _groups(members: DataFrame, placed: DataFrame) -> DataFrame:
     """group, node, n, root, outside, all: per largest component of any mixed bucket (``group``), its classes and those outside of it that meet it, with their numbers."""
-    rows = members.select("key", "node").join(placed, "node")
+    rows = members.select("key", "node").join(_sent(placed), "node")
     sizes = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
-    major = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("group"), F.count("*").alias("roots")).where("roots > 1")
+    major = materialize(sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("group"), F.count("*").alias("roots")).where("roots > 1"), "majors")
+    major = _sent(major)
     outside = materialize(rows.join(major, (rows.key == major.key) & (F.col("root") != F.col("group"))).select("group", "node", "n", "root").distinct(), "outside")
     inside = placed.join(outside.select("group").distinct(), F.col("root") == F.col("group"), "left_semi").select(F.col("root").alias("group"), "node", "n", "root")
     held = outside.union(inside)
