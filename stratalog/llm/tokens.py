@@ -189,7 +189,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json
         "parquet.enable.dictionary#doc_id": "false",
         "parquet.enable.dictionary#local_start": "false",
         "parquet.enable.dictionary#n_tokens": "false",
-        "compression": "zstd",
+        "compression": "snappy",
     }
     writer.options(**options).parquet(path)
 
