@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from stratalog.functions.scalars import clamp
+from stratalog.operators.sizes import small
 from stratalog.plans.query_specs import ArchiveQuery, AtlasQuery, GalleryQuery
 
 # Tags that show people or plants.
@@ -64,7 +65,7 @@ def filter_images(images: DataFrame, spec: GalleryQuery, species: DataFrame | No
 
 def visible_themes(filtered: DataFrame, themes: DataFrame) -> DataFrame:
     counts = filtered.select(F.explode("visualTags").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
-    return themes.join(counts, "id").orderBy(F.desc("n"), "id")
+    return small(themes).join(counts, "id").orderBy(F.desc("n"), "id")
 
 
 def viewer_neighbours(filtered: DataFrame, order: list, key: str = "id") -> DataFrame:

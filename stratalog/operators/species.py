@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from stratalog.functions.spam import field_spam
 from stratalog.functions.text import squeeze
+from stratalog.operators.sizes import small
 
 MOST_TAGS, MOST_EVIDENCE, SNIPPET = 12, 4, 220
 _EDGE = r"[\p{L}\p{N}_]"
@@ -45,7 +46,7 @@ def confidence(sources: Column, kind: Column) -> Column:
 def merged(hits: DataFrame, candidates: DataFrame) -> DataFrame:
     """key, candidate_id, label, type, sources, confidence, evidence (up to 4), rank (up to 12)."""
     each = hits.groupBy("key", "candidate_id").agg(F.sort_array(F.collect_set("field")).alias("sources"), F.slice(F.sort_array(F.collect_set(F.struct("field", "snippet"))), 1, MOST_EVIDENCE).alias("evidence"))
-    named = each.join(F.broadcast(candidates.select("candidate_id", "label", "type")), "candidate_id").withColumn("confidence", confidence(F.col("sources"), F.col("type")))
+    named = each.join(small(candidates.select("candidate_id", "label", "type")), "candidate_id").withColumn("confidence", confidence(F.col("sources"), F.col("type")))
     order = F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "medium", 1).otherwise(2)
     rank = F.row_number().over(W.partitionBy("key").orderBy(order, "type", "label", "candidate_id"))
     return named.withColumn("rank", rank).where(F.col("rank") <= MOST_TAGS)

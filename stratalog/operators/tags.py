@@ -6,35 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from stratalog.operators.sizes import small
+
 
 def selected(scores: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Scores at or over their tag's threshold (0.5 without one)."""
     limits = vocabulary.select(F.col("id").alias("tag_id"), F.coalesce("threshold", F.lit(0.5)).alias("limit_"))
-    return scores.join(limits, "tag_id").where("score >= limit_").drop("limit_")
+    return scores.join(small(limits), "tag_id").where("score >= limit_").drop("limit_")
 
 
 def tag_report(scores: DataFrame, vocabulary: DataFrame, units: DataFrame, sweep=(0.3, 0.4, 0.5, 0.6)) -> DataFrame:
     """Per tag, zeros included: selected units and their posts, score sum, and units at each sweep threshold."""
     limits = vocabulary.select(F.col("id").alias("tag_id"), F.coalesce("threshold", F.lit(0.5)).alias("limit_"))
-    rows = scores.join(units.select("unit_id", "posts"), "unit_id")
     hit = F.col("score") >= F.col("limit_")
-    return (
-        limits.join(rows, "tag_id", "left")
+    counts = (
+        scores.join(small(limits), "tag_id")
+        .join(units.select("unit_id", "posts"), "unit_id")
         .groupBy("tag_id")
-        .agg(
-            F.count_if(hit).alias("unit_count"),
-            F.coalesce(F.sum(F.when(hit, F.col("posts"))), F.lit(0)).alias("post_count"),
-            F.round(F.coalesce(F.sum("score"), F.lit(0.0)), 6).alias("score_sum"),
-            *[F.count_if(F.col("score") >= t).alias(f"at_{int(t * 100)}") for t in sweep],
-        )
+        .agg(F.count_if(hit).alias("unit_count"), F.sum(F.when(hit, F.col("posts"))).alias("post_count"), F.round(F.sum("score"), 6).alias("score_sum"), *[F.count_if(F.col("score") >= t).alias(f"at_{int(t * 100)}") for t in sweep])
     )
+    # one row per tag is left to join
+    return limits.select("tag_id").join(counts, "tag_id", "left").na.fill(0).select(*counts.columns)
 
 
 def evaluate(predicted: DataFrame, gold: DataFrame, tags: DataFrame) -> DataFrame:
     """Per tag: tp, fp, fn, precision and recall (null on empty denominators). Inputs: (unit_id, tag_id); tags: tag_id."""
     p, g = predicted.select("unit_id", "tag_id").distinct().withColumn("p", F.lit(1)), gold.select("unit_id", "tag_id").distinct().withColumn("g", F.lit(1))
     both = p.join(g, ["unit_id", "tag_id"], "full")
-    counts = tags.join(both, "tag_id", "left").groupBy("tag_id").agg(F.count_if(F.expr("p = 1 and g = 1")).alias("tp"), F.count_if(F.expr("p = 1 and g is null")).alias("fp"), F.count_if(F.expr("p is null and g = 1")).alias("fn"))
+    counts = both.groupBy("tag_id").agg(F.count_if(F.expr("p = 1 and g = 1")).alias("tp"), F.count_if(F.expr("p = 1 and g is null")).alias("fp"), F.count_if(F.expr("p is null and g = 1")).alias("fn"))
+    counts = tags.join(counts, "tag_id", "left").na.fill(0)
     return counts.select("*", F.round(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), 6).alias("precision"), F.round(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), 6).alias("recall"))
 
 
@@ -48,14 +48,15 @@ def exact_sets(predicted: DataFrame, gold: DataFrame, units: DataFrame) -> DataF
 
 def bundle(chosen: DataFrame, mapping: DataFrame, units: DataFrame) -> DataFrame:
     """Per category: units, posts, and units that other categories have too. mapping: category_id, tag_id."""
-    pairs = chosen.join(mapping, "tag_id").select("unit_id", "category_id").distinct()
+    pairs = chosen.join(small(mapping), "tag_id").select("unit_id", "category_id").distinct()
     many = pairs.groupBy("unit_id").agg((F.count("*") > 1).alias("many"))
     rows = pairs.join(many, "unit_id").join(units.select("unit_id", "posts"), "unit_id")
-    return mapping.select("category_id").distinct().join(rows, "category_id", "left").groupBy("category_id").agg(F.count("unit_id").alias("units"), F.coalesce(F.sum("posts"), F.lit(0)).alias("posts"), F.count_if("many").alias("shared"))
+    counts = rows.groupBy("category_id").agg(F.count("*").alias("units"), F.sum("posts").alias("posts"), F.count_if("many").alias("shared"))
+    return mapping.select("category_id").distinct().join(counts, "category_id", "left").na.fill(0)
 
 
 def unassigned(chosen: DataFrame, mapping: DataFrame, units: DataFrame) -> DataFrame:
-    return units.select("unit_id").join(chosen.join(mapping, "tag_id").select("unit_id"), "unit_id", "left_anti")
+    return units.select("unit_id").join(chosen.join(small(mapping), "tag_id").select("unit_id"), "unit_id", "left_anti")
 
 
 def unmapped(tags: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -64,7 +65,7 @@ def unmapped(tags: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def ranked_categories(scores: DataFrame, mapping: DataFrame, units: DataFrame, rest: str = "overig") -> DataFrame:
     """Categories of each unit by their best selected score (over 0), ties by ``ordinal``; ``rest`` without any."""
-    best = scores.where("score > 0").join(mapping, "tag_id").groupBy("unit_id", "category_id", "ordinal").agg(F.max("score").alias("score"))
+    best = scores.where("score > 0").join(small(mapping), "tag_id").groupBy("unit_id", "category_id", "ordinal").agg(F.max("score").alias("score"))
     ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("unit_id").orderBy(F.desc("score"), "ordinal"))).select("unit_id", "category_id", "rank", "score")
     alone = units.select("unit_id").join(best.select("unit_id").distinct(), "unit_id", "left_anti").select("unit_id", F.lit(rest).alias("category_id"), F.lit(1).alias("rank"), F.lit(None).cast("double").alias("score"))
     return ranked.unionByName(alone)
