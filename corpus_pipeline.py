@@ -13,7 +13,7 @@ from stratalog.llm.common import discard, materialize
 from stratalog.llm.decontam import find_leaks
 from stratalog.llm.langid import identify, train_on
 from stratalog.llm.linededup import drop_common_lines
-from stratalog.llm.neardup import near_duplicates
+from stratalog.llm.neardup import SENT_ROWS, near_duplicates
 from stratalog.llm.packing import pack
 from stratalog.session import ship
 
@@ -40,13 +40,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (five-word shingles, similarity 0.8): the one with the least doc_id."""
     ship(spark)
-    kept = near_duplicates(docs, words=5, percent=80).where("kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = materialize(kept, "kept")
-    out = docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").select(*COLUMNS)
-    if not kept.where("rows > 1 and doc_id is not null").isEmpty():
-        alone = docs.join(kept.where("rows = 1 or doc_id is null"), docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").select(*COLUMNS)
-        again = docs.join(kept.where("rows > 1 and doc_id is not null"), "doc_id", "left_semi").select(*COLUMNS)
-        out = alone.union(again.dropDuplicates(["doc_id"]))
+    marks = materialize(near_duplicates(docs, words=5, percent=80).select("doc_id", "kept"), "marks")
+    gone = materialize(marks.where("not kept").select("doc_id").distinct(), "gone")
+    # ids of copies only, and sent only while they are few
+    gone = F.broadcast(gone) if gone.count() <= SENT_ROWS else gone
+    out = docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti").select(*COLUMNS)
+    again = materialize(marks.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if not again.isEmpty():
+        out = out.join(again, "doc_id", "left_anti").select(*COLUMNS).union(out.join(again, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"]))
     return out
 
 

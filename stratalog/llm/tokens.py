@@ -26,7 +26,7 @@ from pyspark.sql.window import Window as W
 from stratalog.llm import vectext as V
 from stratalog.llm.common import documents, new_path, shuffle_width
 
-CACHED_WORDS = 700_000
+CACHED_WORDS = 550_000
 
 
 class Encoder:
