@@ -1,13 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, an upper bound of the score, then Smith-Waterman alignment.
 
 Words are runs of letters and digits, A-Z lower-cased, hashed to 64 bits. Items are cut into
-segments of at most ``SEGMENT`` words (half overlapping). A first pass over the documents counts in
-how many of them each of the items' n-grams occurs; of every segment those are seeds that are at
-most twice as frequent as the segment's median, and the rarest of every ``WINDOW`` in a row: rarity
-is relative, so that an item which thousands of documents contain keeps its seeds. A second pass
-finds the seeds, lays the segment around each place (overlapping places merge) and aligns: a match
-is +1, a mismatch or a gap -0.5. A document is a hit if the score is ``min_score`` or more per word
-of the segment.
+segments of at most ``SEGMENT`` words (half overlapping). One pass over the documents finds the
+items' n-grams; each is a seed, however frequent it is. The segment is laid around each place
+(overlapping places merge) and aligned: a match is +1, a mismatch or a gap -0.5. A document is a hit
+if the score is ``min_score`` or more per word of the segment. Before that, segments and places go
+whose score cannot reach this: a word of the segment that the document (or the place) holds nowhere
+costs 0.5 at least, another brings 1 at most, so the best run of such values bounds the score.
 
 The items are processed in blocks of at most ``block_bytes`` of their measured size, one pass each
 (a benchmark of usual size is one block), so that what is broadcast is bounded.
@@ -26,7 +25,7 @@ from pyspark.sql import types as T
 from stratalog.llm import vectext as V
 from stratalog.llm.common import documents, materialize
 
-SEED_WORDS, WINDOW, SEGMENT = 4, 6, 256
+SEED_WORDS, SEGMENT = 4, 256
 MIN_SCORE = 0.5
 BLOCK_BYTES = 4 << 20
 _MISS, _GAP = 0.5, 0.5
@@ -75,9 +74,8 @@ class Block:
         self.where, g = self.where[order], g[order]
         self.grams, first = np.unique(g, return_index=True)
         self.first = np.append(first, len(g))
-        self._filter()
-
-    def _filter(self) -> None:
+        self.known, self.codes = np.unique(np.concatenate(self.seqs) if self.seqs else np.zeros(0, V.U64), return_inverse=True)
+        self.edges = np.append(0, np.cumsum([len(x) for x in self.seqs])).astype(np.int64)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.grams >> V.U64(44)).astype(np.int64)] = True
 
@@ -88,47 +86,48 @@ class Block:
         same = self.grams[k] == h[at] if len(self.grams) else np.zeros(0, bool)
         return at[same], k[same]
 
-    def keep_rare(self, df: np.ndarray) -> None:
-        """Drop n-grams that are no seeds; ``df``: documents by n-gram."""
-        gram = np.repeat(np.arange(len(self.grams)), np.diff(self.first))
-        seed = np.zeros(len(gram), bool)
-        order = np.lexsort((self.where[:, 1], self.where[:, 0]))
-        edges = np.searchsorted(self.where[order, 0], np.arange(len(self.seqs) + 1))
-        for a, z in zip(edges[:-1], edges[1:], strict=True):
-            at = order[a:z]
-            at = at[df[gram[at]] > 0]  # others are in no document
-            if not len(at):
-                continue
-            f = df[gram[at]]
-            seed[at[f <= 2 * np.median(f)]] = True
-            for i in range(0, max(1, len(f) - WINDOW + 1)):
-                seed[at[i + int(f[i : i + WINDOW].argmin())]] = True
-        self.where, gram = self.where[seed], gram[seed]
-        kept, first = np.unique(gram, return_index=True)
-        self.grams, self.first = self.grams[kept], np.append(first, len(gram))
-        self._filter()
+    def bounds(self, segments: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """What the score of each segment cannot exceed in words of which those of the indexes ``known`` are in items."""
+        held = np.zeros(len(self.known), bool)
+        held[known] = True
+        size = self.edges[segments + 1] - self.edges[segments]
+        first = np.cumsum(size) - size
+        n = np.repeat(np.arange(len(segments)), size)
+        value = np.where(held[self.codes[np.arange(len(n)) + (self.edges[segments] - first)[n]]], 1.0, -_MISS)
+        total = np.cumsum(value)
+        apart = n * (2.0 * len(n) + 1)  # a later segment's sums are less than all earlier ones
+        least = np.minimum.accumulate(total - value - apart) + apart
+        return np.maximum.reduceat(total - least, first)
 
     def hits(self, h: np.ndarray, places: np.ndarray, found: np.ndarray, min_score: float) -> list[dict]:
         """Hits in a document of word hashes ``h`` that has the seeds ``found`` at ``places``."""
-        spans: dict[int, list[int]] = {}
-        for p, k in zip(places.tolist(), found.tolist(), strict=True):
-            for segment, at in self.where[self.first[k] : self.first[k + 1]].tolist():
-                spans.setdefault(segment, []).append(p - at)
+        count = self.first[found + 1] - self.first[found]
+        which = np.arange(int(count.sum())) + np.repeat(self.first[found] - (np.cumsum(count) - count), count)
+        segment, begin = self.where[which, 0], np.repeat(places, count) - self.where[which, 1]
+        code = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        code[self.known[code] != h] = -1
+        near, at = np.unique(segment, return_inverse=True)
+        able = self.bounds(near, code[code >= 0]) >= min_score * (self.edges[near + 1] - self.edges[near])
+        segment, begin = segment[able[at]], begin[able[at]]
+        order = np.lexsort((begin, segment))
+        segment, begin = segment[order], begin[order]
+        edge = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1], [True]])) if len(segment) else np.zeros(1, np.int64)
         best: dict[int, dict] = {}
-        for segment, begins in spans.items():
-            seq = self.seqs[segment]
+        for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            number, begins = int(segment[a]), begin[a:z].tolist()
+            seq = self.seqs[number]
             slack = len(seq) // 2 + 2
-            begins.sort()
             lo = hi = None
             for x in [*begins, None]:
                 if lo is None or (x is not None and x - slack <= hi):
                     lo, hi = (x - slack, x + len(seq) + slack) if lo is None else (lo, x + len(seq) + slack)
                     continue
-                window = h[max(0, lo) : hi]
-                score, i, j = align(seq, window)
-                if score >= min_score * len(seq):
+                window, own = h[max(0, lo) : hi], code[max(0, lo) : hi]
+                possible = self.bounds(np.array([number]), own[own >= 0])[0] >= min_score * len(seq)
+                score, i, j = align(seq, window) if possible else (0.0, -1, -1)
+                if possible and score >= min_score * len(seq):
                     _, _, back = align(seq[: i + 1][::-1], window[: j + 1][::-1])
-                    item, share = self.item[segment], score / len(seq)
+                    item, share = self.item[number], score / len(seq)
                     if share > best.get(item, {"score": 0})["score"]:
                         best[item] = {"item_id": self.ids[item], "score": share, "first_word": max(0, lo) + j - back, "last_word": max(0, lo) + j}
                 if x is not None:
@@ -143,23 +142,6 @@ def _grams(b: V.Block, words: int):
     return s, h, g, at
 
 
-def _document_frequency(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        V.release()
-        block: Block = sent.value
-        total = np.zeros(len(block.grams), np.int64)
-        for batch in batches:
-            for b in V.blocks(batch.column(0)):
-                s, _, g, at = _grams(b, block.words)
-                i, k = block.find(g)
-                pairs = np.unique(s.row[at[i]] * len(total) + k) if len(k) else np.zeros(0, np.int64)
-                total += np.bincount(pairs % max(1, len(total)), minlength=len(total))
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["gram", "n"])
-
-    return run
-
-
 def _search(sent, carried: int, more: bool, kind: pa.DataType, min_score: float):
     hit = pa.struct([("item_id", kind), ("score", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
 
@@ -207,11 +189,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, carry: tuple[str, ...] = ("doc
     for k, number in enumerate(numbers):
         rows = listed.where(F.col("block") == number).sort("item_id", "text").collect()
         block = Block([r.item_id for r in rows], [r.text for r in rows], words)
-        sent = spark.sparkContext.broadcast(block)
-        counted = docs.select(F.col("text").cast("string")).mapInArrow(_document_frequency(sent), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-        df = np.zeros(len(block.grams), np.int64)
-        df[counted.gram.to_numpy(int)] = counted.n.to_numpy(int)
-        block.keep_rare(df)
         seeds = spark.sparkContext.broadcast(block)
         if k:
             state = materialize(state, "leaks")

@@ -6,7 +6,7 @@ import numpy as np
 
 from stratalog.llm import langid
 from stratalog.llm.chat import format_chats
-from stratalog.llm.decontam import MIN_SCORE, align, find_leaks
+from stratalog.llm.decontam import MIN_SCORE, Block, align, find_leaks
 from stratalog.llm.quality_classifier import fit, score, train
 from stratalog.llm.sharding import shard
 from tests.llm.cases import ROWS, documents, frame, word
@@ -90,6 +90,28 @@ def test_leaks(spark):
     assert find_leaks(frame(spark, clean), spark.createDataFrame([], "item_id long, text string")).where("size(hits) > 0").count() == 0
 
 
+def test_edited_copies_are_found_beside_a_verbatim_one(spark):
+    r = random.Random(16)
+    items = [(k, " ".join(word(r) for _ in range(50))) for k in range(3)]
+    edited = [" ".join(word(r) if i % 5 == 4 else x for i, x in enumerate(t.split())) for _, t in items]
+    around = lambda t: " ".join(word(r) for _ in range(100)) + " " + t
+    texts = [around(items[0][1])] + [around(edited[0]) for _ in range(2)] + [around(items[1][1])] + [around(edited[1]) for _ in range(40)]
+    found = find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {x.doc_id: [h.item_id for h in x.hits] for x in found} == {i: [0 if i < 3 else 1] for i in range(len(texts))}
+    score = {x.doc_id: x.hits[0].score for x in found}
+    assert all(abs(score[i] - waterman(items[k][1].split(), texts[i].split()) / 50) < 1e-9 for i, k in ((0, 0), (1, 0), (5, 1)))
+
+
+def test_score_bound(spark):
+    r = np.random.default_rng(14)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 30, r.integers(4, 25))) for _ in range(80)]
+    block = Block(list(range(80)), texts, 4)
+    for n in (0, 1, 5, 10, 20, 30):
+        h = r.permutation(block.known)[:n]
+        bound = block.bounds(np.arange(80), np.searchsorted(block.known, h))
+        assert all(waterman(s, h) <= max(b, 0) <= len(s) for s, b in zip(block.seqs, bound, strict=True))
+
+
 def test_rule_ensemble(spark):
     r = np.random.default_rng(8)
     x = r.random((3000, 12))
