@@ -6,8 +6,9 @@ message of role `tool` whose text is a JSON object with `tool_call_id` and `cont
 Everything else is plain. Results are joined to calls by (conversation, id); the join splits hot
 conversations, and nothing is gathered per conversation: one row per message goes in and out.
 
-Order: calls get a level, one above the highest call that they wait for (0 without), found by
-joining one level after another; calls in a cycle, or after a call that is missing, get none. A
+Order: calls get a level, one above the highest call that they wait for (0 without), at any depth:
+chains of calls that wait for one call each are followed by doubling steps, the others by joining one
+level after another; calls in a cycle, or after a call that is missing, get none. A
 sample is written in the order (turn, level, position): a message's calls stand in topological
 order inside it, and a result takes the place of its call's turn and level.
 """
@@ -21,8 +22,8 @@ from stratalog.llm.common import discard, materialize
 
 _CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,after:array<string>>>>"
 _RESULT = "struct<tool_call_id:string,content:string>"
-#: Deeper chains of calls count as cycles.
-DEEPEST = 64
+#: Where calls without a level stand: after all others.
+_LAST = 2**31 - 1
 
 #: Names of JSON types in schemas, as the types that values are parsed to.
 TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": "^BOOLEAN$", "array": "^ARRAY<", "object": "^OBJECT<", "null": "^VOID$"}
@@ -50,16 +51,43 @@ def call_levels(calls: DataFrame) -> DataFrame:
     done = materialize(level, "levels")
     if waits.isEmpty():
         return done
-    needs = waits.groupBy("conv_id", "call_id").agg(F.count("*").alias("needs"))
-    for depth in range(1, DEEPEST):
-        met = waits.join(done.select("conv_id", F.col("call_id").alias("dep"), "level"), ["conv_id", "dep"]).groupBy("conv_id", "call_id").agg(F.count("*").alias("met"))
-        ready = met.join(needs, ["conv_id", "call_id"]).where("met = needs").join(done, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(depth).alias("level"))
+    needs = materialize(waits.groupBy("conv_id", "call_id").agg(F.count("*").alias("needs")), "needs")
+    chains = _chains(waits.join(needs.where("needs = 1"), ["conv_id", "call_id"]).select("conv_id", "call_id", "dep"))
+    by_dep = chains.withColumnRenamed("call_id", "dep")
+    # a call of a chain stands for the call that the chain begins with; calls of endless chains have no such call
+    several = waits.join(needs.where("needs > 1"), ["conv_id", "call_id"]).join(by_dep, ["conv_id", "dep"], "left")
+    several = materialize(several.select("conv_id", "call_id", "needs", F.coalesce("begin", "dep").alias("begin"), F.coalesce("steps", F.lit(0)).alias("steps")), "several")
+    heads = lambda: done.select("conv_id", F.col("call_id").alias("begin"), "level")
+    above = (F.col("level") + F.col("steps")).cast("int")
+    while not several.isEmpty():
+        met = several.join(heads(), ["conv_id", "begin"]).groupBy("conv_id", "call_id", "needs").agg(F.count("*").alias("met"), (F.max(above) + 1).alias("level"))
+        ready = met.where("met = needs").join(done, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", "level")
         new = materialize(ready, "levels")
         if new.isEmpty():
             break
         old, done = done, materialize(done.union(new), "levels")
         discard(old)
-    return done
+    return materialize(done.union(chains.join(heads(), ["conv_id", "begin"]).select("conv_id", "call_id", above.alias("level"))), "levels")
+
+
+def _chains(waits: DataFrame) -> DataFrame:
+    """conv_id, call_id, begin, steps: where the chain of each call begins that waits for one call; waits: conv_id, call_id, dep.
+
+    begin is the first call on the way that is not in ``waits`` itself. Each round doubles the steps;
+    a round in which no chain ends leaves only calls that lead into a cycle, which have begin null.
+    """
+    now = materialize(waits.select("conv_id", "call_id", F.col("dep").alias("begin"), F.lit(1).cast("long").alias("steps"), F.lit(False).alias("ended")), "chains")
+    ended = -1
+    while True:
+        on = now.select("conv_id", F.col("call_id").alias("begin"), F.col("begin").alias("next"), F.col("steps").alias("more"), F.col("ended").alias("over"))
+        far = now.join(on, ["conv_id", "begin"], "left")
+        found = F.col("next").isNull()
+        step = far.select("conv_id", "call_id", F.coalesce("next", "begin").alias("begin"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (found | F.col("over")).alias("ended"))
+        old, now = now, materialize(step, "chains")
+        discard(old)
+        before, ended = ended, now.where("ended").count()
+        if ended == before:
+            return now.select("conv_id", "call_id", F.when(F.col("ended"), F.col("begin")).alias("begin"), "steps")
 
 
 def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -119,10 +147,10 @@ def format_chats(messages: DataFrame, schemas: DataFrame | None = None) -> DataF
         errors = argument_errors(calls, schemas)
     full = calls.join(levels, ["conv_id", "call_id"], "left").join(got, ["conv_id", "call_id"], "left").join(errors, place, "left")
     full = full.withColumn("error", F.coalesce("error", F.when(F.col("level").isNull(), F.lit("cycle"))))
-    entry = F.struct(F.coalesce("level", F.lit(DEEPEST)).alias("level"), "position", F.coalesce(F.try_parse_json("arguments"), F.parse_json(F.to_json(F.struct(F.col("arguments").alias("raw"))))).alias("arguments"), F.col("call_id").alias("id"), "name")
+    entry = F.struct(F.coalesce("level", F.lit(_LAST)).alias("level"), "position", F.coalesce(F.try_parse_json("arguments"), F.parse_json(F.to_json(F.struct(F.col("arguments").alias("raw"))))).alias("arguments"), F.col("call_id").alias("id"), "name")
     # the calls of one message
     by_message = full.groupBy("conv_id", "turn").agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("level", F.lit(DEEPEST)).alias("level"), "position", F.to_json(F.struct(entry["arguments"].alias("arguments"), entry["id"].alias("id"), entry["name"].alias("name"))).alias("json")))).alias("listed"),
+        F.sort_array(F.collect_list(F.struct(F.coalesce("level", F.lit(_LAST)).alias("level"), "position", F.to_json(F.struct(entry["arguments"].alias("arguments"), entry["id"].alias("id"), entry["name"].alias("name"))).alias("json")))).alias("listed"),
         F.count("*").alias("n_calls"),
         F.sum(F.coalesce("got", F.lit(0))).alias("n_linked"),
         F.sum(F.col("error").isNull().cast("int")).alias("n_valid"),

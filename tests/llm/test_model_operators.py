@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 
 from stratalog.llm import langid
-from stratalog.llm.chat import format_chats
+from stratalog.llm.chat import call_levels, format_chats
 from stratalog.llm.decontam import MIN_SCORE, Block, align, find_leaks
 from stratalog.llm.quality_classifier import fit, score, train
 from stratalog.llm.sharding import shard
@@ -182,3 +182,32 @@ def test_chats(spark):
     assert got[1, 3].error == "no call" and got[2, 0].n_valid == 0 and got[3, 0].error == "missing x" and got[3, 1].error == "unexpected more"
     assert got[1, 0].json == '{"content":"say \\"x\\"\\n","conv_id":1,"role":"user","turn":0}' and got[None, None].json == '{"content":"","conv_id":null,"role":null,"turn":null}'
     assert format_chats(messages).count() == len(rows) and format_chats(messages.limit(0)).collect() == []
+
+
+def test_levels_of_deep_and_tangled_calls(spark):
+    r = random.Random(20)
+    after = {(1, f"c{k}"): [f"c{k - 1}"] if k else [] for k in range(150)}  # one chain
+    after |= {(2, f"s{k}"): [f"s{k - 1}"] for k in range(1, 90)} | {(2, "s0"): ["s89"]}  # one cycle, and calls behind it
+    after |= {(2, "t0"): ["s5"], (2, "t1"): ["t0"], (2, "t2"): ["gone"], (2, "t3"): ["t2"], (2, "me"): ["me"]}
+    after |= {(3, "top"): ["c80", "d2"]} | {(3, f"c{k}"): [f"c{k - 1}"] if k else [] for k in range(81)} | {(3, "d1"): [], (3, "d2"): ["d1"], (3, "end"): ["top"]}
+    for conv in range(4, 12):  # with calls that wait for several, some for later ones
+        for k in range(20):
+            after[conv, f"x{k}"] = sorted({f"x{r.randrange(k) if k and r.random() < 0.97 else r.randrange(25)}" for _ in range(r.randrange(3))})
+    want, ready = {}, True
+    while ready:
+        ready = {k: 1 + max((want[k[0], d] for d in a), default=-1) for k, a in after.items() if k not in want and all((k[0], d) in want for d in a)}
+        want |= ready
+    calls = [(c, 0, n, i, "f", "{}", a) for n, ((c, i), a) in enumerate(after.items())]
+    levels = call_levels(spark.createDataFrame(calls, "conv_id long, turn long, position int, call_id string, name string, arguments string, after array<string>"))
+    got = levels.collect()
+    assert len(got) == len(want) and {(x.conv_id, x.call_id): x.level for x in got} == want
+
+
+def test_a_chain_of_a_hundred_calls_is_no_cycle(spark):
+    n = 100
+    calls = [{"id": f"c{k}", "name": "f", "arguments": {}, "after": [f"c{k - 1}"] if k else []} for k in range(n)]
+    rows = [(1, 0, "assistant", json.dumps({"tool_calls": calls[::-1]})), (1, 1, "tool", json.dumps({"tool_call_id": f"c{n - 1}", "content": "3"}))]
+    got = {x.turn: x for x in format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[0].n_calls, got[0].n_valid, got[0].error) == (n, n, None)
+    assert [x["id"] for x in json.loads(got[0].json)["tool_calls"]] == [f"c{k}" for k in range(n)]
+    assert got[1].order_level == n
