@@ -10,9 +10,6 @@ from pyspark.sql.window import Window as W
 
 from stratalog.operators.vectors import dot, mean_vectors, normalized
 
-#: Buckets over this size go to k-means: agglomeration is quadratic.
-MOST_AGGLOMERATED = 2000
-
 
 def kmeans(rows: DataFrame, key: str, vector: str, k: int, seed: int = 42, iterations: int = 50) -> DataFrame:
     from pyspark.ml.clustering import KMeans
@@ -23,47 +20,84 @@ def kmeans(rows: DataFrame, key: str, vector: str, k: int, seed: int = 42, itera
     return model.transform(fed).select(key, F.col("prediction").alias("label"))
 
 
-def _agglomerate(v: np.ndarray, limit: float) -> np.ndarray:
-    """Average-link clusters of unit vectors: the nearest two merge while their mean cosine distance is within ``limit``."""
+def _links(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Average-link merges of unit vectors: pairs of clusters (row i: i, merge k: n + k), and their mean cosine distances.
+
+    Nearest-neighbour chains; the mean distance of two clusters follows from their sums, so no matrix
+    of distances is held: memory grows with the rows, time with their square.
+    """
     n = len(v)
-    distance = 1 - v @ v.T
-    np.fill_diagonal(distance, np.inf)
-    size, label = np.ones(n), np.arange(n)
-    while n > 1:
-        i, j = divmod(int(distance.argmin()), n)
-        if distance[i, j] > limit:
-            break
-        i, j = min(i, j), max(i, j)
-        row = (distance[i] * size[i] + distance[j] * size[j]) / (size[i] + size[j])
-        distance[i], distance[:, i] = row, row
-        distance[i, i] = np.inf
-        distance = np.delete(np.delete(distance, j, 0), j, 1)
-        size[i] += size[j]
-        size = np.delete(size, j)
-        label[label == j] = i
-        label[label > j] -= 1
-        n -= 1
-    return label
-
-
-def agglomerative(rows: DataFrame, by: str, key: str, vector: str, thresholds=(0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6), wanted: int = 8) -> DataFrame:
-    """by, key, label: average-link cosine clusters per bucket, at the threshold whose cluster count is nearest to ``wanted``.
-
-    A bucket over ``MOST_AGGLOMERATED`` rows is clustered by Lloyd steps from evenly spaced rows instead.
+    sums, size, ids = v.copy(), np.ones(n), np.arange(n)
+    far = np.zeros(n)  # infinite for clusters that are merged away
+    pairs, heights = np.zeros((n - 1, 2), np.int64), np.zeros(n - 1)
+    chain: list[int] = []
+    for k in range(n - 1):
+        if n - k < len(ids) // 2:
+            alive = np.flatnonzero(far == 0)
+            moved = np.full(len(ids), -1)
+            moved[alive] = np.arange(len(alive))
+            sums, size, ids, far, chain = sums[alive], size[alive], ids[alive], far[alive], moved[chain].tolist() if chain else []
+        if not chain:
+            chain = [int(far.argmin())]
+        while True:
+            a = chain[-1]
+            distance = 1 - (sums @ sums[a]) / (size * size[a]) + far
+            distance[a] = np.inf
+            b = int(distance.argmin())
+            if len(chain) > 1 and distance[chain[-2]] <= distance[b] + 1e-12:
+                b = chain[-2]
+                break
+            chain.append(b)
+        del chain[-2:]
+        below = heights[ids[[a, b]][ids[[a, b]] >= n] - n]
+        pairs[k], heights[k] = (ids[a], ids[b]), max([distance[b], *below])
+        sums[a], size[a], ids[a] = sums[a] + sums[b], size[a] + size[b], n + k
+        far[b] = np.inf
+    return pairs, heights
+
+
+def _cut(pairs: np.ndarray, heights: np.ndarray, limit: float) -> np.ndarray:
+    """Labels (from 0, by first appearance) of the clusters that merges under ``limit`` make."""
+    n = len(pairs) + 1
+    top = np.arange(2 * n - 1)
+    for k in range(n - 2, -1, -1):
+        if heights[k] < limit:
+            top[pairs[k]] = top[n + k]
+    return pd.factorize(top[:n])[0]
+
+
+def _merge_tiny(v: np.ndarray, label: np.ndarray, least: int) -> np.ndarray:
+    """Labels under ``least`` rows go to the large label of the nearest centroid; as they are without a large one."""
+    size = np.bincount(label)
+    large = np.flatnonzero(size >= least)
+    if not len(large):
+        return label
+    c = np.stack([v[label == k].mean(0) for k in range(len(size))])
+    c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+    to = np.where(size >= least, np.arange(len(size)), large[(c @ c[large].T).argmax(1)])
+    return pd.factorize(to[label])[0]
+
+
+def agglomerative(rows: DataFrame, by: str, key: str, vector: str, thresholds=tuple(np.linspace(0.28, 0.68, 9)), wanted: int | None = None) -> DataFrame:
+    """by, key, label: average-link cosine clusters per bucket, alike at every size; a bucket under 10 rows is one cluster.
+
+    Of the thresholds that one counts whose clusters, after tiny ones (under n / 35 rows, 4 to 18) went
+    to the nearest, are nearest to ``wanted`` in number (unset: the root of n / 3, 2 to 18); a cluster
+    of more than 62 % of the rows counts against it. A bucket is one task: its time grows with the
+    square of its rows.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
         v = np.stack(pdf[vector].to_numpy()).astype(float)
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        if len(v) <= MOST_AGGLOMERATED:
-            label = min((_agglomerate(v, t) for t in thresholds), key=lambda x: abs(len(set(x)) - wanted))
-        else:
-            c = v[np.linspace(0, len(v) - 1, wanted).astype(int)]
-            for _ in range(20):
-                label = (v @ c.T).argmax(1)
-                c = np.stack([v[label == k].mean(0) if (label == k).any() else c[k] for k in range(wanted)])
-                c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+        n = len(v)
+        label = np.zeros(n, int)
+        if n >= 10:
+            links = _links(v)
+            aim = wanted or max(2, min(18, round((n / 3) ** 0.5)))
+            found = [_merge_tiny(v, _cut(*links, t), max(4, min(18, n // 35))) for t in thresholds]
+            label = min(found, key=lambda x: abs(x.max() + 1 - aim) + 10 * max(0.0, np.bincount(x).max() / n - 0.62))
         return pd.DataFrame({by: pdf[by], key: pdf[key], "label": label.astype(int)})
 
     kinds = dict(rows.dtypes)

@@ -158,6 +158,36 @@ def test_agglomerative(spark):
     assert groups == {frozenset(range(k, 30, 3)) for k in range(3)}
 
 
+def test_average_links_equal_greedy_merges():
+    r = np.random.default_rng(3)
+    for n in (2, 11, 40, 70):
+        v = r.normal(size=(n, 4))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        links = cluster._links(v)
+        for limit in (0.0, 0.05, 0.28, 0.43, 0.68, 2.5):
+            groups = [[i] for i in range(n)]
+            mean = lambda a, b: np.mean([1 - v[i] @ v[j] for i in a for j in b])
+            while len(groups) > 1:
+                least, i, j = min((mean(a, b), i, j) for j, b in enumerate(groups) for i, a in enumerate(groups[:j]))
+                if least >= limit:
+                    break
+                groups[i] += groups.pop(j)
+            label = cluster._cut(*links, limit)
+            assert {frozenset(np.flatnonzero(label == k).tolist()) for k in set(label)} == {frozenset(g) for g in groups}
+
+
+def test_agglomerative_is_one_method_at_every_size(spark):
+    r = np.random.default_rng(4)
+    centers = np.eye(14)[:12]
+    rows = []
+    for bucket, n in (("large", 2400), ("small", 600), ("few", 9)):  # the sought number of clusters is 18, 14 and 1
+        rows += [(bucket, i, (centers[i % 12 if bucket == "large" and i > 40 else i % 11] + r.normal(0, 0.03, 14)).tolist()) for i in range(n)]
+    got = cluster.agglomerative(spark.createDataFrame(rows, "bucket string, id int, v array<double>"), "bucket", "id", "v").collect()
+    groups = lambda bucket: {frozenset(x.id for x in got if x.bucket == bucket and x.label == k) for k in {x.label for x in got if x.bucket == bucket}}
+    assert groups("small") == {frozenset(range(k, 600, 11)) for k in range(11)} and groups("few") == {frozenset(range(9))}
+    assert groups("large") == {frozenset(i for i in range(2400) if (i % 12 if i > 40 else i % 11) == k) for k in range(12)}
+
+
 def test_species(spark):
     fields = spark.createDataFrame([(1, "title", "De Merel zingt"), (1, "post_text", "een merels en een kip"), (2, "post_text", "cheap shoes merel"), (3, "post_text", "merelachtig")], "key int, field string, text string")
     candidates = spark.createDataFrame([("merel", "Merel", "bird_species", ["merel", "merels"]), ("kip", "Kip", "animal_group", ["kip", "ab"])], "candidate_id string, label string, type string, aliases array<string>")
