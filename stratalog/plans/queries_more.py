@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stratalog.functions import scalars, urls
 from stratalog.functions import text as X
 from stratalog.operators import checks, cluster, images, publish, scoring, series, stats, vectors
-from stratalog.plans.registry import query, table
+from stratalog.plans.registry import query, table, whole_sql
 
 
 def _conversations(spark, d):
@@ -103,7 +103,16 @@ def first_images(spark, d):
 WITH c AS (SELECT conv_id, turn, CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS id FROM conversations)
 SELECT a.id AS post_id, string_agg(b.id, ',' ORDER BY b.turn) AS related FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn <> b.turn WHERE a.conv_id % 5 = 0 AND b.turn <= 6 + CASE WHEN a.turn <= 6 THEN 0 ELSE -1 END GROUP BY 1""")
 def related_posts(spark, d):
-    rows = _conversations(spark, d).where("conv_id % 5 = 0")
+    return _related_posts(_conversations(spark, d).where("conv_id % 5 = 0"))
+
+
+@query("related_posts_whole", whole_sql("related_posts", "a.conv_id % 5 = 0 AND "))
+def related_posts_whole(spark, d):
+    return _related_posts(_conversations(spark, d))
+
+
+def _related_posts(rows):
+    spark = rows.sparkSession
     units = rows.groupBy(F.col("conv_id").cast("string").alias("unit_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.concat_ws("/", "conv_id", "turn").alias("id")))), lambda x: x["id"]).alias("post_ids"))
     none = spark.createDataFrame([], "key string, neighbour string, rank int")
     return publish.related_posts(units, none).where(F.size("related") > 0).select("post_id", F.array_join("related", ",").alias("related"))
@@ -169,7 +178,15 @@ def price_ranks(spark, d):
 
 @query("asset_links", r"""SELECT page_id, regexp_replace(html, '(?i)\b(src|href)\s*=\s*(["'']?)/archive-images/', '\1=\2https://cdn.invalid/archive-images/', 'g') AS html, url || '.jpg' AS name FROM pages WHERE page_id % 10 = 0""")
 def asset_links(spark, d):
-    rows = table(spark, d, "pages").where("page_id % 10 = 0")
+    return _asset_links(table(spark, d, "pages").where("page_id % 10 = 0"))
+
+
+@query("asset_links_whole", whole_sql("asset_links", " WHERE page_id % 10 = 0"))
+def asset_links_whole(spark, d):
+    return _asset_links(table(spark, d, "pages"))
+
+
+def _asset_links(rows):
     return rows.select("page_id", urls.rewrite_assets(F.col("html"), "https://cdn.invalid").alias("html"), F.concat("url", F.lit(".jpg")).alias("name"))
 
 

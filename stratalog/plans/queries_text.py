@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stratalog.functions import scalars, spam, urls
 from stratalog.functions import text as X
 from stratalog.operators import cluster, search, species, tags, vectors
-from stratalog.plans.registry import query, table
+from stratalog.plans.registry import query, table, whole_sql
 from stratalog.sources import documents as sources
 from stratalog.sources import sinks
 
@@ -185,11 +185,24 @@ def binomial_counts(spark, d):
     return species.binomials(table(spark, d, "documents").where("lang = 'en' and n_chars < 1000"), "text", 5)
 
 
+@query("binomial_counts_whole", whole_sql("binomial_counts", " AND lang = 'en' AND n_chars < 1000"))
+def binomial_counts_whole(spark, d):
+    return species.binomials(table(spark, d, "documents"), "text", 5)
+
+
 @query("theme_terms", """
 SELECT doc_id, CASE WHEN lic AND lang THEN 'law,tongue' WHEN lic THEN 'law' WHEN lang THEN 'tongue' ELSE 'tuin' END AS tags FROM (
   SELECT doc_id, regexp_matches(text, '(?i)(^|[^a-z])(license|copyright)([^a-z]|$)') AS lic, regexp_matches(text, '(?i)(^|[^a-z])(des)([^a-z]|$)') AS lang FROM documents WHERE lang = 'en')""")
 def theme_terms(spark, d):
-    rows = table(spark, d, "documents").where("lang = 'en'")
+    return _theme_terms(table(spark, d, "documents").where("lang = 'en'"))
+
+
+@query("theme_terms_whole", whole_sql("theme_terms", " WHERE lang = 'en'"))
+def theme_terms_whole(spark, d):
+    return _theme_terms(table(spark, d, "documents"))
+
+
+def _theme_terms(rows):
     found = tags.theme_tags(F.col("text"), [("law", ["license", "copyright"]), ("tongue", ["des"])], F.array().cast("array<string>"), "tuin")
     return rows.select("doc_id", F.array_join(found, ",").alias("tags"))
 
@@ -201,7 +214,15 @@ def year_chunks(spark, d):
 
 @query("event_props", """SELECT event_id, je.key AS key, CAST(je.value AS VARCHAR) AS value FROM events, json_each(props) je WHERE event_id % 10 = 0""".replace("CAST(je.value AS VARCHAR)", "trim(CAST(je.value AS VARCHAR), '\"')"))
 def event_props(spark, d):
-    rows = table(spark, d, "events").where("event_id % 10 = 0")
+    return _event_props(table(spark, d, "events").where("event_id % 10 = 0"))
+
+
+@query("event_props_whole", whole_sql("event_props", " WHERE event_id % 10 = 0"))
+def event_props_whole(spark, d):
+    return _event_props(table(spark, d, "events"))
+
+
+def _event_props(rows):
     return rows.select("event_id", F.explode(sources.explorer_rows(F.col("props"))).alias("e")).select("event_id", "e.key", "e.value")
 
 
