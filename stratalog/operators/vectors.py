@@ -98,13 +98,39 @@ def tfidf(tokens: DataFrame, key: str, size: int = 5000) -> DataFrame:
 
 def random_projection(weights: DataFrame, key: str, dimensions: int = 384, seed: int = 42) -> DataFrame:
     """Gaussian random projection of sparse rows: a term's direction is drawn from its hash, so nothing is sent about."""
+    listed = weights.groupBy(key).agg(F.collect_list(F.struct(F.xxhash64("term", F.lit(seed)).alias("h"), F.col("weight").cast("double").alias("w"))).alias("e"))
+    listed = listed.select(key, F.transform("e", lambda x: x["h"]).alias("h"), F.transform("e", lambda x: x["w"]).alias("w"))
 
-    def gaussian(i: int) -> Column:
-        u = lambda salt: (F.pmod(F.xxhash64("term", F.lit(seed), F.lit(i), F.lit(salt)), F.lit(1 << 30)).cast("double") + 0.5) / float(1 << 30)
-        return F.sqrt(-2 * F.log(u(1))) * F.cos(2 * np.pi * u(2))
+    def run(frames):
+        for pdf in frames:
+            size = pdf.h.map(len).to_numpy()
+            part = np.cumsum(size) // _PROJECTED  # so many terms' directions are held at once, or those of one row
+            out = []
+            for _, rows in pdf.groupby(part, sort=False):
+                terms, at = np.unique(np.concatenate(rows.h.to_list()), return_inverse=True)
+                g, begin = directions(terms, dimensions), 0
+                for w in rows.w:
+                    out.append(np.asarray(w) @ g[at[begin : begin + len(w)]])
+                    begin += len(w)
+            yield pdf[[key]].assign(vector=out)
 
-    summed = weights.groupBy(key).agg(*[F.sum(F.col("weight") * gaussian(i)).alias(f"d{i}") for i in range(dimensions)])
-    return summed.select(key, normalized(F.array(*[F.col(f"d{i}") for i in range(dimensions)])).alias("vector"))
+    summed = listed.mapInPandas(run, f"{key} {dict(weights.dtypes)[key]}, vector array<double>")
+    return summed.select(key, normalized(F.col("vector")).alias("vector"))
+
+
+_PROJECTED = 1 << 14
+
+
+def directions(terms: np.ndarray, dimensions: int) -> np.ndarray:
+    """A standard normal vector for each term hash (Box and Muller's transform of two mixed hashes)."""
+
+    def uniform(salt: int) -> np.ndarray:
+        x = terms.astype(np.int64).view(np.uint64)[:, None] + np.arange(salt, 2 * dimensions, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return (((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) + 0.5) / 2**53
+
+    return np.sqrt(-2 * np.log(uniform(0))) * np.cos(2 * np.pi * uniform(1))
 
 
 def fuse(text: Column, image: Column, text_weight: Column, image_weight: Column) -> Column:

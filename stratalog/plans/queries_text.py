@@ -125,9 +125,14 @@ def tfidf_weights(spark, d):
     return vectors.tfidf(_tokens(spark, d).select("doc_id", "term"), "doc_id", 200).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
+@query("tfidf_weights_whole", whole_sql("tfidf_weights", "LIMIT 200", "LIMIT 5000"))
+def tfidf_weights_whole(spark, d):
+    return vectors.tfidf(_tokens(spark, d).select("doc_id", "term"), "doc_id").select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
 @query("tfidf_projection")
 def tfidf_projection(spark, d):
-    return vectors.random_projection(vectors.tfidf(_tokens(spark, d).select("doc_id", "term"), "doc_id", 1000), "doc_id", 16)
+    return vectors.random_projection(vectors.tfidf(_tokens(spark, d).select("doc_id", "term"), "doc_id"), "doc_id")
 
 
 @query("bm25_search", """

@@ -188,6 +188,30 @@ def test_agglomerative_is_one_method_at_every_size(spark):
     assert groups("large") == {frozenset(i for i in range(2400) if (i % 12 if i > 40 else i % 11) == k) for k in range(12)}
 
 
+def test_projection_of_the_default_size_equals_brute_force(spark):
+    g = vectors.directions(np.arange(-2000, 2000), 384)
+    assert abs(g.mean()) < 0.01 and abs(g.std() - 1) < 0.01 and abs(np.corrcoef(g[:40])[np.triu_indices(40, 1)]).max() < 0.3
+    r = random.Random(5)
+    rows = [(k, f"t{r.randrange(1500)}") for k in range(30) for _ in range(60)]
+    weights = vectors.tfidf(spark.createDataFrame(rows, "k long, term string"), "k")
+    found = {x.k: np.array(x.vector) for x in vectors.random_projection(weights, "k").collect()}
+    want: dict = {}
+    for x in weights.select("k", "weight", F.xxhash64("term", F.lit(42)).alias("h")).collect():
+        want[x.k] = want.get(x.k, 0) + x.weight * vectors.directions(np.array([x.h]), 384)[0]
+    assert set(found) == set(range(30)) and all(np.allclose(found[k], v / np.linalg.norm(v)) for k, v in want.items())
+
+
+def test_tfidf_queries_have_the_operators_defaults(spark, tmp_path):
+    from stratalog.plans import catalog
+
+    name = lambda n: "".join("abcdefghij"[int(c)] for c in f"{n:04d}")
+    rows = [(k, "s", " ".join(name(n) for n in range(10 * k, 10 * k + 12))) for k in range(120)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["tfidf_projection"](spark, str(tmp_path)).collect()
+    assert {x.doc_id for x in got} == set(range(120)) and {len(x.vector) for x in got} == {384}
+    assert catalog.QUERIES["tfidf_weights_whole"](spark, str(tmp_path)).count() == 120 * 12
+
+
 def test_species(spark):
     fields = spark.createDataFrame([(1, "title", "De Merel zingt"), (1, "post_text", "een merels en een kip"), (2, "post_text", "cheap shoes merel"), (3, "post_text", "merelachtig")], "key int, field string, text string")
     candidates = spark.createDataFrame([("merel", "Merel", "bird_species", ["merel", "merels"]), ("kip", "Kip", "animal_group", ["kip", "ab"])], "candidate_id string, label string, type string, aliases array<string>")
