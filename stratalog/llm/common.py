@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -22,13 +23,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, set only where it is unset."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, set only where it is unset.
+
+    Unset, it becomes a folder of the warehouse, which executors reach; with a master ``local[n]``,
+    where driver and executors are one process, a temporary folder.
+    """
     with contextlib.suppress(Exception):
         if found := spark.conf.get("spark.checkpoint.dir", None):
             return found.rstrip("/")
     if found := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         return found.rstrip("/")
-    own = "file://" + tempfile.mkdtemp(prefix="stratalog-")
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        own = "file://" + tempfile.mkdtemp(prefix="stratalog-")
+    else:
+        own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/stratalog-shared"
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 

@@ -16,6 +16,8 @@ import pyarrow as pa
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 20
+#: Bytes that are hashed at once, whatever the length of a row.
+HASHED_BYTES = 1 << 22
 _PERIOD = 1 << 15
 
 
@@ -135,17 +137,20 @@ def hash_spans(b: Block, s: Spans, seed: int = 1, fold: np.ndarray = ASCII_LOWER
     """A 64-bit hash of each span's folded bytes; an empty span hashes alike everywhere."""
     size = (s.end - s.start).astype(np.int64)
     out = np.zeros(len(size), U64)
-    full = np.flatnonzero(size > 0)
-    if len(full):
-        n = size[full]
+    edge = np.concatenate([[0], np.cumsum(size)])
+    for lo in range(0, int(edge[-1]), HASHED_BYTES):
+        hi = min(int(edge[-1]), lo + HASHED_BYTES)
+        spans = np.arange(np.searchsorted(edge, lo, "right") - 1, np.searchsorted(edge, hi, "left"))
+        skip = np.maximum(lo - edge[spans], 0)
+        n = np.minimum(edge[spans + 1], hi) - edge[spans] - skip
+        spans, skip, n = spans[n > 0], skip[n > 0], n[n > 0]
         at = np.cumsum(n) - n
-        total = int(n.sum())
-        rel = np.arange(total, dtype=np.int64) - np.repeat(at, n)
-        byte = fold[b.data[rel + np.repeat(s.start[full], n)]].astype(U64) + U64(1)
+        rel = np.arange(hi - lo, dtype=np.int64) - np.repeat(at - skip, n)
+        byte = fold[b.data[rel + np.repeat(s.start[spans], n)]].astype(U64) + U64(1)
         coef = _COEF[seed][rel & (_PERIOD - 1)]
-        if int(n.max()) > _PERIOD:
+        if int((n + skip).max()) > _PERIOD:
             coef = coef * _POW[seed][(rel >> 15) & 4095]
-        out[full] = np.add.reduceat(byte * coef, at)
+        out[spans] += np.add.reduceat(byte * coef, at)
     return mix(out + size.astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
