@@ -21,12 +21,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalog.llm import vectext as V
-from stratalog.llm.common import documents, held_out
+from stratalog.llm.common import discard, documents, held_out, materialize
+from stratalog.session import ship
 
 CELLS = 1 << 16
 SWITCH, TEMPER = 8.0, 0.5
 SCRIPT_SHARE = 0.005
+#: Languages that a model learns at most: those of the most training words.
 MOST_LANGUAGES = 1024
+#: Counts of so many languages are held in a worker before they are sent on; bytes whose scores are looked up at once.
+_HELD, _STEP = 64, 1 << 18
 
 #: All but ASCII letters and bytes of multi-byte characters.
 NOT_LETTER = np.ones(256, bool)
@@ -87,6 +91,13 @@ def _cells(b: V.Block, s: V.Spans) -> tuple[np.ndarray, np.ndarray]:
     return ((code * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int64), at
 
 
+def _counted(counts: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for lang, total in counts.items():
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cell), pa.string()), pa.array(cell.astype(np.int32)), pa.array(total[cell])], names=["lang", "cell", "n"])
+    counts.clear()
+
+
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
@@ -104,9 +115,9 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total = counts.setdefault(lang, np.zeros(CELLS + len(_NAMES), np.int64))
                 total[:CELLS] += np.bincount(cells[np.repeat(mine, size)], minlength=CELLS)
                 total[CELLS:] += np.bincount(script[mine], minlength=len(_NAMES))
-    for lang, total in counts.items():
-        cell = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cell), pa.string()), pa.array(cell.astype(np.int32)), pa.array(total[cell])], names=["lang", "cell", "n"])
+                if len(counts) > _HELD:
+                    yield from _counted(counts)
+    yield from _counted(counts)
 
 
 class Model:
@@ -122,13 +133,20 @@ class Model:
         self.prior = int(script.sum(1).argmax()) if langs else -1
 
 
-def train(labelled: DataFrame) -> Model:
-    """Learn from all rows (text, lang) with a text and a lang; what comes to the driver is at most 2**16 counts a language."""
+def train(labelled: DataFrame, most: int = MOST_LANGUAGES) -> Model:
+    """Learn from all rows (text, lang) with a text and a lang.
+
+    Counts are summed on the cluster; at most 2**16 a language come to the driver, of the ``most``
+    languages that have the most words (ties: by name). Others are not learned.
+    """
+    ship(labelled.sparkSession)
     rows = labelled.where("text is not null and lang is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"))
     counted = rows.mapInArrow(_train, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    got = counted.toPandas()
-    langs = sorted(set(got.lang))
-    assert len(langs) <= MOST_LANGUAGES
+    counted = materialize(counted, "language-counts")
+    words = counted.where(F.col("cell") >= CELLS).groupBy("lang").agg(F.sum("n").alias("words"))
+    langs = sorted(r.lang for r in words.orderBy(F.desc("words"), "lang").limit(most).collect())
+    got = counted.where(F.col("lang").isin(langs)).toPandas()
+    discard(counted)
     counts = np.zeros((len(langs), CELLS + len(_NAMES)), np.int64)
     counts[got.lang.map({x: k for k, x in enumerate(langs)}).to_numpy(int), got.cell.to_numpy(int)] = got.n.to_numpy(np.int64)
     return Model(langs, counts)
@@ -159,6 +177,19 @@ def best_path(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     return path
 
 
+def _word_scores(model: Model, b: V.Block, s: V.Spans) -> np.ndarray:
+    """Each word's score per language, from ``_STEP`` bytes of words at a time."""
+    out = np.empty((len(s.start), len(model.langs)), np.float32)
+    edge = np.cumsum(s.end - s.start)
+    first = 0
+    while first < len(out):
+        last = max(first + 1, int(np.searchsorted(edge, (edge[first - 1] if first else 0) + _STEP, "right")))
+        cells, at = _cells(b, V.Spans(*(x[first:last] for x in s)))
+        out[first:last] = np.add.reduceat(model.scores[cells], at, axis=0)
+        first = last
+    return out
+
+
 _SPAN = pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
 
@@ -176,8 +207,7 @@ def _label(sent, carried: int, with_spans: bool, switch: float):
                 first = np.cumsum(count) - count
                 pred, score, spans = ["und"] * n, np.zeros(n), [[] for _ in range(n)]
                 if k and len(s.row):
-                    cells, at = _cells(b, s)
-                    words = np.add.reduceat(model.scores[cells], at, axis=0)
+                    words = _word_scores(model, b, s)
                     may = model.writes[_scripts(b, s)]
                     some = may.any(axis=1)
                     words = np.where(may, words, np.where(some[:, None], words.min(axis=1, keepdims=True) - 50, 0))
@@ -214,6 +244,7 @@ def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)
     commonest learned language with score 0. Without learned languages: `und`. Columns not in
     ``carry`` are not read; rows may repeat; empty input: empty result.
     """
+    ship(docs.sparkSession)
     rows = docs.select(*carry, F.col("text").cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     fields = [T.StructField(f"c{k}", f.dataType) for k, f in enumerate(rows.schema.fields)]
