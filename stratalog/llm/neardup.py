@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 from stratalog.llm import vectext as V
 from stratalog.llm.common import discard, documents, materialize
 from stratalog.llm.components import components
+from stratalog.session import ship
 
 ROWS_PER_BAND, BANDS = 8, 110
 #: Pairs with fewer common keys are not checked: at similarity 0.8 that loses a pair with a chance of 4e-8.
@@ -137,7 +138,8 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, values, lengths in shingle_sets(batch.column(1), width):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(lengths)), V.arrow_list(values.view(np.int64), lengths, pa.int64())], names=["node", "grams"])
+                s1, s2 = _digest(values, lengths)
+                yield pa.RecordBatch.from_arrays([pa.array(s1), pa.array(s2), V.arrow_list(values.view(np.int64), lengths, pa.int64())], names=["s1", "s2", "grams"])
 
     return run
 
@@ -157,34 +159,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
 
     Null or wordless texts: n_shingles 0, linked with nothing, component_id = doc_id. Repeated rows:
     returned as often as given, all of one component. Null doc_id: belongs to its class's component,
-    null where the class has no id; kept only then. One doc_id with different texts: its rows are
-    linked as one document, by one of its texts. Empty input: empty result.
+    null where the class has no id; kept only then. One doc_id with different texts: its rows are one
+    document, which has the links of all its texts. Empty input: empty result.
     """
+    ship(docs.sparkSession)
     p = (percent / 100) ** rows
     assert sum(comb(bands, k) * p**k * (1 - p) ** (bands - k) for k in range(SHARED)) < 1e-6, "too few bands for whole links"
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "n_shingles", "s1", "s2")] + [T.StructField("bands", T.ArrayType(T.LongType()))])
     table = materialize(source.mapInArrow(_sketched(words, rows, bands), schema), "sketches")
 
-    # one node for each shingle set: its least document
-    classes = materialize(
-        table.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("copies"), F.min("n_shingles").alias("n")),
-        "classes",
-    )
+    # one node for each shingle set, and its least document; the number is unique, and fixed as it is written
+    named = table.where("n_shingles > 0 and doc_id is not null")
+    classes = named.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc"), F.min_by("bands", "doc_id").alias("bands"), F.min("n_shingles").alias("n"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     keys = classes.select("node", "n", F.explode("bands").alias("key"))
     shared = materialize(keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("members")).where("members > 1"), "buckets")
     members = materialize(keys.join(_sent(shared), "key").select("key", "node", "n", "least"), "members")
     written = members
 
     # whose sets are needed: those that share buckets enough, read once
-    wanted = materialize(members.groupBy("node", "n").agg(F.count("*").alias("k")).where(F.col("k") >= SHARED).select("node", "n"), "wanted")
-    chosen = _sent(wanted).select("node")
-    members = members.join(chosen, "node", "left_semi")
-    texts = source.join(chosen, source.doc_id == chosen.node, "left_semi")
-    grams = materialize(
-        texts.mapInArrow(_sets(words), T.StructType([T.StructField("node", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType()))])).groupBy("node").agg(F.max("grams").alias("grams")),
-        "sets",
-    )
+    often = members.groupBy("node").agg(F.count("*").alias("k")).where(F.col("k") >= SHARED).select("node")
+    wanted = materialize(classes.select("node", "n", "doc", "s1", "s2").join(often, "node"), "wanted")
+    chosen = _sent(wanted)
+    members = members.join(chosen.select("node"), "node", "left_semi")
+    texts = source.join(chosen.select("doc"), F.col("doc_id") == F.col("doc"), "left_semi")
+    sets = texts.mapInArrow(_sets(words), T.StructType([T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType()))]))
+    # a document's other texts may be of other classes
+    grams = sets.groupBy("s1", "s2").agg(F.max("grams").alias("grams")).join(chosen.select("s1", "s2", "node"), ["s1", "s2"]).select("node", "grams")
+    grams = materialize(grams, "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left, right = grams.select(F.col("node").alias("a"), F.col("grams").alias("ga")), grams.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
@@ -194,25 +197,40 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     near = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     size_of = _sent(wanted).select(F.col("node").alias("b"), F.col("n").alias("nb"))
     stars = members.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"), F.col("n").alias("na")).groupBy("a", "b", "na").agg(F.count("*").alias("k")).where("k > 1")
-    roots = components(materialize(verified(stars.join(size_of, "b").where(near).select("a", "b")), "links"))
+    links = materialize(verified(stars.join(size_of, "b").where(near).select("a", "b")).union(_texts_of_one(named, classes)), "links")
+    roots = materialize(components(links), "roots")
 
-    placed = materialize(wanted.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")), "placed")
+    placed = materialize(wanted.select("node", "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")), "placed")
     groups = materialize(_groups(members, placed), "groups")
     tested = verified(_small_pairs(groups, classes).where(near)).select("a", "b", "ra", "rb").union(_large_links(groups, grams, percent))
     more = components(materialize(tested.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links"))
-    more = more.select(F.col("node").alias("root"), F.col("root").alias("to"))
-
-    of = classes.select("s1", "s2", "node").join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root"))
-    of = of.join(more, "root", "left").select("s1", "s2", F.coalesce("to", "root").alias("root"))
-
-    component = materialize(of, "components")
-    for done in (classes, shared, written, wanted, grams, placed, groups):
+    more = materialize(more.select(F.col("node").alias("root"), F.col("root").alias("to")), "more")
+
+    linked = roots.join(more, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    linked = linked.union(more.select(F.col("root").alias("node"), F.col("to").alias("root")).join(roots, "node", "left_anti"))
+    named_root = linked.join(classes.select("node", "doc"), "node")
+    least = named_root.groupBy("root").agg(F.min("doc").alias("least"))
+    of = named_root.join(least, "root").select("node", "least")
+    component = classes.select("s1", "s2", "node", "doc").join(of, "node", "left").select("s1", "s2", F.coalesce("least", "doc").alias("least"))
+    component = materialize(component, "components")
+    for done in (classes, shared, written, wanted, grams, placed, groups, links, roots, more):
         discard(done)
     out = table.select("doc_id", "n_shingles", "s1", "s2").join(component, ["s1", "s2"], "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _texts_of_one(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of each doc_id that has several."""
+    parts = [f(c) for c in ("s1", "s2") for f in (lambda c: F.min(c).alias(f"least_{c}"), lambda c: F.max(c).alias(f"most_{c}"))]
+    several = named.groupBy("doc_id").agg(*parts).where("least_s1 <> most_s1 or least_s2 <> most_s2").select("doc_id")
+    several = materialize(several, "texts-of-one")
+    if several.isEmpty():
+        return several.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    nodes = named.join(_sent(several), "doc_id").select("doc_id", "s1", "s2").distinct().join(classes.select("s1", "s2", "node"), ["s1", "s2"]).select("doc_id", "node")
+    return nodes.join(nodes.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
+
+
 def _groups(members: DataFrame, placed: DataFrame) -> DataFrame:
     """group, node, n, root, outside, all: per largest component of any mixed bucket (``group``), its classes and those outside of it that meet it, with their numbers."""
     rows = members.select("key", "node").join(_sent(placed), "node")

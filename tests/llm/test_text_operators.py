@@ -42,6 +42,14 @@ def test_hashes_do_not_depend_on_the_block():
     assert all(len(v) == 1 for v in found.values()) and len(set().union(*found.values())) == 3
 
 
+def test_hashes_do_not_depend_on_the_step(monkeypatch):
+    b = next(V.blocks(pa.array(["ab  cde", "x" * 40_000 + " y", "", " fgh" * 9])))
+    s = V.words(b)
+    want = V.hash_spans(b, s)
+    monkeypatch.setattr(V, "HASHED_BYTES", 7)
+    assert (V.hash_spans(b, s) == want).all() and len(V.hash_spans(b, V.Spans(*(x[:0] for x in s)))) == 0
+
+
 def test_minimal_perfect_hash():
     r = np.random.default_rng(1)
     h1, h2 = r.integers(0, 1 << 63, 5000).astype(np.uint64), r.integers(0, 1 << 63, 5000).astype(np.uint64)
@@ -95,6 +103,10 @@ def test_near_duplicates(spark, n, large, monkeypatch):
         for _ in range(r.randint(1, 9)):
             w[r.randrange(len(w))] = word(r)
         rows.append((2000 + k, " ".join(w), None, None, 0, base[:3], None, None, None))
+    # two texts of one document, and a near copy of each
+    for k in (0, 1):
+        text = [word(r) for _ in range(60)]
+        rows += [(3000, " ".join(text), None, None, 0, "", None, None, None), (3001 + k, " ".join([*text[:-1], "zz"]), None, None, 0, "", None, None, None)]
     sets = [shingles(row[1], n) for row in rows]
     root = list(range(len(rows)))
 
@@ -108,6 +120,10 @@ def test_near_duplicates(spark, n, large, monkeypatch):
             both = len(sets[i] & sets[j])
             if both and (100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both)):
                 root[find(i)] = find(j)
+    one = {}
+    for i, row in enumerate(rows):
+        if sets[i] and row[0] is not None:
+            root[find(i)] = find(one.setdefault(row[0], i))
     least = {}
     for i, row in enumerate(rows):
         if row[0] is not None:
@@ -118,6 +134,7 @@ def test_near_duplicates(spark, n, large, monkeypatch):
         want.append((row[0], len(sets[i]), component, row[0] == component))
     got = near_duplicates(frame(spark, rows), words=n).collect()
     assert key(tuple(x) for x in got) == key(want)
+    assert {x.component_id for x in got if x.doc_id in (3000, 3001, 3002)} == {3000}
 
 
 def test_near_duplicates_of_nothing(spark):
