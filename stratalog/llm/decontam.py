@@ -8,8 +8,12 @@ if the score is ``min_score`` or more per word of the segment. Before that, segm
 whose score cannot reach this: a word of the segment that the document (or the place) holds nowhere
 costs 0.5 at least, another brings 1 at most, so the best run of such values bounds the score.
 
-The items are processed in blocks of at most ``block_bytes`` of their measured size, one pass each
-(a benchmark of usual size is one block), so that what is broadcast is bounded.
+A segment of fewer words than an n-gram has none; it is found where its words stand one after another.
+
+The items are processed in blocks of at most ``block_bytes`` of their measured size, so that what is
+broadcast is bounded. A benchmark of usual size is one block and one pass over the documents. With
+more, one pass marks the documents that may hold an n-gram of any item (a bit map of hashes), and the
+blocks are laid against those only.
 """
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalog.llm import vectext as V
-from stratalog.llm.common import documents, materialize
+from stratalog.llm.common import discard, documents, materialize
+from stratalog.session import ship
 
 SEED_WORDS, SEGMENT = 4, 256
 MIN_SCORE = 0.5
@@ -54,6 +59,7 @@ class Block:
         self.ids, self.words = ids, words
         self.item, self.seqs = [], []
         grams, where = [], []
+        short: dict[int, list[tuple[int, int]]] = {}
         for b in V.blocks(pa.array(texts, pa.string()), 1 << 30):
             s = V.words(b, V.IS_PUNCT)
             h = V.hash_spans(b, s)
@@ -62,12 +68,16 @@ class Block:
                 for a in range(0, max(1, len(mine) - SEGMENT // 2), SEGMENT // 2):
                     seq = mine[a : a + SEGMENT]
                     if len(seq) < words:
+                        if len(seq):
+                            short.setdefault(len(seq), []).append((int(V.ngrams(seq, np.zeros(len(seq), np.int64), len(seq))[0][0]), r))
                         continue
                     g, _ = V.ngrams(seq, np.zeros(len(seq), np.int64), words)
                     grams.append(g)
                     where.append(np.stack([np.full(len(g), len(self.seqs)), np.arange(len(g))], 1))
                     self.item.append(r)
                     self.seqs.append(seq)
+        #: Per number of words: sorted hashes of the segments that have no n-gram, and their items.
+        self.short = {n: (np.array([h for h, _ in sorted(of)], V.U64), [r for _, r in sorted(of)]) for n, of in sorted(short.items())}
         g = np.concatenate(grams) if grams else np.zeros(0, V.U64)
         self.where = np.concatenate(where) if where else np.zeros((0, 2), np.int64)
         order = np.argsort(g, kind="stable")
@@ -79,6 +89,21 @@ class Block:
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.grams >> V.U64(44)).astype(np.int64)] = True
 
+    def verbatim(self, h: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, dict]]:
+        """Row and hit of each segment without n-grams that stands in the rows' words, at its first place."""
+        for n, (hashes, items) in self.short.items():
+            g, at = V.ngrams(h, row, n)
+            some = np.flatnonzero(np.isin(g, hashes))
+            seen = set()
+            for i in some.tolist():
+                r, word = int(row[at[i]]), int(at[i])
+                if (r, int(g[i])) in seen:
+                    continue
+                seen.add((r, int(g[i])))
+                first = word - int(np.searchsorted(row, r))
+                for k in range(int(np.searchsorted(hashes, g[i], "left")), int(np.searchsorted(hashes, g[i], "right"))):
+                    yield r, {"item_id": self.ids[items[k]], "score": 1.0, "first_word": first, "last_word": first + n - 1}
+
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indexes of the hashes that are n-grams here, and which."""
         at = np.flatnonzero(self.maybe[(h >> V.U64(44)).astype(np.int64)])
@@ -162,38 +187,85 @@ def _search(sent, carried: int, more: bool, kind: pa.DataType, min_score: float)
                     for x, y in zip(edge[:-1], edge[1:], strict=True):
                         r = int(row[x])
                         found[r] = found[r] + block.hits(h[first[r] : first[r + 1]], place[x:y] - first[r], k[x:y], min_score)
+                for r, one in block.verbatim(h, s.row):
+                    found[r] = found[r] + [one]
                 columns = [batch.column(c).slice(b.first, n) for c in range(carried)] + [text.slice(b.first, n), pa.array(found, pa.list_(hit))]
                 yield pa.RecordBatch.from_arrays(columns, names=[f"c{c}" for c in range(len(columns))])
 
     return run
 
 
+def _marks(blocks: Iterator[Block], n_grams: int, words: int):
+    """A function of Arrow batches that adds whether a text may hold an n-gram or short segment of any block."""
+    bits = max(20, min(30, int(16 * n_grams).bit_length()))
+    held, lengths = np.zeros(1 << bits >> 3, np.uint8), set()
+    for block in blocks:
+        for g in (block.grams, *(h for h, _ in block.short.values())):
+            at = g >> V.U64(64 - bits)
+            np.bitwise_or.at(held, (at >> V.U64(3)).astype(np.int64), (1 << (at & V.U64(7)).astype(np.int64)).astype(np.uint8))
+        lengths |= {words, *block.short}
+    return bits, held, sorted(lengths)
+
+
+def _mark(sent, carried: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        V.release()
+        bits, held, lengths = sent.value
+        for batch in batches:
+            for b in V.blocks(batch.column(carried)):
+                n = len(b.starts)
+                s = V.words(b, V.IS_PUNCT)
+                h = V.hash_spans(b, s)
+                some = np.zeros(n, bool)
+                for k in lengths:
+                    g, at = V.ngrams(h, s.row, k)
+                    place = g >> V.U64(64 - bits)
+                    some[s.row[at[(held[(place >> V.U64(3)).astype(np.int64)] >> (place & V.U64(7)).astype(np.uint8)) & 1 == 1]]] = True
+                columns = [batch.column(c).slice(b.first, n) for c in range(carried + 1)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(some)], names=[f"c{c}" for c in range(carried + 2)])
+
+    return run
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, carry: tuple[str, ...] = ("doc_id",), words: int = SEED_WORDS, min_score: float = MIN_SCORE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``carry``, text and hits of every row of ``docs``; hits: item_id, score, first_word, last_word of each item found.
 
     ``items``: item_id, text. score is the best segment's alignment per word of the segment (1: word
-    for word). Items of fewer than ``words`` words and null items are not searched: chance would find
-    them. Null and empty documents have no hits; repeated rows and items are treated alike; columns
+    for word). Items of fewer than ``words`` words are found word for word only; null items and items
+    without a word are not searched. item_id comes back as a long if it is a whole number, else as a
+    string. Null and empty documents have no hits; repeated rows and items are treated alike; columns
     not in ``carry`` are not read. Without documents or items: empty result or no hits.
     """
-    spark = docs.sparkSession
-    listed = items.where("text is not null").select("item_id", F.col("text").cast("string").alias("text")).distinct()
+    spark = ship(docs.sparkSession)
+    whole = dict(items.dtypes)["item_id"] in ("tinyint", "smallint", "int", "bigint")
+    listed = items.where("text is not null").select(F.col("item_id").cast("long" if whole else "string").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     size = F.octet_length("text") + 64
     listed = materialize(listed.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-int(listed.agg(F.sum(size)).first()[0] or 0) // block_bytes))))), "items")
-    kind = pa.int64() if dict(listed.dtypes)["item_id"] in ("bigint", "int") else pa.string()
+    kind = pa.int64() if whole else pa.string()
     state = docs.select(*carry, F.col("text").cast("string").alias("text"))
     fields = [T.StructField(f"c{k}", f.dataType) for k, f in enumerate(state.schema.fields)]
     hit = T.StructType([T.StructField("item_id", T.LongType() if kind == pa.int64() else T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType())])
     schema = T.StructType([*fields, T.StructField(f"c{len(fields)}", T.ArrayType(hit))])
     numbers = [r[0] for r in listed.select("block").distinct().sort("block").collect()] or [0]
-    for k, number in enumerate(numbers):
+
+    def block(number: int) -> Block:
         rows = listed.where(F.col("block") == number).sort("item_id", "text").collect()
-        block = Block([r.item_id for r in rows], [r.text for r in rows], words)
-        seeds = spark.sparkContext.broadcast(block)
-        if k:
-            state = materialize(state, "leaks")
-        state = state.mapInArrow(_search(seeds, len(carry), k > 0, kind, min_score), schema)
-    return state.toDF(*carry, "text", "hits")
+        return Block([r.item_id for r in rows], [r.text for r in rows], words)
+
+    rest = None
+    if len(numbers) > 1:
+        n_grams = listed.agg(F.sum(F.octet_length("text"))).first()[0]
+        sent = spark.sparkContext.broadcast(_marks(map(block, numbers), n_grams, words))
+        marked = state.mapInArrow(_mark(sent, len(carry)), T.StructType([*fields, T.StructField("near", T.BooleanType())]))
+        state = materialize(marked.where("near").drop("near"), "leaks")
+        rest = marked.where("not near").drop("near").withColumn("hits", F.array().cast(T.ArrayType(hit)))
+    for k, number in enumerate(numbers):
+        found = state.mapInArrow(_search(spark.sparkContext.broadcast(block(number)), len(carry), k > 0, kind, min_score), schema)
+        if k < len(numbers) - 1:
+            old, found = state, materialize(found, "leaks")
+            discard(old)
+        state = found
+    return (state if rest is None else state.union(rest)).toDF(*carry, "text", "hits")
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

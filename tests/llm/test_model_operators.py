@@ -90,6 +90,18 @@ def test_leaks(spark):
     assert find_leaks(frame(spark, clean), spark.createDataFrame([], "item_id long, text string")).where("size(hits) > 0").count() == 0
 
 
+def test_short_items_are_found_word_for_word(spark):
+    items = [(1, "quokka zebra marmot"), (2, "Quokka, zebra"), (3, "yak"), (4, "!?"), (5, "quokka zebra"), (6, "one two three four five")]
+    texts = {1: "quokka zebra marmot", 2: "a Zebra. Marmot", 3: "the quokka-zebra; a YAK yak", 4: "", 5: None, 6: "quokka marmot zebra", 7: "so one two three four five it is"}
+    want = {1: [(1, 0, 2), (2, 0, 1), (5, 0, 1)], 2: [], 3: [(2, 1, 2), (3, 4, 4), (5, 1, 2)], 4: [], 5: [], 6: [], 7: [(6, 1, 5)]}
+    for kind in ("long", "smallint", "string", "decimal(9,2)"):
+        rows = spark.createDataFrame(items, "item_id long, text string").selectExpr(f"cast(item_id as {kind}) item_id", "text")
+        for block_bytes in (1 << 20, 70):
+            got = find_leaks(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), rows, block_bytes=block_bytes).collect()
+            assert {x.doc_id: sorted((int(float(h.item_id)), h.first_word, h.last_word) for h in x.hits) for x in got} == want
+            assert all(h.score == 1 for x in got for h in x.hits)
+
+
 def test_edited_copies_are_found_beside_a_verbatim_one(spark):
     r = random.Random(16)
     items = [(k, " ".join(word(r) for _ in range(50))) for k in range(3)]
