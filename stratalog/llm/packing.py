@@ -1,6 +1,7 @@
 """Packing tokenised documents into windows by Karmarkar-Karp multiway differencing.
 
-Documents are dealt into blocks of about ``block_bytes`` of text by a hash. Each block tokenises its
+Documents are dealt into blocks of about ``block_bytes`` of text by a hash of row and input partition,
+so that rows which are given again and again do not meet in one block. Each block tokenises its
 documents, cuts off whole windows of long ones, and differences the rest into m windows: every piece
 starts as a partition of m sums of which one is not zero; the two partitions with the largest spread
 are merged, largest sum upon smallest, until one is left. If its largest window is over the
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from stratalog.llm.common import documents
 from stratalog.llm.tokens import encoder, slices
+from stratalog.session import ship
 
 CAPACITY = 4096
 BLOCK_BYTES = 4 << 20
@@ -124,10 +126,11 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
     ``piece`` ids. Repeated rows are packed as often as they are given; other columns are not read.
     Empty input: empty result.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)))
     return dealt.groupBy("block").applyInArrow(_pack(tokenizer, by_word, end_id, capacity, piece, with_tokens), _PIECE)
 
 

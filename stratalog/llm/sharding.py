@@ -8,8 +8,10 @@ so that it fills whole shards. The last step settles the law `rows`: what is ove
 documents without links, fill the free places by gapless rank, so that counts differ by one at most.
 
 What rounds shuffle is one row per group part, first shard and shard, never the documents; loads,
-quotas and admission tables have a fixed number of rows. Ranks are counted per shard and one of
-``BUCKETS`` hash ranges, so that no task sorts a whole shard.
+quotas and admission tables have a fixed number of rows. Ranks are counted per shard and bucket:
+``GROUP_BUCKETS`` ranges of group hashes by ``ROW_BUCKETS`` of row hashes, so that no task sorts a whole
+shard or the whole of a large group. Row hashes hold the row's place in the input, so that rows
+alike (null ids, repeated rows) do not meet in one bucket either.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from stratalog.llm.common import discard, documents, materialize
+from stratalog.session import ship
 
-SHARDS, ROUNDS, BUCKETS = 40, 8, 1024
+SHARDS, ROUNDS = 40, 8
+GROUP_BUCKETS, ROW_BUCKETS = 64, 128
 #: Share of a shard that a part of a group may take.
 PART_OF_SHARD = 0.8
 
@@ -34,6 +38,11 @@ def _loads(state: DataFrame, shards: int) -> list[int]:
     return [int(got.get(j, 0)) for j in range(shards)]
 
 
+def _bucket(group: Column) -> Column:
+    """Buckets keep the rows of a group together, and part them by the hash of the row."""
+    return F.pmod(F.shiftrightunsigned(group, 32), F.lit(GROUP_BUCKETS)) * ROW_BUCKETS + F.pmod(F.col("salt"), F.lit(ROW_BUCKETS))
+
+
 def _ranked(rows: DataFrame, by: list[str], bucket: Column, order: list, name: str) -> DataFrame:
     """``name``: each row's gapless rank from 0 within ``by``, ordered by bucket, then ``order``."""
     rows = rows.withColumn("b_", bucket)
@@ -41,7 +50,7 @@ def _ranked(rows: DataFrame, by: list[str], bucket: Column, order: list, name: s
     upto = W.partitionBy(*by).orderBy("b_").rowsBetween(W.unboundedPreceding, -1)
     before = counts.select(*by, "b_", F.coalesce(F.sum("c_").over(upto), F.lit(0)).alias("before_"))
     place = F.row_number().over(W.partitionBy(*by, "b_").orderBy(*order)) - 1
-    # at most BUCKETS rows for each shard
+    # at most GROUP_BUCKETS * ROW_BUCKETS rows for each shard
     return rows.withColumn("place_", place).join(F.broadcast(before), [*by, "b_"]).withColumn(name, F.col("before_") + F.col("place_")).drop("b_", "place_", "before_")
 
 
@@ -79,40 +88,42 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     size is the text's UTF-8 bytes plus 16; null texts count as empty, and are equal to them. Law
     `rows`: shards' row counts differ by one at most; slot is gapless from 0 in each shard;
-    grown_shard is null. Repeated rows and null ids are rows like others. Other columns are not read.
-    Empty input: empty result.
+    grown_shard is null. Repeated rows and null ids are rows like others; of rows alike in id and text
+    their place in the input decides. Other columns are not read. Empty input: empty result.
     """
+    ship(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("text"), text, F.octet_length(text)).alias("k2"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("text"), text, F.octet_length(text)).alias("k2"), F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("salt"))
     base = materialize(base, "rows")
     total = base.count()
     quotas = [total // shards + (j < total % shards) for j in range(shards)]
     part = max(1, int(PART_OF_SHARD * (total // shards)))
     groups = base.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / part))
-    first = F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)).cast("int")
-    gid = F.xxhash64("k1", "k2", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
-    rows = base.join(groups, ["k1", "k2"], "left").select("doc_id", "size", "text_crc32", first.alias("first"), F.when(F.col("parts").isNotNull(), gid).alias("gid"))
+    # a null id says nothing about its row
+    own = F.when(F.col("doc_id").isNull(), F.col("salt")).otherwise(F.xxhash64("doc_id"))
+    first = F.pmod(F.xxhash64(own, F.lit("shard")), F.lit(shards)).cast("int")
+    gid = F.xxhash64("k1", "k2", F.pmod(own, F.col("parts")))
+    rows = base.join(groups, ["k1", "k2"], "left").select("doc_id", "size", "text_crc32", "salt", first.alias("first"), F.when(F.col("parts").isNotNull(), gid).alias("gid"))
     rows = materialize(rows, "linked")
     state = materialize(rows.where("gid is not null").groupBy("gid", "first").agg(F.count("*").alias("c")).withColumn("shard", F.col("first")).select("gid", "first", "shard", "c"), "labels")
     state = propagate(state, quotas)
 
     linked = rows.where("gid is not null").join(state.select("gid", "first", "shard"), ["gid", "first"])
-    linked = _ranked(linked, ["shard"], F.shiftrightunsigned("gid", 54), ["gid", "doc_id", "text_crc32"], "place")
+    linked = _ranked(linked, ["shard"], _bucket(F.col("gid")), ["gid", "doc_id", "text_crc32"], "place")
     linked = materialize(linked, "placed")
     stays = F.col("place") < _picked(quotas, F.col("shard"))
     held = {r[0]: r[1] for r in linked.where(stays).groupBy("shard").count().collect()}
-    over = linked.where(~stays).select("doc_id", "size", "text_crc32", "gid")
-    pool = over.union(rows.where("gid is null").select("doc_id", "size", "text_crc32", "gid")).withColumn("all_", F.lit(0))
-    at = F.coalesce(F.col("gid"), F.xxhash64("doc_id"))
-    pool = _ranked(pool, ["all_"], F.shiftrightunsigned(at, 54), ["gid", "doc_id", "text_crc32"], "place")
+    columns = ["doc_id", "size", "text_crc32", "salt"]
+    over = linked.where(~stays).select(*columns, "gid")
+    pool = over.union(rows.where("gid is null").select(*columns, "gid")).withColumn("all_", F.lit(0))
+    pool = _ranked(pool, ["all_"], _bucket(F.coalesce("gid", "salt")), ["gid", "doc_id", "text_crc32"], "place")
     ends, end = [], 0
     for j in range(shards):
         end += quotas[j] - int(held.get(j, 0))
         ends.append(end)
     fill = sum((F.when(F.col("place") >= e, 1).otherwise(0) for e in ends[1:]), F.when(F.col("place") >= ends[0], 1).otherwise(0))
-    columns = ["doc_id", "size", "text_crc32", "shard"]
-    out = linked.where(stays).select(*columns).union(pool.withColumn("shard", fill).select(*columns))
-    out = _ranked(out, ["shard"], F.shiftrightunsigned(F.xxhash64("doc_id"), 54), ["doc_id", "text_crc32"], "slot")
+    out = linked.where(stays).select(*columns, "shard").union(pool.withColumn("shard", fill).select(*columns, "shard"))
+    out = _ranked(out, ["shard"], _bucket(F.col("salt")), ["doc_id", "text_crc32"], "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 

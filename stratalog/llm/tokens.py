@@ -25,8 +25,11 @@ from pyspark.sql.window import Window as W
 
 from stratalog.llm import vectext as V
 from stratalog.llm.common import documents, new_path, shuffle_width
+from stratalog.session import ship
 
 CACHED_WORDS = 550_000
+#: Bytes of text of a file of a token store.
+FILE_BYTES = 128 << 20
 
 
 class Encoder:
@@ -171,15 +174,19 @@ def _encode(path: str, by_word: bool, end_id: int):
 _STORE = "doc_id long, part int, local_start long, n_tokens long, tokens array<int>"
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, by_word: bool = True, row_group_bytes: int = 32 << 20, page_rows: int = 1000) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, by_word: bool = True, row_group_bytes: int = 32 << 20, page_rows: int = 1000, file_bytes: int = FILE_BYTES) -> None:
     """Write the ids of every whole text of ``docs`` (doc_id, text), each followed by ``end_id``, as a token store.
 
     Null texts are empty (the end id alone). Rows are ordered by doc_id (null first), repeated ids by
-    their text's hash; other columns are not read. Empty input: an empty store.
+    their text's hash; other columns are not read. Empty input: an empty store. There is a file for
+    each ``file_bytes`` of text, and at least one for each shuffle partition of the session.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = ["doc_id", F.xxhash64("text")]
-    ranged = rows.repartitionByRange(shuffle_width(docs.sparkSession), *order).sortWithinPartitions(*order)
+    total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
+    files = max(shuffle_width(docs.sparkSession), -(-int(total) // file_bytes))
+    ranged = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
     writer = ranged.mapInArrow(_encode(tokenizer, by_word, end_id), _STORE).write
     options = {
         "parquet.writer.version": "v2",
