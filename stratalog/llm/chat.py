@@ -8,8 +8,8 @@ conversations, and nothing is gathered per conversation: one row per message goe
 
 Order: calls get a level, one above the highest call that they wait for (0 without), at any depth:
 chains of calls that wait for one call each are followed by doubling steps, the others by joining one
-level after another; calls in a cycle, or after a call that is missing, get none. A
-sample is written in the order (turn, level, position): a message's calls stand in topological
+level after another; calls in a cycle or behind one, and calls that wait for a call which is not
+there, at whatever distance, get none. A sample is written in the order (turn, level, position): a message's calls stand in topological
 order inside it, and a result takes the place of its call's turn and level.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import discard, materialize
+from stratalog.llm.common import WS_CLASS, discard, materialize
 
 _CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,after:array<string>>>>"
 _RESULT = "struct<tool_call_id:string,content:string>"
@@ -44,11 +44,17 @@ def tool_calls(messages: DataFrame) -> DataFrame:
 
 
 def call_levels(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, level: the topological level of each distinct call; calls without one are absent."""
-    nodes = calls.where("call_id is not null").select("conv_id", "call_id").distinct()
+    """conv_id, call_id, level, missing: the topological level of each distinct call.
+
+    Calls in a cycle or behind one are absent; with a null level and ``missing`` stand those that wait,
+    themselves or through others, for a call that is not there.
+    """
+    nodes = materialize(calls.where("call_id is not null").select("conv_id", "call_id").distinct(), "nodes")
     waits = materialize(calls.where("call_id is not null").select("conv_id", "call_id", F.explode("after").alias("dep")).distinct(), "waits")
-    level = nodes.join(waits.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
-    done = materialize(level, "levels")
+    level = nodes.join(waits.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"), F.lit(False).alias("missing"))
+    # calls that are not there stand at level 0, and mark all that wait for them
+    absent = waits.select("conv_id", F.col("dep").alias("call_id")).distinct().join(nodes, ["conv_id", "call_id"], "left_anti")
+    done = materialize(level.union(absent.select("conv_id", "call_id", F.lit(0), F.lit(True))), "levels")
     if waits.isEmpty():
         return done
     needs = materialize(waits.groupBy("conv_id", "call_id").agg(F.count("*").alias("needs")), "needs")
@@ -57,17 +63,21 @@ def call_levels(calls: DataFrame) -> DataFrame:
     # a call of a chain stands for the call that the chain begins with; calls of endless chains have no such call
     several = waits.join(needs.where("needs > 1"), ["conv_id", "call_id"]).join(by_dep, ["conv_id", "dep"], "left")
     several = materialize(several.select("conv_id", "call_id", "needs", F.coalesce("begin", "dep").alias("begin"), F.coalesce("steps", F.lit(0)).alias("steps")), "several")
-    heads = lambda: done.select("conv_id", F.col("call_id").alias("begin"), "level")
+    heads = lambda: done.select("conv_id", F.col("call_id").alias("begin"), "level", "missing")
     above = (F.col("level") + F.col("steps")).cast("int")
     while not several.isEmpty():
-        met = several.join(heads(), ["conv_id", "begin"]).groupBy("conv_id", "call_id", "needs").agg(F.count("*").alias("met"), (F.max(above) + 1).alias("level"))
-        ready = met.where("met = needs").join(done, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", "level")
+        met = several.join(heads(), ["conv_id", "begin"]).groupBy("conv_id", "call_id", "needs").agg(F.count("*").alias("met"), (F.max(above) + 1).alias("level"), F.max("missing").alias("missing"))
+        ready = met.where("met = needs").join(done, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", "level", "missing")
         new = materialize(ready, "levels")
         if new.isEmpty():
             break
         old, done = done, materialize(done.union(new), "levels")
         discard(old)
-    return materialize(done.union(chains.join(heads(), ["conv_id", "begin"]).select("conv_id", "call_id", above.alias("level"))), "levels")
+    every = done.union(chains.join(heads(), ["conv_id", "begin"]).select("conv_id", "call_id", above.alias("level"), "missing"))
+    every = materialize(every.join(nodes, ["conv_id", "call_id"], "left_semi").withColumn("level", F.when(~F.col("missing"), F.col("level"))), "levels")
+    for used in (nodes, waits, needs, several, done):
+        discard(used)
+    return every
 
 
 def _chains(waits: DataFrame) -> DataFrame:
@@ -114,8 +124,8 @@ def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 
 
 def _typed(objects: DataFrame, key: list[str]) -> DataFrame:
-    objects.createOrReplaceTempView("stratalog_objects")
-    return objects.sparkSession.sql(f"SELECT {', '.join(key)}, name, x.key AS param, schema_of_variant(x.value) AS found FROM stratalog_objects, LATERAL variant_explode(v) AS x")
+    each = objects.sparkSession.tvf.variant_explode(F.col("v").outer()).toDF("at_", "param", "value_")
+    return objects.lateralJoin(each).select(*key, "name", "param", F.schema_of_variant("value_").alias("found"))
 
 
 def format_chats(messages: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
@@ -125,7 +135,7 @@ def format_chats(messages: DataFrame, schemas: DataFrame | None = None) -> DataF
     carries calls lists them in topological order (no level: last, by position). For a result,
     linked_turn is its call's turn, and (order_turn, order_level) that call's place; error is
     `no call` without one. For calls, error is the first error of any of them: an argument error,
-    or `cycle`. Without ``schemas`` arguments need only be objects. Calls of one id in one
+    `cycle`, or `after a missing call`. Without ``schemas`` arguments need only be objects. Calls of one id in one
     conversation: the first by (turn, position) is the one. Null texts are empty; null ids are never
     linked; repeated rows are returned as given, and count as one message for linking. Other columns
     are not read. Empty input: empty result.
@@ -146,7 +156,7 @@ def format_chats(messages: DataFrame, schemas: DataFrame | None = None) -> DataF
     else:
         errors = argument_errors(calls, schemas)
     full = calls.join(levels, ["conv_id", "call_id"], "left").join(got, ["conv_id", "call_id"], "left").join(errors, place, "left")
-    full = full.withColumn("error", F.coalesce("error", F.when(F.col("level").isNull(), F.lit("cycle"))))
+    full = full.withColumn("error", F.coalesce("error", F.when(F.col("missing"), F.lit("after a missing call")).when(F.col("level").isNull(), F.lit("cycle"))))
     entry = F.struct(F.coalesce("level", F.lit(_LAST)).alias("level"), "position", F.coalesce(F.try_parse_json("arguments"), F.parse_json(F.to_json(F.struct(F.col("arguments").alias("raw"))))).alias("arguments"), F.col("call_id").alias("id"), "name")
     # the calls of one message
     by_message = full.groupBy("conv_id", "turn").agg(
@@ -181,15 +191,63 @@ def format_chats(messages: DataFrame, schemas: DataFrame | None = None) -> DataF
     )
 
 
-def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+#: The tools of :func:`tool_traffic`: tool, param, type, required.
+TRAFFIC_TOOLS = [("search", "words", "integer", True), ("reply", "prompt", "string", True), ("reply", "turn", "integer", True)]
+
 
+def tool_traffic(conversations: DataFrame) -> DataFrame:
+    """Conversations (conv_id, turn, role, text) as the traffic of two tools, one message for each.
 
-#: The messages of the driver's tables carry no calls; on such rows this is the whole result.
-OP1_SQL = """
-SELECT conv_id, turn, turn AS order_turn, CAST(0 AS INTEGER) AS order_level, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_linked,
-       CAST(0 AS BIGINT) AS n_valid, CAST(NULL AS BIGINT) AS linked_turn, CAST(NULL AS VARCHAR) AS error,
-       '{"content":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',"conv_id":' || coalesce(CAST(conv_id AS VARCHAR), 'null')
-       || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || ',"turn":' || coalesce(CAST(turn AS VARCHAR), 'null') || '}' AS json
-FROM conversations
+    A user's turn t carries two calls: r(t) to `reply`, with the text as its prompt, waits for s(t) and,
+    from turn 2 on, for r(t - 2); s(t) to `search` has the number of words, and of lines where there
+    are several, which that tool does not know. An assistant's turn t is the result of r(t - 1).
+    Messages that are calls or results already, those of other roles and those without a turn stay.
+    """
+    text, t = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("turn")
+    name = lambda letter, k: F.concat(F.lit(letter), k.cast("string"))
+    lines = F.size(F.split(text, "\n"))
+    words = F.size(F.filter(F.split(text, f"[{WS_CLASS}]+"), lambda w: w != ""))
+    known = F.to_json(F.struct(words.alias("words"), F.when(lines > 1, lines).alias("lines")))
+    search = F.to_json(F.struct(name("s", t).alias("id"), F.lit("search").alias("name"), known.alias("arguments")))
+    waits = F.concat(F.array(name("s", t)), F.when(t >= 2, F.array(name("r", t - 2))).otherwise(F.array().cast("array<string>")))
+    reply = F.to_json(F.struct(name("r", t).alias("id"), F.lit("reply").alias("name"), F.struct(t.alias("turn"), text.alias("prompt")).alias("arguments"), waits.alias("after")))
+    carried = F.concat(F.lit('{"tool_calls":['), reply, F.lit(","), search, F.lit("]}"))
+    result = F.to_json(F.struct(name("r", t - 1).alias("tool_call_id"), text.alias("content")))
+    stays = t.isNull() | F.col("role").isNull() | (F.trim(text).startswith("{") & text.rlike("tool_call"))
+    asks, answers = ~stays & (F.col("role") == "user"), ~stays & (F.col("role") == "assistant")
+    return conversations.select("conv_id", "turn", F.when(answers, "tool").otherwise(F.col("role")).alias("role"), F.when(asks, carried).when(answers, result).otherwise(text).alias("text"))
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schemas = spark.createDataFrame(TRAFFIC_TOOLS, "tool string, param string, type string, required boolean")
+    return format_chats(tool_traffic(spark.read.parquet(f"{sf_dir}/conversations.parquet")), schemas)
+
+
+#: Levels by recursion, links by join, errors and canonical JSON written out; texts of the tables are no JSON of calls.
+OP1_SQL = r"""
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, role, CAST(to_json(coalesce(text, '')) AS VARCHAR) AS q,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+         len(string_split(coalesce(text, ''), chr(10))) AS lines FROM conversations),
+u AS (SELECT DISTINCT conv_id, turn FROM m WHERE role = 'user'),
+a AS (SELECT DISTINCT conv_id, turn FROM m WHERE role = 'assistant'),
+lev AS (SELECT conv_id, turn, 1 AS level FROM u WHERE turn < 2
+        UNION ALL SELECT u.conv_id, u.turn, lev.level + 1 FROM lev JOIN u ON u.conv_id = lev.conv_id AND u.turn = lev.turn + 2)
+SELECT m.conv_id, m.turn, coalesce(asked.turn, m.turn) AS order_turn,
+       CAST(CASE WHEN role = 'assistant' THEN coalesce(called.level, 0) + 1 ELSE 0 END AS INTEGER) AS order_level,
+       CAST(CASE WHEN role = 'user' THEN 2 ELSE 0 END AS BIGINT) AS n_calls,
+       CAST(CASE WHEN role = 'user' AND a.turn IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS n_linked,
+       CAST(CASE WHEN role = 'user' THEN CAST(lines = 1 AS INTEGER) + CAST(own.level IS NOT NULL AS INTEGER) ELSE 0 END AS BIGINT) AS n_valid,
+       asked.turn AS linked_turn,
+       CASE WHEN role = 'assistant' AND asked.turn IS NULL THEN 'no call' WHEN role = 'user' AND own.level IS NULL THEN 'after a missing call'
+            WHEN role = 'user' AND lines > 1 THEN 'unexpected lines' END AS error,
+       CASE WHEN role = 'user' THEN '{"conv_id":' || m.conv_id || ',"role":"user","tool_calls":[{"arguments":{' || CASE WHEN lines > 1 THEN '"lines":' || lines || ',' ELSE '' END
+                 || '"words":' || words || '},"id":"s' || m.turn || '","name":"search"},{"arguments":{"prompt":' || q || ',"turn":' || m.turn
+                 || '},"id":"r' || m.turn || '","name":"reply"}],"turn":' || m.turn || '}'
+            WHEN role = 'assistant' THEN '{"content":' || q || ',"conv_id":' || m.conv_id || ',"role":"tool","tool_call_id":"r' || (m.turn - 1) || '","turn":' || m.turn || '}'
+            ELSE '{"content":' || q || ',"conv_id":' || m.conv_id || ',"role":' || CAST(to_json(role) AS VARCHAR) || ',"turn":' || m.turn || '}' END AS json
+FROM m LEFT JOIN u AS asked ON role = 'assistant' AND asked.conv_id = m.conv_id AND asked.turn = m.turn - 1
+LEFT JOIN lev AS called ON called.conv_id = asked.conv_id AND called.turn = asked.turn
+LEFT JOIN lev AS own ON role = 'user' AND own.conv_id = m.conv_id AND own.turn = m.turn
+LEFT JOIN a ON role = 'user' AND a.conv_id = m.conv_id AND a.turn = m.turn + 1
 """

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 
 from stratalog.llm import langid
-from stratalog.llm.chat import call_levels, format_chats
+from stratalog.llm.chat import OP1_SQL, call_levels, format_chats, op1_chat_formatting, tool_traffic
 from stratalog.llm.decontam import MIN_SCORE, Block, align, find_leaks
 from stratalog.llm.quality_classifier import fit, score, train
 from stratalog.llm.sharding import shard
@@ -212,7 +212,47 @@ def test_levels_of_deep_and_tangled_calls(spark):
     calls = [(c, 0, n, i, "f", "{}", a) for n, ((c, i), a) in enumerate(after.items())]
     levels = call_levels(spark.createDataFrame(calls, "conv_id long, turn long, position int, call_id string, name string, arguments string, after array<string>"))
     got = levels.collect()
-    assert len(got) == len(want) and {(x.conv_id, x.call_id): x.level for x in got} == want
+    assert len(got) == len({(x.conv_id, x.call_id) for x in got}) and {(x.conv_id, x.call_id): x.level for x in got if not x.missing} == want
+    # what could stand somewhere if the calls that are not there were
+    free, ready = set(), True
+    while ready:
+        ready = {k for k, a in after.items() if k not in free and all((k[0], d) in free or (k[0], d) not in after for d in a)}
+        free |= ready
+    assert {(x.conv_id, x.call_id) for x in got if x.missing} == free - set(want) >= {(2, "t2"), (2, "t3")}
+    assert all(x.level is None for x in got if x.missing)
+
+
+def test_tool_traffic_against_its_sql(spark, tmp_path):
+    """The registered query on tables with gaps between turns, against the SQL."""
+    import duckdb
+
+    r = random.Random(31)
+    rows = []
+    for conv in range(40):
+        begin = r.randrange(2)
+        rows += [(conv, 0, "system", "be brief")] * begin
+        for t in range(begin, begin + r.randrange(1, 9)):
+            if r.random() < 0.85:
+                rows.append((conv, t, "user" if (t - begin) % 2 == 0 else "assistant", r.choice(["", 'say "x"\\ é 漢', "two\nlines  here", None, "a b\tc " * 400])))
+    rows += [(99, t, "user" if t % 2 == 0 else "assistant", f"turn {t}") for t in range(30)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = op1_chat_formatting(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = con.execute(OP1_SQL)
+    names = [c[0] for c in want.description]
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(map(tuple, got.select(*names).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+    found = got.groupBy("error").count().collect()
+    assert {x.error for x in found} == {None, "no call", "after a missing call", "unexpected lines"}
+
+
+def test_messages_that_stay(spark):
+    own = json.dumps({"tool_calls": [{"id": "a", "name": "f", "arguments": {}}]})
+    rows = [(1, 0, "user", own), (1, None, "user", "x"), (None, 3, None, "y"), (1, 1, "tool", json.dumps({"tool_call_id": "a", "content": "3"})), (2, 0, "user", None)]
+    got = {(x.conv_id, x.turn): x for x in tool_traffic(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 0].text == own and got[1, None].text == "x" and got[None, 3].text == "y" and got[1, 1].role == "tool"
+    assert [c["id"] for c in json.loads(got[2, 0].text)["tool_calls"]] == ["r0", "s0"]
 
 
 def test_a_chain_of_a_hundred_calls_is_no_cycle(spark):
