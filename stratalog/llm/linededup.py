@@ -1,13 +1,16 @@
 """Line dedup: lines that many documents have are dropped from all of them.
 
 Counting: each task hashes the line keys of its documents (128 bits), counts every key once per
-document, and sends one row per key and batch to the sum. Keys that reach the threshold are dealt
-into shards by hash; each shard becomes a minimal perfect hash over its keys (levels of bit arrays,
-a key that is alone on its bit stays there, the rank of the bit is its index) with arrays of 64-bit
-fingerprints and counts. Documents probe these arrays; no line is joined.
-
-The arrays are broadcast in blocks of at most ``block_bytes`` of measured size: one block, and one
-pass over the documents, unless there are more frequent keys than that holds, then one pass a block.
+document, and sends one row per key and batch to the sum. All distinct keys are dealt into shards by
+hash; each shard becomes a minimal perfect hash over its keys (levels of bit arrays, a key that is
+alone on its bit stays there, the rank of the bit is its index) with compact arrays of 32-bit
+fingerprints and of counts. Documents probe these arrays; no line is joined to a line.
+
+An index of at most ``block_bytes`` of measured size is broadcast, and probed in one pass over the
+documents. A larger one stays where it is: the documents' hashes come to its shards, and the numbers
+of the lines to drop go back to the texts, two passes over the documents whatever their number. A
+shard with a very common line has more probes than others; its arrays are dealt out as many times as
+its counted probes ask for, and the probes among the copies.
 """
 
 from __future__ import annotations
@@ -23,10 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalog.llm import vectext as V
-from stratalog.llm.common import documents, materialize
+from stratalog.llm.common import discard, documents, materialize
+from stratalog.session import ship
 
-SHARD_KEYS = 1 << 16
-BLOCK_BYTES = 64 << 20
+SHARD_KEYS = 1 << 18
+BLOCK_BYTES = 16 << 20
+#: Probes of one copy of a shard; line numbers that are broadcast at most.
+PROBES, SENT_MARKS = 1 << 20, 1_000_000
 
 
 class LineIndex:
@@ -36,7 +42,7 @@ class LineIndex:
         self.levels, self.prints, self.counts = levels, prints, counts
         self.ranks, before = [], 0
         for bits in levels:
-            self.ranks.append(before + np.cumsum(bits, dtype=np.int64) - bits)
+            self.ranks.append(before + np.cumsum(bits, dtype=np.uint32) - bits)
             before += int(bits.sum())
 
     @staticmethod
@@ -45,7 +51,7 @@ class LineIndex:
 
     @staticmethod
     def fingerprint(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        return V.mix(h1 ^ (h2 << V.U64(1))) ^ h2
+        return ((V.mix(h1 ^ (h2 << V.U64(1))) ^ h2) >> V.U64(32)).astype(np.uint32)
 
     @classmethod
     def build(cls, h1: np.ndarray, h2: np.ndarray, counts: np.ndarray, gamma: float = 1.5) -> LineIndex:
@@ -78,34 +84,36 @@ class LineIndex:
         return out
 
     def to_bytes(self) -> bytes:
-        head = np.array([len(self.levels), len(self.prints), *map(len, self.levels)], np.int64)
-        return b"".join([head[:1].tobytes(), head[1:].tobytes(), *(np.packbits(x).tobytes() for x in self.levels), self.prints.tobytes(), self.counts.astype(np.int64).tobytes()])
+        counts = self.counts.astype(np.min_scalar_type(int(self.counts.max(initial=0))))
+        head = np.array([len(self.levels), len(self.prints), counts.itemsize, *map(len, self.levels)], np.int64)
+        return b"".join([head.tobytes(), *(np.packbits(x).tobytes() for x in self.levels), self.prints.tobytes(), counts.tobytes()])
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> LineIndex:
-        n = int(np.frombuffer(raw, np.int64, 1)[0])
-        keys, *sizes = map(int, np.frombuffer(raw, np.int64, n + 1, 8))
-        at, levels = 8 * (n + 2), []
-        for size in sizes:
+        n, keys, width = map(int, np.frombuffer(raw, np.int64, 3))
+        at, levels = 8 * (n + 3), []
+        for size in map(int, np.frombuffer(raw, np.int64, n, 24)):
             step = (size + 7) // 8
             levels.append(np.unpackbits(np.frombuffer(raw, np.uint8, step, at), count=size).astype(bool))
             at += step
-        return cls(levels, np.frombuffer(raw[at : at + 8 * keys], V.U64), np.frombuffer(raw[at + 8 * keys :], np.int64))
+        return cls(levels, np.frombuffer(raw[at : at + 4 * keys], np.uint32), np.frombuffer(raw[at + 4 * keys :], f"u{width}"))
 
 
-def _keys(b: V.Block) -> tuple[V.Spans, np.ndarray, np.ndarray, np.ndarray]:
-    """Lines, both hashes of their keys, and the keys' code points."""
+def _keys(b: V.Block, min_chars: int) -> tuple[V.Spans, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines, both hashes of their keys, and whether the keys have ``min_chars`` code points."""
     whole, key = V.lines(b)
-    points = np.concatenate([[0], np.cumsum((b.data & 0xC0) != 0x80)])
-    return whole, V.hash_spans(b, key, 1), V.hash_spans(b, key, 2), points[key.end] - points[key.start]
+    size = key.end - key.start
+    if min_chars > 1:
+        points = np.concatenate([[0], np.cumsum((b.data & 0xC0) != 0x80)])
+        size = points[key.end] - points[key.start]
+    return whole, V.hash_spans(b, key, 1), V.hash_spans(b, key, 2), size >= min_chars
 
 
 def _count(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in V.blocks(batch.column(0)):
-                whole, h1, h2, chars = _keys(b)
-                use = chars >= min_chars
+                whole, h1, h2, use = _keys(b, min_chars)
                 row, h1, h2 = whole.row[use], h1[use], h2[use]
                 order = np.lexsort((row, h2, h1))
                 row, h1, h2 = row[order], h1[order], h2[order]
@@ -122,14 +130,33 @@ def _count(min_chars: int):
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     index = LineIndex.build(pdf.h1.to_numpy(np.int64).view(V.U64), pdf.h2.to_numpy(np.int64).view(V.U64), pdf.docs.to_numpy(np.int64))
-    return pd.DataFrame({"shard": [int(pdf.shard.iloc[0])], "arrays": [index.to_bytes()]})
+    return pd.DataFrame({"shard": [int(pdf.shard.iloc[0])], "arrays": [index.to_bytes()], "probes": [int(pdf.docs.sum())]})
+
+
+def _shard(h1: np.ndarray, n_shards: int) -> np.ndarray:
+    return ((h1 >> V.U64(20)) % V.U64(n_shards)).astype(np.int64)
+
+
+def _without(b: V.Block, text: pa.Array, whole: V.Spans, drop: np.ndarray) -> list[pa.Array]:
+    """The rows' texts without the lines to drop, their lines, and their dropped lines."""
+    n = len(b.starts)
+    n_lines = np.bincount(whole.row, minlength=n)
+    first = np.cumsum(n_lines) - n_lines
+    kept = text.slice(b.first, n).cast(pa.string()).fill_null("")
+    if drop.any():
+        raw, new = b.data.tobytes(), kept.to_pylist()
+        for r in np.unique(whole.row[drop]):
+            lines = np.arange(first[r], first[r] + n_lines[r])
+            new[r] = b"\n".join(raw[whole.start[i] : whole.end[i]] for i in lines[~drop[lines]]).decode()
+        kept = pa.array(new, pa.string())
+    return [kept, pa.array(n_lines.astype(np.int64)), pa.array(np.bincount(whole.row[drop], minlength=n).astype(np.int64))]
 
 
 _loaded = V.kept()
 
 
-def _probe(shards, n_shards: int, min_docs: int, carried: int, marked: bool, last: bool):
-    """Columns in: carried ones, text, and marks if ``marked``. Out: carried ones, text, marks; with ``last`` n_lines and n_dropped in their place."""
+def _probe(shards, n_shards: int, min_docs: int, min_chars: int, carried: int):
+    """Columns in: carried ones, text. Out: carried ones, text, n_lines, n_dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         V.release(_loaded)
@@ -140,44 +167,95 @@ def _probe(shards, n_shards: int, min_docs: int, carried: int, marked: bool, las
         for batch in batches:
             text = batch.column(carried)
             for b in V.blocks(text):
-                n = len(b.starts)
-                whole, h1, h2, _ = _keys(b)
+                whole, h1, h2, use = _keys(b, min_chars)
                 drop = np.zeros(len(h1), bool)
-                shard = (h1 >> V.U64(40)) % V.U64(n_shards)
+                shard = _shard(h1, n_shards)
                 for k, arrays in index.items():
-                    at = np.flatnonzero(shard == k) if n_shards > 1 else np.arange(len(h1))
+                    at = np.flatnonzero(use & (shard == k))
                     drop[at] = arrays.lookup(h1[at], h2[at]) >= min_docs
-                n_lines = np.bincount(whole.row, minlength=n)
-                first = np.cumsum(n_lines) - n_lines
-                if marked:
-                    marks = batch.column(carried + 1).slice(b.first, n)
-                    drop[np.repeat(first, np.diff(marks.offsets)) + marks.flatten().to_numpy()] = True
-                columns = [batch.column(k).slice(b.first, n) for k in range(carried)]
-                if last:
-                    kept = text.slice(b.first, n).cast(pa.string()).fill_null("")
-                    if drop.any():
-                        raw, new = b.data.tobytes(), kept.to_pylist()
-                        for r in np.unique(whole.row[drop]):
-                            lines = np.arange(first[r], first[r] + n_lines[r])
-                            new[r] = b"\n".join(raw[whole.start[i] : whole.end[i]] for i in lines[~drop[lines]]).decode()
-                        kept = pa.array(new, pa.string())
-                    dropped = np.bincount(whole.row[drop], minlength=n)
-                    columns += [kept, pa.array(n_lines.astype(np.int64)), pa.array(dropped.astype(np.int64))]
-                else:
-                    at = np.flatnonzero(drop)
-                    columns += [text.slice(b.first, n), V.arrow_list((at - first[whole.row[at]]).astype(np.int32), np.bincount(whole.row[at], minlength=n), pa.int32())]
+                columns = [batch.column(k).slice(b.first, len(b.starts)) for k in range(carried)] + _without(b, text, whole, drop)
                 yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(columns))])
 
     return run
 
 
-def line_index(docs: DataFrame, min_docs: int, min_chars: int) -> tuple[DataFrame, int]:
-    """(shard, arrays) of the keys in at least ``min_docs`` documents, and the number of shards."""
+_PROBE = "shard long, copy int, h1 long, h2 long, k1 long, k2 long, line int"
+
+
+def _probes(n_shards: int, copies: dict[int, int], min_chars: int):
+    """Columns in: both hashes of the text, the text. Out: one row for each line."""
+    of = np.array(sorted(copies), np.int64)
+    times = np.array([copies[k] for k in sorted(copies)], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        V.release()
+        for batch in batches:
+            k1, k2 = (batch.column(c).to_numpy() for c in (0, 1))
+            for b in V.blocks(batch.column(2)):
+                whole, h1, h2, use = _keys(b, min_chars)
+                n_lines = np.bincount(whole.row, minlength=len(b.starts))
+                line = np.arange(len(h1)) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)
+                row, line, h1, h2 = b.first + whole.row[use], line[use], h1[use], h2[use]
+                shard, copy = _shard(h1, n_shards), np.zeros(len(h1), np.int64)
+                if len(of):
+                    at = np.minimum(np.searchsorted(of, shard), len(of) - 1)
+                    deal = V.mix(k1[row].view(V.U64) + line.astype(V.U64)) % times[at].astype(V.U64)
+                    copy = np.where(of[at] == shard, deal.astype(np.int64), 0)
+                columns = [pa.array(shard), pa.array(copy.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(k1[row]), pa.array(k2[row]), pa.array(line.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _PROBE.split(", ")])
+
+    return run
+
+
+def _answer(min_docs: int):
+    def run(probes: pa.Table, shard: pa.Table) -> pa.Table:
+        h1, h2 = (probes.column(c).to_numpy().view(V.U64) for c in ("h1", "h2"))
+        gone = np.zeros(len(h1), bool)
+        if len(h1) and shard.num_rows:
+            gone = LineIndex.from_bytes(shard.column("arrays")[0].as_py()).lookup(h1, h2) >= min_docs
+        return probes.select(["k1", "k2", "line"]).filter(pa.array(gone))
+
+    return run
+
+
+def _drop(carried: int):
+    """Columns in: carried ones, text, numbers of the lines to drop or null. Out: as of ``_probe``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        V.release()
+        for batch in batches:
+            text, marks = batch.column(carried), batch.column(carried + 1)
+            for b in V.blocks(text):
+                n = len(b.starts)
+                whole, _ = V.lines(b)
+                first = np.searchsorted(whole.row, np.arange(n))
+                mine = marks.slice(b.first, n).fill_null([])
+                drop = np.zeros(len(whole.row), bool)
+                drop[np.repeat(first, mine.value_lengths().to_numpy()) + mine.flatten().to_numpy()] = True
+                columns = [batch.column(k).slice(b.first, n) for k in range(carried)] + _without(b, text, whole, drop)
+                yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(columns))])
+
+    return run
+
+
+def line_index(docs: DataFrame, min_chars: int) -> tuple[DataFrame, int]:
+    """(shard, arrays, probes) of all distinct keys, probes: rows that hold the shard's keys; and the number of shards."""
     counted = docs.select(F.col("text").cast("string")).mapInArrow(_count(min_chars), "h1 long, h2 long, docs long")
-    common = materialize(counted.groupBy("h1", "h2").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs), "common-lines")
-    n_shards = max(1, -(-common.count() // SHARD_KEYS))
-    dealt = common.withColumn("shard", (F.shiftrightunsigned("h1", 40) % n_shards).cast("long"))
-    return materialize(dealt.groupBy("shard").applyInPandas(_build, "shard long, arrays binary"), "line-index"), n_shards
+    keys = materialize(counted.groupBy("h1", "h2").agg(F.sum("docs").alias("docs")), "line-keys")
+    n_shards = max(1, -(-keys.count() // SHARD_KEYS))
+    dealt = keys.withColumn("shard", (F.shiftrightunsigned("h1", 20) % n_shards).cast("long"))
+    index = materialize(dealt.groupBy("shard").applyInPandas(_build, "shard long, arrays binary, probes long"), "line-index")
+    discard(keys)
+    return index, n_shards
+
+
+def _marked(docs: DataFrame, index: DataFrame, n_shards: int, min_docs: int, min_chars: int) -> DataFrame:
+    """(k1, k2, lines): the numbers of the lines to drop of each text that has any; docs: k1, k2, text."""
+    copies = {r.shard: int(r.n) for r in index.select("shard", F.ceil(F.col("probes") / PROBES).alias("n")).where("n > 1").collect()}
+    probes = docs.select("k1", "k2", "text").mapInArrow(_probes(n_shards, copies, min_chars), _PROBE)
+    dealt = index.select("shard", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("probes") / PROBES), F.lit(1)).cast("int") - 1)).alias("copy"), "arrays")
+    found = probes.groupBy("shard", "copy").cogroup(dealt.groupBy("shard", "copy")).applyInArrow(_answer(min_docs), "k1 long, k2 long, line int")
+    return materialize(found.groupBy("k1", "k2").agg(F.collect_set("line").alias("lines")), "marked-lines")
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, carry: tuple[str, ...] = ("doc_id",), block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -188,27 +266,29 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, c
     often as they are given. Null and empty texts are one empty line and come back empty, as do
     documents that lose every line. Columns not in ``carry`` are not read. Empty input: empty result.
     """
-    spark = docs.sparkSession
-    shards, n_shards = line_index(docs, min_docs, min_chars)
-    groups: list[list[int]] = [[]]
-    room = block_bytes
-    for shard, size in shards.select("shard", F.length("arrays")).sort("shard").collect():
-        if size > room and groups[-1]:
-            groups.append([])
-            room = block_bytes
-        groups[-1].append(shard)
-        room -= size
+    spark = ship(docs.sparkSession)
+    index, n_shards = line_index(docs, min_chars)
     state = docs.select(*carry, F.col("text").cast("string").alias("text"))
     fields = [T.StructField(f"c{k}", f.dataType) for k, f in enumerate(state.schema.fields)]
-    for k, group in enumerate(groups):
-        last = k == len(groups) - 1
-        arrays = {int(s): bytes(a) for s, a in shards.where(F.col("shard").isin(group)).collect()} if group else {}
+    schema = T.StructType([*fields, *(T.StructField(f"c{len(fields) + k}", T.LongType()) for k in range(2))])
+    if (index.agg(F.sum(F.length("arrays"))).first()[0] or 0) <= block_bytes:
+        arrays = {int(r.shard): bytes(r.arrays) for r in index.select("shard", "arrays").collect()}
         sent = spark.sparkContext.broadcast({"token": uuid.uuid4().hex, "arrays": arrays})
-        more = [T.StructField(f"c{len(fields)}", T.LongType()), T.StructField(f"c{len(fields) + 1}", T.LongType())] if last else [T.StructField(f"c{len(fields)}", T.ArrayType(T.IntegerType()))]
-        state = state.mapInArrow(_probe(sent, n_shards, min_docs, len(carry), k > 0, last), T.StructType(fields + more))
-        if not last:
-            state = materialize(state, "marked-lines")
-    return state.toDF(*carry, "text", "n_lines", "n_dropped")
+        out = state.mapInArrow(_probe(sent, n_shards, min_docs, min_chars, len(carry)), schema)
+    else:
+        # equal texts lose the same lines, so a text is known by its hashes
+        hashes = (F.xxhash64("text"), F.xxhash64(F.lit("text"), "text", F.octet_length("text")))
+        keyed = docs.select(F.col("text").cast("string").alias("text")).select("text", hashes[0].alias("k1"), hashes[1].alias("k2"))
+        marks = _marked(keyed, index, n_shards, min_docs, min_chars)
+        few = (marks.agg(F.sum(F.size("lines"))).first()[0] or 0) <= SENT_MARKS
+        # the columns that are carried may have any name
+        named = state.toDF(*[f.name for f in fields])
+        text = named[f"c{len(carry)}"]
+        on = (F.xxhash64(text) == marks.k1) & (F.xxhash64(F.lit("text"), text, F.octet_length(text)) == marks.k2)
+        joined = named.join(F.broadcast(marks) if few else marks, on, "left").select(*named.columns, "lines")
+        out = joined.mapInArrow(_drop(len(carry)), schema)
+    discard(index)
+    return out.toDF(*carry, "text", "n_lines", "n_dropped")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

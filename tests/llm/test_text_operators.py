@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from stratalog.llm import vectext as V
-from stratalog.llm.linededup import LineIndex, drop_common_lines
+from stratalog.llm.linededup import LineIndex, drop_common_lines, line_index
 from stratalog.llm.neardup import near_duplicates, sketches
 from stratalog.llm.quality_rules import CUTOFF, quality_rules
 from tests.llm.cases import documents, frame, key, word
@@ -60,11 +60,11 @@ def test_minimal_perfect_hash():
     assert len(LineIndex.from_bytes(LineIndex.build(h1[:0], h2[:0], h1[:0].astype(int)).to_bytes()).lookup(h1, h2)) == 5000
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 1])
+@pytest.mark.parametrize("block_bytes, shard_keys, probes, sent", [(1 << 20, 1 << 18, 1 << 20, 1 << 20), (1 << 20, 9, 1 << 20, 1 << 20), (0, 20, 5, 1 << 20), (0, 40, 1 << 20, 0)])
 @pytest.mark.parametrize("min_chars", [1, 5])
-def test_line_dedup(spark, block_bytes, min_chars, monkeypatch):
-    if block_bytes == 1:
-        monkeypatch.setattr("stratalog.llm.linededup.SHARD_KEYS", 1)
+def test_line_dedup(spark, block_bytes, shard_keys, probes, sent, min_chars, monkeypatch):
+    for name, value in (("SHARD_KEYS", shard_keys), ("PROBES", probes), ("SENT_MARKS", sent)):
+        monkeypatch.setattr(f"stratalog.llm.linededup.{name}", value)
     rows = documents()
     rows += [(i, f"a{i % 3}\nb{i % 2}\nc", None, None, 0, "", None, None, None) for i in range(600, 640)]
     count = Counter()
@@ -81,7 +81,21 @@ def test_line_dedup(spark, block_bytes, min_chars, monkeypatch):
 
 
 def test_line_dedup_of_nothing(spark):
-    assert drop_common_lines(frame(spark, []), carry=("doc_id", "node")).collect() == []
+    for block_bytes in (1 << 20, -1):
+        assert drop_common_lines(frame(spark, []), carry=("doc_id", "node"), block_bytes=block_bytes).collect() == []
+
+
+def test_the_index_holds_every_line(spark):
+    rows = documents()
+    index, n_shards = line_index(frame(spark, rows), 1)
+    norm = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOWER)
+    count = Counter()
+    for row in rows:
+        count.update({norm(x) for x in (row[1] or "").split("\n")} - {""})
+    found = index.collect()
+    arrays = [LineIndex.from_bytes(bytes(x.arrays)) for x in found]
+    assert n_shards == 1 and sum(len(x.prints) for x in arrays) == len(count) and found[0].probes == sum(count.values())
+    assert sorted(np.concatenate([x.counts for x in arrays])) == sorted(count.values())
 
 
 def shingles(text, n):
