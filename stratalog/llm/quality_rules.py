@@ -5,13 +5,15 @@ Each (lang, source) group gets minimum-covariance-determinant estimates: from tw
 (medians with absolute deviations, and the rows nearest the medians by ranks of size), concentration
 steps keep the ``SUPPORT`` share of the group's rows that is nearest by Mahalanobis distance and
 estimate mean and covariance from it anew; the start with the smaller determinant stands. Groups of
-fewer than ``LEAST_ROWS`` rows use the estimates of their language, those of small languages the
-estimates of all rows. A document whose squared distance is over ``CUTOFF`` is rejected.
+fewer than ``LEAST_ROWS`` rows use the estimates of their language, those of languages with fewer the
+estimates of all rows; only estimates that some group uses are made. A document whose squared distance is over ``CUTOFF`` is rejected.
 
 All of it is DataFrame expressions. Quantiles come from histograms of fixed, logarithmic bins, which
 add up alike however the rows are dealt; a group's matrices are columns, and their Cholesky
-factors are written out as expressions. Texts are read once: what is iterated over is a table of
-one narrow row per document.
+factors are written out as expressions. A step is one pass for all groups and both starts: rows are
+summed to counts and moments per bin of distance, at most some hundred bins a group, and a group's
+nearest bins add up to its next estimate. Texts are read once: what is iterated over is a table of one
+narrow row per document.
 """
 
 from __future__ import annotations
@@ -105,16 +107,6 @@ def _bin(d: Column) -> Column:
     return F.floor(F.log(F.greatest(d, F.lit(1e-6))) * _BINS_PER_E).cast("int")
 
 
-def _nearest(rows: DataFrame, by: list[str], share: float, groups: int) -> DataFrame:
-    """The least whole bins of ``d`` that hold ``share`` of each group's rows."""
-    rows = rows.withColumn("bin", _bin(F.col("d")))
-    counts = rows.groupBy(*by, "bin").agg(F.count("*").alias("c"))
-    upto = W.partitionBy(*by).orderBy("bin")
-    counts = counts.withColumn("cum", F.sum("c").over(upto)).withColumn("all", F.sum("c").over(W.partitionBy(*by)))
-    limit = counts.where(F.col("cum") >= F.ceil(F.col("all") * share)).groupBy(*by).agg(F.min("bin").alias("limit"))
-    return rows.join(_sent(limit, groups), by).where("bin <= limit")
-
-
 def _medians(rows: DataFrame, by: list[str], columns: dict[str, Column], per_unit: int = 200) -> DataFrame:
     """Group medians of columns to 1/``per_unit``, from histograms."""
     long = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("f"), F.round(c * per_unit).cast("int").alias("v")) for k, c in columns.items()])).alias("e")).select(*by, "e.f", "e.v")
@@ -125,44 +117,63 @@ def _medians(rows: DataFrame, by: list[str], columns: dict[str, Column], per_uni
     return mid.groupBy(*by).agg(*[(F.max(F.when(F.col("f") == k, F.col("v"))) / per_unit).alias(k) for k in columns])
 
 
-def _estimate(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Mean m_i, covariance c_i_j and its factor per group of the rows, with rows counted in n."""
-    sums = [F.count("*").alias("n"), *[F.avg(f"x_{i}").alias(f"m_{i}") for i in range(P)]]
-    sums += [F.covar_pop(f"x_{i}", f"x_{j}").alias(f"v_{i}_{j}") for i in range(P) for j in range(i + 1)]
-    got = rows.groupBy(*by).agg(*sums)
-    scale = 1.0 / SUPPORT
-    covariance = {f"c_{i}_{j}": F.round(F.col(f"v_{i}_{j}") * scale, 9) + (_FLOOR[i] ** 2 if i == j else 0) for i in range(P) for j in range(i + 1)}
-    means = {f"m_{i}": F.round(f"m_{i}", 9) for i in range(P)}
-    got = got.withColumns(covariance | means).drop(*[f"v_{i}_{j}" for i in range(P) for j in range(i + 1)])
-    return _with_factor(got)
-
-
-def robust_estimates(rows: DataFrame) -> DataFrame:
-    """Minimum-covariance-determinant estimates of rows (lang, source, x_i) per (level, lang, source).
-
-    level 2: language and source, level 1: language, level 0: all; null keys are groups of their own.
+def _estimate(rows: DataFrame, by: list[str], share: float) -> DataFrame:
+    """Mean m_i, covariance c_i_j and its factor of the ``share`` of each group's rows with the least ``d``, in whole bins; rows: by, x_i, m_i, d."""
+    apart = {f"a_{i}": F.col(f"x_{i}") - F.col(f"m_{i}") for i in range(P)}
+    pairs = [(i, j) for i in range(P) for j in range(i + 1)]
+    moments = [F.sum(f"a_{i}").alias(f"a_{i}") for i in range(P)] + [F.sum(F.col(f"a_{i}") * F.col(f"a_{j}")).alias(f"v_{i}_{j}") for i, j in pairs]
+    center = [f"m_{i}" for i in range(P)]
+    bins = rows.withColumns(apart | {"bin": _bin(F.col("d"))}).groupBy(*by, "bin").agg(F.count("*").alias("n"), *moments, *[F.first(m).alias(m) for m in center])
+    upto = F.sum("n").over(W.partitionBy(*by).orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow))
+    near = bins.withColumns({"upto": upto, "all": F.sum("n").over(W.partitionBy(*by))}).where(F.col("upto") - F.col("n") < F.ceil(F.col("all") * share))
+    sums = [f"a_{i}" for i in range(P)] + [f"v_{i}_{j}" for i, j in pairs]
+    got = near.groupBy(*by).agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sums], *[F.first(m).alias(m) for m in center])
+    mean = {f"a_{i}": F.col(f"a_{i}") / F.col("n") for i in range(P)}
+    got = got.withColumns(mean)
+    covariance = {f"c_{i}_{j}": F.round((F.col(f"v_{i}_{j}") / F.col("n") - F.col(f"a_{i}") * F.col(f"a_{j}")) / SUPPORT, 9) + (_FLOOR[i] ** 2 if i == j else 0) for i, j in pairs}
+    means = {f"m_{i}": F.round(F.col(f"m_{i}") + F.col(f"a_{i}"), 9) for i in range(P)}
+    return _with_factor(got.withColumns(covariance | means).drop("n", *sums))
+
+
+def groups_used(rows: DataFrame) -> DataFrame:
+    """(lang, source, level, of_lang, of_all) of each pair: the level of its estimate, and whether its language's and the estimate of all are used by any."""
+    pairs = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    langs = pairs.groupBy("lang").agg(F.sum("n").alias("of"))
+    level = F.when(F.col("n") >= LEAST_ROWS, 2).when(F.col("of") >= LEAST_ROWS, 1).otherwise(0)
+    pairs = pairs.join(langs, "lang").select("lang", "source", level.alias("level"))
+    used = pairs.groupBy("lang").agg(F.max(F.col("level") == 1).alias("of_lang"))
+    all_ = pairs.agg(F.coalesce(F.max(F.col("level") == 0), F.lit(False)).alias("of_all"))
+    # one row
+    return pairs.join(used, "lang").crossJoin(F.broadcast(all_))
+
+
+def robust_estimates(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Minimum-covariance-determinant estimates of rows (lang, source, x_i) per (level, lang, source) that ``pairs`` use.
+
+    level 2: language and source, level 1: language, level 0: all; the keys that a level has not are empty.
     """
-    by = ["level", "lang", "source"]
-    levels = F.array(*[F.struct(F.lit(k).alias("level"), (F.col("lang") if k >= 1 else F.lit("")).alias("lang"), (F.col("source") if k == 2 else F.lit("")).alias("source")) for k in range(3)])
-    tall = rows.select(F.explode(levels).alias("g"), *[f"x_{i}" for i in range(P)]).select("g.*", *[f"x_{i}" for i in range(P)])
+    by, x = ["level", "lang", "source"], [f"x_{i}" for i in range(P)]
+    empty = F.lit("")
+    group = lambda level, lang, source, used: F.when(used, F.struct(F.lit(level).alias("level"), lang.alias("lang"), source.alias("source")))
+    levels = F.array_compact(F.array(group(2, F.col("lang"), F.col("source"), F.col("level") == 2), group(1, F.col("lang"), empty, F.col("of_lang")), group(0, empty, empty, F.col("of_all"))))
+    n_groups = pairs.count()
+    tall = rows.join(_sent(pairs, n_groups), ["lang", "source"]).select(F.explode(levels).alias("g"), *x).select("g.*", *x)
     mid = materialize(_medians(tall, by, {f"m_{i}": F.col(f"x_{i}") for i in range(P)}), "mcd-medians")
-    n_groups = mid.count()
     spread = _medians(tall.join(_sent(mid, n_groups), by), by, {f"s_{i}": F.abs(F.col(f"x_{i}") - F.col(f"m_{i}")) for i in range(P)})
     start = materialize(mid.join(spread, by), "mcd-start")
-    found = []
-    for kind in range(2):
-        apart = tall.join(_sent(start, n_groups), by)
-        terms = [F.abs(F.col(f"x_{i}") - F.col(f"m_{i}")) / (F.col(f"s_{i}") * 1.4826 + _FLOOR[i]) for i in range(P)]
-        d = sum((t * t for t in terms[1:]), terms[0] * terms[0]) if kind == 0 else F.greatest(*terms)
-        chosen = _nearest(apart.withColumn("d", d).select(*by, *[f"x_{i}" for i in range(P)], "d"), by, 0.5, n_groups)
-        model = materialize(_estimate(chosen, by), "mcd")
-        for _ in range(STEPS):
-            near = _nearest(_distance(tall.join(_sent(model, n_groups), by), "d").select(*by, *[f"x_{i}" for i in range(P)], "d"), by, SUPPORT, n_groups)
-            step = materialize(_estimate(near, by), "mcd")
-            discard(model)
-            model = step
-        found.append(model)
-    return found[0].withColumn("kind", F.lit(0)).union(found[1].withColumn("kind", F.lit(1))).groupBy(*by).agg(F.min_by(F.struct(*[c for c in found[0].columns if c not in by]), F.struct("logdet", "kind")).alias("e")).select(*by, "e.*")
+    discard(mid)
+    terms = [F.abs(F.col(f"x_{i}") - F.col(f"m_{i}")) / (F.col(f"s_{i}") * 1.4826 + _FLOOR[i]) for i in range(P)]
+    squares = sum((t * t for t in terms[1:]), terms[0] * terms[0])
+    kinds = F.explode(F.array(F.lit(0), F.lit(1))).alias("kind")
+    begun = tall.join(_sent(start, n_groups), by).select("*", kinds).withColumn("d", F.when(F.col("kind") == 0, squares).otherwise(F.greatest(*terms)))
+    model = materialize(_estimate(begun, [*by, "kind"], 0.5), "mcd")
+    discard(start)
+    for _ in range(STEPS):
+        near = _distance(tall.join(_sent(model, 2 * n_groups), by), "d")
+        step = materialize(_estimate(near, [*by, "kind"], SUPPORT), "mcd")
+        discard(model)
+        model = step
+    return model.groupBy(*by).agg(F.min_by(F.struct(*[c for c in model.columns if c not in by]), F.struct("logdet", "kind")).alias("e")).select(*by, "e.*")
 
 
 def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
@@ -179,17 +190,13 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     stats = stats.withColumn("base_failed", failed).withColumns({f"x_{i}": F.round(x, 9) for i, x in enumerate(_vector())})
     stats = materialize(stats, "statistics")
-    model = materialize(robust_estimates(stats.where("not base_failed")), "mcd-model")
+    usable = stats.where("not base_failed")
+    pairs = materialize(groups_used(usable), "mcd-groups")
+    model = robust_estimates(usable, pairs).drop("logdet", "kind", *[f"c_{i}_{j}" for i in range(P) for j in range(i + 1)])
     keys = ["lang", "source"]
-    chosen = model.where(f"level = 2 and n >= {LEAST_ROWS}").drop("level")
-    pairs = stats.select(*keys).distinct()
-    own = pairs.join(chosen, keys, "left_anti")
-    of_lang = model.where(f"level = 1 and n >= {LEAST_ROWS}").drop("level", "source")
-    by_lang = own.join(of_lang, "lang")
-    of_all = model.where("level = 0").drop("level", "lang", "source")
-    by_all = own.join(of_lang.select("lang"), "lang", "left_anti").crossJoin(F.broadcast(of_all))
-    table = chosen.unionByName(by_lang).unionByName(by_all)
-    table = materialize(table.drop("n", "logdet", "kind", *[f"c_{i}_{j}" for i in range(P) for j in range(i + 1)]), "mcd-table")
+    own = pairs.select(*keys, "level", F.when(F.col("level") >= 1, F.col("lang")).otherwise("").alias("lang_"), F.when(F.col("level") == 2, F.col("source")).otherwise("").alias("source_"))
+    table = own.join(model.withColumnsRenamed({"lang": "lang_", "source": "source_"}), ["level", "lang_", "source_"]).drop("level", "lang_", "source_")
+    table = materialize(table, "mcd-table")
     out = _distance(stats.join(_sent(table, table.count()), keys, "left"), "distance")
     distance = F.when(~F.col("base_failed"), F.col("distance"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance.alias("distance"), (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)).alias("kept"))

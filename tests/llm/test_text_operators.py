@@ -9,7 +9,7 @@ import pytest
 from stratalog.llm import vectext as V
 from stratalog.llm.linededup import LineIndex, drop_common_lines, line_index
 from stratalog.llm.neardup import near_duplicates, sketches
-from stratalog.llm.quality_rules import CUTOFF, quality_rules
+from stratalog.llm.quality_rules import _FLOOR, CUTOFF, quality_rules
 from tests.llm.cases import documents, frame, key, word
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -190,3 +190,61 @@ def test_quality_rules_reject_outliers_and_keep_the_rest(spark):
     assert quality_rules(frame(spark, [])).collect() == []
 
 
+def test_distances_against_numpy(spark):
+    """The whole estimate by plain loops: medians to 1/200, bins of distance, two starts, four steps, fallback to language and all."""
+    r = random.Random(41)
+    rows, of = [], {}
+    for k, (lang, source, n) in enumerate([("aa", "s0", 150), ("aa", "s1", 60), ("aa", "s2", 7), ("bb", "s0", 30), ("bb", None, 30), (None, "s0", 5), ("cc", "s1", 9)]):
+        for i in range(n):
+            w = [word(r) + ("#" if r.random() < 0.02 * (k + 1) else "") for _ in range(r.randint(10, 150))]
+            if r.random() < 0.2:
+                w[3:3] = ["one two three four five"] * 2
+            text = "\n".join(" ".join(w[j : j + 12]) for j in range(0, len(w), 12)) + "\nthe end" * r.choice([0, 1, 1, 3])
+            rows.append((k * 1000 + i, text, lang, source, 0, "", None, None, None))
+            of[k * 1000 + i] = (lang, source)
+    got = {x.doc_id: x for x in quality_rules(frame(spark, rows)).collect()}
+    use = [x for x in got.values() if not x.base_failed]
+    ids = np.array([x.doc_id for x in use])
+    x = np.round(np.array([[np.log1p(x.n_words), np.log1p(x.word_chars / x.n_words), np.log1p(20 * x.n_symbols / x.word_chars), np.log1p(x.n_dup_lines), np.log1p(5 * x.n_repeat_words / x.n_words)] for x in use]), 9)
+    floor = np.array(_FLOOR)
+
+    def middle(v):
+        v = np.sort(np.floor(np.abs(v) * 200 + 0.5) * np.sign(v), axis=0)
+        return v[(len(v) + 1) // 2 - 1] / 200
+
+    def nearest(d, share):
+        bins = np.floor(np.log(np.maximum(d, 1e-6)) * 16)
+        limit = np.sort(bins)[int(np.ceil(len(d) * share)) - 1]
+        return bins <= limit
+
+    def estimate(v):
+        return v.mean(0), np.cov(v.T, bias=True) / 0.75 + np.diag(floor**2)
+
+    def distance(v, m, c):
+        return np.einsum("ij,ij->i", (v - m) @ np.linalg.inv(c), v - m)
+
+    def robust(v):
+        m = middle(v)
+        t = np.abs(v - m) / (middle(np.abs(v - m)) * 1.4826 + floor)
+        best = None
+        for d in ((t * t).sum(1), t.max(1)):
+            model = estimate(v[nearest(d, 0.5)])
+            for _ in range(4):
+                model = estimate(v[nearest(distance(v, *model), 0.75)])
+            if best is None or np.linalg.det(model[1]) < np.linalg.det(best[1]) - 1e-15:
+                best = model
+        return best
+
+    key_ = np.array([repr(of[i]) for i in ids])
+    lang = np.array([repr(of[i][0]) for i in ids])
+    levels = set()
+    for k in set(key_):
+        mine = key_ == k
+        same = lang == lang[mine][0]
+        level, basis = (2, mine) if mine.sum() >= 50 else (1, same) if same.sum() >= 50 else (0, np.ones(len(ids), bool))
+        levels.add(level)
+        want = distance(x[mine], *robust(x[basis]))
+        assert np.allclose([got[i].distance for i in ids[mine]], want, rtol=1e-4, atol=1e-5), k
+    assert levels == {0, 1, 2}
+
+
