@@ -3,7 +3,7 @@
 Documents of equal text are linked. Shard labels start from a hash of doc_id. In each round a group's
 rows move towards the shard that most of its rows have and that has room for it; per target shard,
 classes of moves (large groups first, then by hash) are admitted while their rows fit the quota
-that those who stay leave. A group that is larger than a shard is dealt by hash into parts that fit,
+that those who want to stay leave. A group that is larger than a shard is dealt by hash into parts that fit,
 so that it fills whole shards. The last step settles the law `rows`: what is over a quota, and all
 documents without links, fill the free places by gapless rank, so that counts differ by one at most.
 

@@ -1,14 +1,16 @@
 import json
 import random
+import re
 import zlib
 
 import numpy as np
 
 from stratalog.llm import langid
 from stratalog.llm.chat import OP1_SQL, call_levels, format_chats, op1_chat_formatting, tool_traffic
+from stratalog.llm.common import materialize
 from stratalog.llm.decontam import MIN_SCORE, Block, align, find_leaks
-from stratalog.llm.quality_classifier import fit, score, train
-from stratalog.llm.sharding import shard
+from stratalog.llm.quality_classifier import STATISTICS, fit, score, statistics, train
+from stratalog.llm.sharding import propagate, shard
 from tests.llm.cases import ROWS, documents, frame, word
 
 
@@ -50,6 +52,55 @@ def test_languages_and_spans(spark):
     assert {x.lang_pred for x in langid.identify(learned, nothing).collect()} == {"und"}
 
 
+def test_predictions_against_plain_loops(spark):
+    """Counts, word scores, the best path and the prediction, a word at a time."""
+    r = random.Random(17)
+    say = {"aa": "abcdé", "bb": "abcxy", "cc": "αβγδ"}
+    make = lambda k, n: " ".join("".join(r.choice(say[k]) for _ in range(r.randint(1, 8))) for _ in range(n))
+    rows = [(i, make(k, 12), k) for i, k in enumerate(["aa", "bb", "cc"] * 12)] + [(900 + i, make("aa", 4) + ", 7 " + make("bb", 9) + " " + make("cc", 3), None) for i in range(20)]
+    rows += [(950, "É Ü", None), (951, "漢字 abc", None), (952, "word" * 3000, "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    words = lambda t: re.findall(rb"[A-Za-z\x80-\xff]+", t.encode())
+
+    def cells(w):
+        b = b"  " + bytes(c + 32 if 65 <= c <= 90 else c for c in w) + b" "
+        return [((b[i + 2] | b[i + 1] << 8 | b[i] << 16) * 0x9E3779B1 & 0xFFFFFFFF) >> 16 for i in range(len(w) + 1)]
+
+    def script(w):
+        c = ord(w.decode()[0])
+        return next((k for k, ranges in langid.SCRIPTS.items() if any(a <= c <= z for a, z in ranges)), "other")
+
+    langs, n, writes = ["aa", "bb", "cc"], {}, {}
+    for _, text, lang in rows:
+        for w in words(text) if lang else ():
+            writes[lang, script(w)] = writes.get((lang, script(w)), 0) + 1
+            for c in cells(w):
+                n[lang, c] = n.get((lang, c), 0) + 1
+    used, total = len({c for _, c in n}), {k: sum(v for (x, _), v in n.items() if x == k) for k in langs}
+    of = {k: sum(v for (x, _), v in writes.items() if x == k) for k in langs}
+    may = lambda k, w: writes.get((k, script(w)), 0) >= max(1, langid.SCRIPT_SHARE * of[k])
+    score = lambda k, w: langid.TEMPER * sum(np.log((n.get((k, c), 0) + 0.5) / (total[k] + 0.5 * used)) for c in cells(w))
+    got = {x.doc_id: x for x in langid.identify(docs, langid.train(docs)).collect()}
+    for i, text, _ in rows:
+        raw, table = words(text), []
+        for w in raw:
+            row = [score(k, w) for k in langs]
+            some = [may(k, w) for k in langs]
+            table.append([x if m else min(row) - 50 for x, m in zip(row, some)] if any(some) else [0.0] * 3)
+        path = langid.best_path(np.array(table, np.float64))
+        assert abs(np.array(table)[np.arange(len(raw)), path].sum() - langid.SWITCH * (np.diff(path) != 0).sum() - viterbi(np.array(table), langid.SWITCH)) < 1e-6
+        weight = [sum(len(w) for w, p in zip(raw, path) if p == j and any(may(k, w) for k in langs)) for j in range(3)]
+        lang = int(np.argmax(weight)) if any(weight) else max(range(3), key=lambda j: of[langs[j]])
+        assert got[i].lang_pred == langs[lang] and abs(got[i].score - weight[lang] / sum(map(len, raw))) < 1e-9, i
+
+
+def test_languages_beyond_the_parameter_are_not_learned(spark):
+    rows = [(f"{chr(97 + k)}x " * (200 - k), f"l{k:03}") for k in range(26)] * 4
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string").repartition(3), most=5)
+    assert model.langs == [f"l{k:03}" for k in range(5)]
+    assert len(langid.train(spark.createDataFrame([(f"w{k}", f"l{k}") for k in range(90)], "text string, lang string"), most=80).langs) == 80
+
+
 def waterman(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1))
     for i in range(len(a)):
@@ -114,6 +165,29 @@ def test_edited_copies_are_found_beside_a_verbatim_one(spark):
     assert all(abs(score[i] - waterman(items[k][1].split(), texts[i].split()) / 50) < 1e-9 for i, k in ((0, 0), (1, 0), (5, 1)))
 
 
+def test_leaks_against_all_alignments(spark):
+    """Every document is aligned with every item; those that share an n-gram and reach the score are the hits."""
+    r = random.Random(26)
+    vocabulary = [word(r) for _ in range(400)]
+    prose = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [prose(r.randint(12, 40)) for _ in range(12)]
+    docs = []
+    for _ in range(90):
+        text = prose(r.randint(0, 60))
+        for _ in range(r.randint(0, 2)):
+            part, rate = list(r.choice(items)), r.choice([0, 0.1, 0.2, 0.3])
+            part = [w for x in part for w in ([x] if r.random() > rate else r.choice([[], prose(1), [x, *prose(1)]]))]
+            at = r.randint(0, len(text))
+            text = text[:at] + part + text[at:]
+        docs.append(text)
+    grams = lambda w: {tuple(w[i : i + 4]) for i in range(len(w) - 3)}
+    want = {(d, k): waterman(item, text) / len(item) for d, text in enumerate(docs) for k, item in enumerate(items) if grams(item) & grams(text)}
+    want = {k: v for k, v in want.items() if v >= MIN_SCORE}
+    found = find_leaks(spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")).collect()
+    got = {(x.doc_id, h.item_id): h.score for x in found for h in x.hits}
+    assert got.keys() == want.keys() and len(got) > 60 and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
 def test_score_bound(spark):
     r = np.random.default_rng(14)
     texts = [" ".join(f"w{x}" for x in r.integers(0, 30, r.integers(4, 25))) for _ in range(80)]
@@ -140,6 +214,30 @@ def test_rule_ensemble(spark):
     assert ((z > 0) == (y > 0)).mean() > 0.99 and 0 < len(model.rules) < 200
 
 
+def test_statistics_and_compiled_rules_against_plain_loops(spark):
+    rows = documents(19) + [(900, "A a A a! b#b 9 9 9 é é\n\nA a\nA a", None, None, 0, "", None, None, None)]
+    ws = "[\x20\x09-\x0D]"
+
+    def plain(text):
+        t = text or ""
+        w, lines = re.findall(ws.replace("[", "[^") + "+", t), [x for x in t.split("\n") if re.sub(ws, "", x)]
+        n, chars, k = max(1, len(w)), max(1, len(t)), max(1, len(lines))
+        count = lambda pattern: len(re.findall(pattern, t))
+        return [np.log1p(len(w)), sum(map(len, w)) / n, count("[#*$%&|<>]") / n, count("!") / n, count("[A-Z]") / chars, count("[0-9]") / chars, count("[.,;:?]") / n, len(set(w)) / n, sum(a == b for a, b in zip(w, w[1:])) / n, len(set(lines)) / k, n / k, (len(t.encode()) - len(t)) / chars]
+
+    got = statistics(frame(spark, rows), ("doc_id", "text")).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        assert np.allclose([x[name] for name in STATISTICS], plain(x.text), rtol=1e-12), x.doc_id
+    labels = spark.createDataFrame([(row[0], int(len(row[1] or "") > 300), 0) for row in rows if row[0] is not None], "doc_id long, quality int, toxic int")
+    model = train(frame(spark, rows), labels)
+    assert model.rules or model.linear
+    for x in score(frame(spark, rows), model, ("doc_id", "text")).collect():
+        v = plain(x.text)
+        z = model.bias + sum(weight for rule, weight in model.rules if all((v[f] <= bound) == less for f, less, bound in rule)) + sum(weight * v[f] for f, weight in model.linear)
+        assert abs(x.score - 1 / (1 + np.exp(-min(30, max(-30, z))))) < 1e-9
+
+
 def test_scores_are_defined_for_every_row(spark):
     rows = documents(9)
     labels = spark.createDataFrame([(row[0], int(len(row[1] or "") > 300), 0) for row in rows if row[0] is not None] + [(None, 1, 0), (3, None, 0), (5_000_000, 1, 0)], "doc_id long, quality int, toxic int")
@@ -170,6 +268,31 @@ def test_sharding(spark):
     assert {x.shard for x in shard(spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string")).collect()} == {0, 1}
 
 
+def test_propagation_moves_groups_together_under_quotas(spark):
+    """Rows of groups are kept, no round cuts more, and groups that fit end whole."""
+    r = random.Random(12)
+    shards, n_groups = 6, 90
+    state = [(g, f, f, r.randint(1, 4)) for g in range(n_groups) for f in r.sample(range(shards), r.randint(2, 4))]
+    total = sum(x[3] for x in state)
+    quotas = [total // shards + 12] * shards
+    cut = lambda rows: len({(g, s) for g, _, s, _ in rows}) - n_groups
+    before = cut(state)
+    for rounds in (1, 2, 8):
+        got = [tuple(x) for x in propagate(materialize(spark.createDataFrame(state, "gid long, first int, shard int, c long"), "test"), quotas, rounds).collect()]
+        assert sorted((g, f, c) for g, f, _, c in got) == sorted((g, f, c) for g, f, _, c in state)
+        assert cut(got) <= before
+        before = cut(got)
+    # every group fits many times over, so that none has to be cut
+    assert before <= n_groups // 20
+
+
+def test_rows_alike_are_dealt_over_buckets(spark):
+    docs = spark.createDataFrame([(None, "same")] * 4000 + [(7, "hot")] * 4000, "doc_id long, text string").repartition(4)
+    got = shard(docs, 8).collect()
+    assert sorted({x.shard: sum(y.shard == x.shard for y in got) for x in got}.values()) == [1000] * 8
+    assert all(sorted(x.slot for x in got if x.shard == j) == list(range(1000)) for j in range(8))
+
+
 def test_chats(spark):
     j = json.dumps
     rows = [
