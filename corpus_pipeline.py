@@ -38,17 +38,32 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five-word shingles, similarity 0.8): the one with the least doc_id."""
+    """One row of each group of near copies stays (five-word shingles, similarity 0.8): the one with the least doc_id.
+
+    It is decided for each row: a row without a doc_id, or with one that other rows have too, is known
+    by its id and text, and stands behind rows with an id of their own. Of rows alike one stays.
+    """
     ship(spark)
-    marks = materialize(near_duplicates(docs, words=5, percent=80).select("doc_id", "kept"), "marks")
-    gone = materialize(marks.where("not kept").select("doc_id").distinct(), "gone")
-    # ids of copies only, and sent only while they are few
+    keyed = _with_row_key(docs)
+    marks = materialize(near_duplicates(keyed.select(F.col("key_").alias("doc_id"), "text"), words=5, percent=80).select(F.col("doc_id").alias("key_"), "kept"), "marks")
+    gone = materialize(marks.where("not kept").select("key_").distinct(), "gone")
+    # keys of copies only, and sent only while they are few
     gone = F.broadcast(gone) if gone.count() <= SENT_ROWS else gone
-    out = docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti").select(*COLUMNS)
-    again = materialize(marks.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    out = keyed.join(gone, "key_", "left_anti")
+    again = materialize(marks.where("kept").groupBy("key_").count().where("count > 1").select("key_"), "again")
     if not again.isEmpty():
-        out = out.join(again, "doc_id", "left_anti").select(*COLUMNS).union(out.join(again, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"]))
-    return out
+        out = out.join(again, "key_", "left_anti").unionByName(out.join(again, "key_", "left_semi").dropDuplicates(["key_"]))
+    return out.select(*COLUMNS)
+
+
+def _with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with key_: doc_id where one row has it, else 2**62 and more, by id and text."""
+    own = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2)
+    often = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("often_")), "often")
+    if often.isEmpty():
+        return docs.withColumn("key_", F.coalesce("doc_id", own))
+    often = F.broadcast(often) if often.count() <= SENT_ROWS else often
+    return docs.join(often, "doc_id", "left").withColumn("key_", F.when(F.col("often_"), own).otherwise(F.coalesce("doc_id", own)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
