@@ -6,9 +6,8 @@ message of role `tool` whose text is a JSON object with `tool_call_id` and `cont
 Everything else is plain. Results are joined to calls by (conversation, id); the join splits hot
 conversations, and nothing is gathered per conversation: one row per message goes in and out.
 
-Order: calls get a level, one above the highest call that they wait for (0 without), at any depth:
-chains of calls that wait for one call each are followed by doubling steps, the others by joining one
-level after another; calls in a cycle or behind one, and calls that wait for a call which is not
+Order: calls get a level, one above the highest call that they wait for (0 without), at any depth and
+in few rounds for long chains (see :func:`call_levels`); calls in a cycle or behind one, and calls that wait for a call which is not
 there, at whatever distance, get none. A sample is written in the order (turn, level, position): a message's calls stand in topological
 order inside it, and a result takes the place of its call's turn and level.
 """
@@ -48,56 +47,88 @@ def call_levels(calls: DataFrame) -> DataFrame:
 
     Calls in a cycle or behind one are absent; with a null level and ``missing`` stand those that wait,
     themselves or through others, for a call that is not there.
+
+    An edge says: a call's level is at least max(a, level of ``begin`` + b). Each round puts the levels
+    found last into the edges, which become constants (``begin`` null); calls of constants only are
+    found. Calls with one open edge are functions of one other call and are composed by doubling, so
+    that long chains take few rounds, also if their calls wait for others beside; edges to such calls
+    are replaced by what they stand for. The rounds end when no call is found: what is left is cyclic.
     """
-    nodes = materialize(calls.where("call_id is not null").select("conv_id", "call_id").distinct(), "nodes")
-    waits = materialize(calls.where("call_id is not null").select("conv_id", "call_id", F.explode("after").alias("dep")).distinct(), "waits")
-    level = nodes.join(waits.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"), F.lit(False).alias("missing"))
+    key = ["conv_id", "call_id"]
+    nodes = materialize(calls.where("call_id is not null").select(*key).distinct(), "nodes")
+    waits = materialize(calls.where("call_id is not null").select(*key, F.explode("after").alias("begin")).distinct(), "waits")
+    free = nodes.join(waits.select(*key).distinct(), key, "left_anti").select(*key, F.lit(0).alias("level"), F.lit(False).alias("missing"))
     # calls that are not there stand at level 0, and mark all that wait for them
-    absent = waits.select("conv_id", F.col("dep").alias("call_id")).distinct().join(nodes, ["conv_id", "call_id"], "left_anti")
-    done = materialize(level.union(absent.select("conv_id", "call_id", F.lit(0), F.lit(True))), "levels")
+    absent = waits.select("conv_id", F.col("begin").alias("call_id")).distinct().join(nodes, key, "left_anti")
+    new = materialize(free.union(absent.select(*key, F.lit(0), F.lit(True))), "levels")
+    found, edges = [new], waits.select(*key, "begin", F.lit(0).alias("a"), F.lit(1).alias("b"), F.lit(False).alias("missing"))
     if waits.isEmpty():
-        return done
-    needs = materialize(waits.groupBy("conv_id", "call_id").agg(F.count("*").alias("needs")), "needs")
-    chains = _chains(waits.join(needs.where("needs = 1"), ["conv_id", "call_id"]).select("conv_id", "call_id", "dep"))
-    by_dep = chains.withColumnRenamed("call_id", "dep")
-    # a call of a chain stands for the call that the chain begins with; calls of endless chains have no such call
-    several = waits.join(needs.where("needs > 1"), ["conv_id", "call_id"]).join(by_dep, ["conv_id", "dep"], "left")
-    several = materialize(several.select("conv_id", "call_id", "needs", F.coalesce("begin", "dep").alias("begin"), F.coalesce("steps", F.lit(0)).alias("steps")), "several")
-    heads = lambda: done.select("conv_id", F.col("call_id").alias("begin"), "level", "missing")
-    above = (F.col("level") + F.col("steps")).cast("int")
-    while not several.isEmpty():
-        met = several.join(heads(), ["conv_id", "begin"]).groupBy("conv_id", "call_id", "needs").agg(F.count("*").alias("met"), (F.max(above) + 1).alias("level"), F.max("missing").alias("missing"))
-        ready = met.where("met = needs").join(done, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", "level", "missing")
-        new = materialize(ready, "levels")
-        if new.isEmpty():
-            break
-        old, done = done, materialize(done.union(new), "levels")
-        discard(old)
-    every = done.union(chains.join(heads(), ["conv_id", "begin"]).select("conv_id", "call_id", above.alias("level"), "missing"))
-    every = materialize(every.join(nodes, ["conv_id", "call_id"], "left_semi").withColumn("level", F.when(~F.col("missing"), F.col("level"))), "levels")
-    for used in (nodes, waits, needs, several, done):
-        discard(used)
-    return every
-
-
-def _chains(waits: DataFrame) -> DataFrame:
-    """conv_id, call_id, begin, steps: where the chain of each call begins that waits for one call; waits: conv_id, call_id, dep.
-
-    begin is the first call on the way that is not in ``waits`` itself. Each round doubles the steps;
-    a round in which no chain ends leaves only calls that lead into a cycle, which have begin null.
+        discard(nodes)
+        return new
+    used = [waits]
+    while not new.isEmpty():
+        known = new.select("conv_id", F.col("call_id").alias("begin"), "level", F.col("missing").alias("lost"))
+        met = F.col("level").isNotNull()
+        joined = edges.join(known, ["conv_id", "begin"], "left").select(*key, F.when(~met, F.col("begin")).alias("begin"), F.when(met, F.greatest("a", F.col("level") + F.col("b"))).otherwise(F.col("a")).alias("a"), "b", (F.col("missing") | F.coalesce("lost", F.lit(False))).alias("missing"))
+        merged = materialize(joined.groupBy(*key, "begin").agg(F.max("a").alias("a"), F.max("b").alias("b"), F.max("missing").alias("missing")), "edges")
+        calls_ = materialize(merged.groupBy(*key).agg(F.count("begin").alias("open"), F.max("begin").alias("begin"), F.max("a").alias("a"), F.max("b").alias("b"), F.max("missing").alias("missing")), "open-calls")
+        new = materialize(calls_.where("open = 0").select(*key, F.col("a").alias("level"), "missing"), "levels")
+        found.append(new)
+        if len(found) > 8:
+            whole = materialize(_union(found), "levels")
+            for piece in found[:-1]:
+                discard(piece)
+            found = [whole]
+        single = _composed(calls_.where("open = 1").select(*key, "begin", "a", "b", "missing"))
+        several = merged.join(calls_.where("open > 1").select(*key), key, "left_semi")
+        edges = materialize(single.union(_onward(several, single)), "edges")
+        for done in (*used, merged, calls_, single):
+            discard(done)
+        used = [edges]
+    levels = _union(found).join(nodes, key, "left_semi").withColumn("level", F.when(~F.col("missing"), F.col("level")))
+    levels = materialize(levels, "levels")
+    for done in (*used, *found, nodes):
+        discard(done)
+    return levels
+
+
+def _union(pieces: list[DataFrame]) -> DataFrame:
+    out = pieces[0]
+    for piece in pieces[1:]:
+        out = out.union(piece)
+    return out
+
+
+def _onward(edges: DataFrame, single: DataFrame) -> DataFrame:
+    """``edges`` with those that lead to a call of ``single`` led on to the call that it is a function of."""
+    on = single.select("conv_id", F.col("call_id").alias("begin"), F.col("begin").alias("to"), F.col("a").alias("more_a"), F.col("b").alias("more_b"), F.col("missing").alias("lost"))
+    step = F.col("to").isNotNull()
+    return edges.join(on, ["conv_id", "begin"], "left").select(
+        "conv_id",
+        "call_id",
+        F.coalesce("to", "begin").alias("begin"),
+        F.when(step, F.greatest("a", F.col("more_a") + F.col("b"))).otherwise(F.col("a")).alias("a"),
+        F.when(step, F.col("b") + F.col("more_b")).otherwise(F.col("b")).alias("b"),
+        (F.col("missing") | F.coalesce("lost", F.lit(False))).alias("missing"),
+    )
+
+
+def _composed(single: DataFrame) -> DataFrame:
+    """Calls that are functions of one other call, as functions of calls that are none; those that lead into a cycle are left out.
+
+    Each round doubles the steps; a round in which no more calls get to their end leaves only cyclic ones.
     """
-    now = materialize(waits.select("conv_id", "call_id", F.col("dep").alias("begin"), F.lit(1).cast("long").alias("steps"), F.lit(False).alias("ended")), "chains")
-    ended = -1
+    now, ended = materialize(single, "singles"), -1
     while True:
-        on = now.select("conv_id", F.col("call_id").alias("begin"), F.col("begin").alias("next"), F.col("steps").alias("more"), F.col("ended").alias("over"))
-        far = now.join(on, ["conv_id", "begin"], "left")
-        found = F.col("next").isNull()
-        step = far.select("conv_id", "call_id", F.coalesce("next", "begin").alias("begin"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (found | F.col("over")).alias("ended"))
-        old, now = now, materialize(step, "chains")
-        discard(old)
-        before, ended = ended, now.where("ended").count()
+        step = materialize(_onward(now, now), "singles")
+        discard(now)
+        now = step
+        over = now.join(now.select("conv_id", F.col("call_id").alias("begin")), ["conv_id", "begin"], "left_anti")
+        before, ended = ended, over.count()
         if ended == before:
-            return now.select("conv_id", "call_id", F.when(F.col("ended"), F.col("begin")).alias("begin"), "steps")
+            out = materialize(over.select(*now.columns), "singles")
+            discard(now)
+            return out
 
 
 def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -219,7 +250,8 @@ def tool_traffic(conversations: DataFrame) -> DataFrame:
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schemas = spark.createDataFrame(TRAFFIC_TOOLS, "tool string, param string, type string, required boolean")
+    rows = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("tool", "param", "type", "required"), row, strict=True)]) for row in TRAFFIC_TOOLS])
+    schemas = spark.range(1).select(F.inline(rows))
     return format_chats(tool_traffic(spark.read.parquet(f"{sf_dir}/conversations.parquet")), schemas)
 
 
