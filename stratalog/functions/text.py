@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import html
 import re
 import unicodedata
@@ -20,8 +21,19 @@ SYNONYMS = {"appel": "appels", "appelen": "appels", "peer": "peren", "pruim": "p
 SPAM_TAIL = r"(?is)\b(outlet|shoes|nike|jordan|kors|coach|sunglasses|replica|cheap|wholesale)\b.*$"
 
 _SPACE = r"[\s\u00a0]+"
-_ACCENTS = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-_PLAIN = unicodedata.normalize("NFKD", _ACCENTS).encode("ascii", "ignore").decode()
+
+
+def _plain_letters() -> dict[str, str]:
+    """Characters up to U+1FFF that NFKD makes one ASCII letter with combining marks."""
+    out = {}
+    for point in range(0xC0, 0x2000):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(point)) if not unicodedata.combining(c))
+        if len(plain) == 1 and plain.isascii() and plain.isalpha():
+            out[chr(point)] = plain
+    return out
+
+
+_LETTERS = _plain_letters()
 
 
 def squeeze(text: Column) -> Column:
@@ -30,8 +42,8 @@ def squeeze(text: Column) -> Column:
 
 
 def without_accents(text: Column) -> Column:
-    """Latin accents stripped; see :func:`nfkd` for all of Unicode."""
-    return F.translate(text, _ACCENTS, _PLAIN)
+    """Latin letters without their accents, of one character or with combining marks; see :func:`nfkd` for all of Unicode."""
+    return F.translate(F.regexp_replace(text, r"[\u0300-\u036f]", ""), "".join(_LETTERS), "".join(_LETTERS.values()))
 
 
 @F.pandas_udf(StringType())
@@ -165,7 +177,7 @@ def caption_range(text: Column) -> Column:
 
 def title_case_list(text: Column) -> Column:
     parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
-    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 10_000))), ", ")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))), ", ")
 
 
 def part_label(index: Column, total: Column) -> Column:
@@ -181,24 +193,67 @@ def html_parts(markup: Column) -> Column:
     return F.filter(both, lambda p: F.trim(p["value"]) != "")
 
 
+# What is left of sequences that lost bytes, and what it stands for, in the order of repair.
+_BEFORE_ENTITY = (r"Â(?=&(?:[a-zA-Z]+|#\d+|#x[0-9a-fA-F]+);)", "")
+_LEFTOVERS = (
+    (r"(?<=[A-Za-z])â(?=s(?![A-Za-z0-9_]))", "’"),
+    (r"â¦", "…"),
+    (r"Ã(?=\s+la(?![A-Za-z0-9_]))", "à"),
+    (r"Â(?=\s|$)", ""),
+    (r"â(?=[A-Z])", "“"),
+    (r"(?<=[^\W_])â(?=[\s.,;:!?)]|$)", "”"),
+)
+
+
+def _bytes_of_characters() -> dict[str, int]:
+    """The byte that each character is in Windows-1252; the C1 controls and undefined bytes are themselves."""
+    out = {chr(b): b for b in range(0x80, 0x100)}
+    for b in range(0x80, 0xA0):
+        with contextlib.suppress(UnicodeDecodeError):
+            out[bytes([b]).decode("cp1252")] = b
+    return out
+
+
+_BYTES = _bytes_of_characters()
+_CONTROLS = {b: c for c, b in _BYTES.items() if b < 0xA0 and ord(c) > 0xFF}
+_HIGH = f"[{''.join(map(re.escape, sorted(_BYTES)))}]"
+_BROKEN = "[ÃÂâ\u0080-\u009f]"
+
+
+def _decoded(found: re.Match) -> str:
+    try:
+        return bytes(_BYTES[c] for c in found[0]).decode("utf-8")
+    except UnicodeDecodeError:
+        return found[0]
+
+
 def mojibake_repair(texts: pd.Series, passes: int = 4) -> pd.Series:
-    """Undo UTF-8 read as Windows-1252, again and again until nothing changes."""
+    """Undo UTF-8 read as Windows-1252 where it stands, in at most ``passes`` rounds; what is sound beside it stays.
+
+    Sequences of two and three bytes are decoded, then the known leftovers of broken ones replaced;
+    controls that remain are read as Windows-1252. Null stays null.
+    """
+    steps = [_BEFORE_ENTITY, (f"â{_HIGH}{_HIGH}", _decoded), (f"[ÃÂ]{_HIGH}", _decoded), *_LEFTOVERS]
+    steps = [(re.compile(p), to) for p, to in steps]
 
     def fix(x):
         for _ in range(passes):
-            try:
-                raw = b"".join(c.encode("cp1252") if not 0x80 <= ord(c) <= 0x9F else bytes([ord(c)]) for c in x)
-                new = raw.decode("utf-8")
-            except (UnicodeEncodeError, UnicodeDecodeError):
-                return x
-            if new == x:
-                return x
-            x = new
-        return x
+            before = x
+            for pattern, to in steps:
+                x = pattern.sub(to, x)
+            if x == before:
+                break
+        return x.translate(_CONTROLS)
 
-    return texts.map(lambda x: None if x is None else fix(x))
+    return texts.map(lambda x: fix(x) if x is not None and re.search(_BROKEN, x) else x)
 
 
 @F.pandas_udf(StringType())
-def repair_encoding(texts: pd.Series) -> pd.Series:
+def _repaired(texts: pd.Series) -> pd.Series:
     return mojibake_repair(texts)
+
+
+def repair_encoding(text: Column) -> Column:
+    """:func:`mojibake_repair` of a column; texts without a suspect character don't go through Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(_repaired(F.when(text.rlike(_BROKEN), text)), text)

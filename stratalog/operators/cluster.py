@@ -130,9 +130,11 @@ def dense_labels(rows: DataFrame, label: str, pos: str) -> DataFrame:
 
 def keywords(tokens: DataFrame, topic: str, doc: str, k: int = 5, least: int = 2) -> DataFrame:
     """topic, term, score, rank: counts times idf over documents; ties by term downwards. tokens: topic, doc, term."""
-    n = tokens.agg(F.countDistinct(doc).alias("n_docs"))
-    df = tokens.groupBy("term").agg(F.countDistinct(doc).alias("df"))
-    counts = tokens.groupBy(topic, "term").agg(F.count("*").alias("c")).where(F.col("c") >= least)
+    # tokens are counted once; what is below reads that shuffle again
+    per = tokens.groupBy("term", doc, topic).agg(F.count("*").alias("c_")).where("c_ > 0")
+    n = per.groupBy(doc).agg(F.max("c_")).agg(F.count("*").alias("n_docs"))
+    df = per.groupBy("term", doc).agg(F.max("c_")).groupBy("term").agg(F.count("*").alias("df"))
+    counts = per.groupBy(topic, "term").agg(F.sum("c_").alias("c")).where(F.col("c") >= least)
     scored = counts.join(df, "term").crossJoin(F.broadcast(n)).withColumn("score", F.round(F.col("c") * F.log((1 + F.col("n_docs")) / (1 + F.col("df"))), 6))
     rank = F.row_number().over(W.partitionBy(topic).orderBy(F.desc("score"), F.desc("term")))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select(topic, "term", "score", "rank")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from stratalog.functions.scalars import clamp
+from stratalog.operators.ranking import global_rank
 from stratalog.operators.sizes import small
 from stratalog.plans.query_specs import ArchiveQuery, AtlasQuery, GalleryQuery
 
@@ -19,6 +20,10 @@ FINE_PLANTS = ("fruit", "appels", "peren", "ander_fruit", "groenten", "bloemen",
 COARSE_PLANTS = ("tuin", "tuinwerk", "fruit", "bloemen", "planten", "teelt")
 
 
+#: Ranks of a run in which neighbours are looked for.
+_RUN = 100_000
+
+
 def _overlap(tags: Column, values: tuple[str, ...]) -> Column:
     return F.coalesce(F.arrays_overlap(tags, F.array(*[F.lit(v) for v in values])), F.lit(False))
 
@@ -68,9 +73,19 @@ def visible_themes(filtered: DataFrame, themes: DataFrame) -> DataFrame:
     return small(themes).join(counts, "id").orderBy(F.desc("n"), "id")
 
 
-def viewer_neighbours(filtered: DataFrame, order: list, key: str = "id") -> DataFrame:
-    w = W.orderBy(*order)
-    return filtered.select(key, F.lag(key).over(w).alias("previous"), F.lead(key).over(w).alias("next"))
+def viewer_neighbours(filtered: DataFrame, primary: Column, order: list, key: str = "id", descending: bool = True) -> DataFrame:
+    """Each image's previous and next one by a numeric or time ``primary`` (nulls last), then ``order``.
+
+    Ranks are gapless and counted per range; the neighbours are looked for in runs of ``_RUN`` ranks, whose
+    ends are given to the runs on both sides.
+    """
+    placed = global_rank(filtered, primary, order, "place_", descending).select(F.col(key), "place_")
+    run = F.floor(F.col("place_") / _RUN)
+    ends = F.array_compact(F.array(run, F.when(F.col("place_") % _RUN == 0, run - 1), F.when(F.col("place_") % _RUN == _RUN - 1, run + 1)))
+    w = W.partitionBy("run_").orderBy("place_")
+    seen = placed.select("*", run.alias("own_"), F.explode(ends).alias("run_"))
+    seen = seen.withColumn("previous", F.lag(key).over(w)).withColumn("next", F.lead(key).over(w))
+    return seen.where("run_ = own_").select(key, "previous", "next")
 
 
 def related(images: DataFrame, direct: DataFrame, viewer, k: int = 10) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratalog.functions import text as X
 from stratalog.functions.scalars import ordered_union
+from stratalog.operators.ranking import global_rank
 
 #: The named datasets of the explorer, and how each document turns into rows.
 DATASETS = {"posts": "array", "series": "array", "images": "array", "topics": "array", "points": "array", "manifest": "object", "related": "keyed", "calendar": "keyed", "species": "array", "species_groups": "array"}
@@ -27,6 +28,13 @@ def related_posts(units: DataFrame, neighbours: DataFrame, k: int = 6) -> DataFr
     return each.select("post_id", F.slice(F.filter(ordered_union(F.col("post_ids"), F.col("near")), lambda x: x != F.col("post_id")), 1, k).alias("related"))
 
 
+def reactions_in_order(reactions: DataFrame, by: str, date: Column, order: list) -> DataFrame:
+    """``reactions`` with place: the newest first in each ``by``, rows without a valid date last, then ``order``."""
+    from pyspark.sql.window import Window as W
+
+    return reactions.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(F.desc_nulls_last(date), *order)))
+
+
 def resolved(relations: DataFrame, posts: DataFrame, k: int = 6) -> DataFrame:
     """Related ids with their posts in order, missing ones dropped."""
     each = relations.select(F.col("post_id").alias("of"), F.posexplode("related").alias("pos", "id")).join(posts, "id")
@@ -93,12 +101,12 @@ def front_matter_text(fields: dict[str, Column], body: Column) -> Column:
 
 
 def post_files(posts: DataFrame, order: list) -> DataFrame:
-    """name, value: Markdown files of posts, numbered names from their titles."""
-    from pyspark.sql.window import Window as W
-
-    number = F.lpad(F.row_number().over(W.orderBy(*order)).cast("string"), 4, "0")
+    """name, value: Markdown files of posts, numbered by date (undated last), then ``order``; names from their titles."""
+    placed = global_rank(posts, F.to_timestamp("isoDate"), order, "place_") if "isoDate" in posts.columns else global_rank(posts, F.lit(0), order, "place_")
+    number = (F.col("place_") + 1).cast("string")
+    number = F.when(F.char_length(number) >= 4, number).otherwise(F.lpad(number, 4, "0"))
     name = F.concat(number, F.lit("-"), F.coalesce(F.nullif(X.slug(F.col("title")), F.lit("")), F.lit("zonder-titel")), F.lit(".md"))
-    return posts.select(name.alias("name"), front_matter_text({"title": F.col("title"), "id": F.col("id"), "date": F.col("isoDate")}, F.col("cleanedText")).alias("value"))
+    return placed.select(name.alias("name"), front_matter_text({"title": F.col("title"), "id": F.col("id"), "date": F.col("isoDate")}, F.col("cleanedText")).alias("value"))
 
 
 def dataset_rows(raw: DataFrame, kind: str) -> DataFrame:

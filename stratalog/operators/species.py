@@ -25,11 +25,19 @@ def alias_pattern(aliases: Column) -> Column:
 def alias_hits(fields: DataFrame, candidates: DataFrame, before: int = 70, after: int = 90) -> DataFrame:
     """key, field, candidate_id, snippet: where an alias occurs in a field that is no spam.
 
-    ``fields``: key, field, text. ``candidates`` (candidate_id, aliases) are a stated list, met by every
-    field; the list is broadcast as it is a dimension of its own size, not of the texts'.
+    ``fields``: key, field, text. ``candidates`` (candidate_id, aliases) are a stated list. A field meets
+    the candidates of which an alias begins with one of its words, by a hash join on that word; the
+    patterns are tried on those only. An alias without a letter or digit is tried on every field.
     """
-    patterns = candidates.select("candidate_id", alias_pattern(F.col("aliases")).alias("pattern"), F.exists("aliases", lambda a: F.char_length(a) >= 3).alias("any")).where("any")
-    met = fields.where(F.col("text").isNotNull() & ~field_spam(F.col("text"))).crossJoin(F.broadcast(patterns)).where(F.expr("text rlike pattern"))
+    lead = lambda a: F.regexp_extract(F.lower(a), rf"({_EDGE}+)", 1)
+    usable = candidates.select("candidate_id", F.filter("aliases", lambda a: F.char_length(a) >= 3).alias("aliases")).where(F.size("aliases") > 0)
+    leads = usable.select("candidate_id", alias_pattern(F.col("aliases")).alias("pattern"), F.array_distinct(F.transform("aliases", lead)).alias("leads"))
+    leads = leads.select("candidate_id", "pattern", F.explode("leads").alias("lead"))
+    asked = [r.lead for r in leads.select("lead").distinct().collect()]
+    found = F.regexp_extract_all(F.lower("text"), F.lit(rf"({_EDGE}+)"), F.lit(1))
+    words = F.array_intersect(F.concat(F.array(F.lit("")), found), F.array(*[F.lit(x) for x in sorted(asked)]).cast("array<string>"))
+    near = fields.where(F.col("text").isNotNull() & ~field_spam(F.col("text"))).select("key", "field", "text", F.explode(words).alias("lead"))
+    met = near.join(small(leads), "lead").where(F.expr("text rlike pattern")).dropDuplicates(["key", "field", "text", "candidate_id"])
     at = F.expr("regexp_instr(text, pattern)")
     length = F.char_length(F.expr("regexp_substr(text, pattern)"))
     start = F.greatest(at - before, F.lit(1))

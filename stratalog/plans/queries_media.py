@@ -21,9 +21,9 @@ def images(spark, d):
     return part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("postTitle"), F.col("p_type").alias("caption"), F.col("p_brand").alias("visualClusterId"), (F.col("p_size") + 1990).alias("year"), season.alias("season"), both.alias("visualTags"), F.lit(None).cast("array<string>").alias("imageTagIds"), F.col("p_partkey").alias("pos"))
 
 
-@query("gallery_filter", _IMAGES_SQL + "SELECT id FROM im WHERE season = 'lente' AND list_contains(tags, 'tuin') AND contains(lower(title || ' ' || p_type || ' ' || tags[1] || ' ' || tags[2]), 'steel')")
+@query("gallery_filter", _IMAGES_SQL + "SELECT id FROM im WHERE season = 'lente' AND list_contains(tags, 'tuin') AND contains(lower(title || ' ' || p_type || ' ' || tags[1] || ' ' || tags[2]), 'small')")
 def gallery_filter(spark, d):
-    return gallery.filter_images(images(spark, d), GalleryQuery.from_query_string("q=Steel&season=lente&theme=tuin")).select("id")
+    return gallery.filter_images(images(spark, d), GalleryQuery.from_query_string("q=Small&season=lente&theme=tuin")).select("id")
 
 
 @query("gallery_people_plants", _IMAGES_SQL + "SELECT id, year FROM im WHERE year = 2000 AND (list_contains(tags, 'fruit') OR list_contains(tags, 'mensen') OR list_contains(tags, 'tuin'))")
@@ -52,7 +52,7 @@ def gallery_themes(spark, d):
 
 @query("gallery_neighbours", _IMAGES_SQL + "SELECT id, lag(id) OVER w AS previous, lead(id) OVER w AS next FROM im WHERE season = 'winter' WINDOW w AS (ORDER BY year DESC, id)")
 def gallery_neighbours(spark, d):
-    return gallery.viewer_neighbours(gallery.filter_images(images(spark, d), GalleryQuery(season="winter")), [F.desc("year"), "id"])
+    return gallery.viewer_neighbours(gallery.filter_images(images(spark, d), GalleryQuery(season="winter")), F.col("year"), ["id"])
 
 
 @query("gallery_viewer", _IMAGES_SQL + "SELECT previous, next FROM (SELECT id, lag(id) OVER w AS previous, lead(id) OVER w AS next FROM im WHERE season = 'winter' WINDOW w AS (ORDER BY year DESC, id)) WHERE id = (SELECT min(id) FROM im WHERE season = 'winter' AND year = 2002)")

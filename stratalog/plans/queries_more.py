@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stratalog.functions import scalars, urls
 from stratalog.functions import text as X
 from stratalog.operators import checks, cluster, images, publish, scoring, series, stats, vectors
-from stratalog.plans.registry import query, table, whole_sql
+from stratalog.plans.registry import query, table
 
 
 def _conversations(spark, d):
@@ -33,11 +33,17 @@ def archive_summary(spark, d):
     return series.archive_summary(items.select((F.col("parts") > 1).alias("is_series"), "parts", (F.col("parts") * 2).alias("images"), "isoDate"))
 
 
-@query("series_violations", """SELECT 'short series' AS "check", CAST(conv_id AS VARCHAR) AS key FROM conversations GROUP BY conv_id HAVING count(*) < 2""")
+@query("series_violations", """
+WITH p AS (SELECT doc_id, doc_id // 3 AS s FROM documents),
+m AS (SELECT s, CAST(doc_id AS VARCHAR) AS id FROM p UNION ALL SELECT s + 1, CAST(doc_id AS VARCHAR) FROM p WHERE doc_id % 20 = 0)
+SELECT 'short series' AS "check", CAST(s AS VARCHAR) AS key FROM m GROUP BY s HAVING count(*) < 2
+UNION ALL SELECT 'unknown member', id FROM (SELECT DISTINCT id FROM m) WHERE CAST(id AS BIGINT) % 50 = 0
+UNION ALL SELECT 'member of two series', id FROM m GROUP BY id HAVING count(*) > 1""")
 def series_violations(spark, d):
-    rows = _conversations(spark, d).select("conv_id", F.concat_ws("/", "conv_id", "turn").alias("id"))
-    found = rows.groupBy(F.col("conv_id").alias("id")).agg(F.collect_list("id").alias("postIds"))
-    return checks.series_rules(found, rows.select("id"))
+    docs = table(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 3).alias("s"), F.col("doc_id").cast("string").alias("id"))
+    members = docs.select("s", "id").union(docs.where("doc_id % 20 = 0").select(F.col("s") + 1, "id"))
+    found = members.groupBy(F.col("s").alias("id")).agg(F.collect_list("id").alias("postIds"))
+    return checks.series_rules(found, docs.where("doc_id % 50 <> 0").select("id"))
 
 
 @query("score_violations", """SELECT 'score outside of 0..1' AS "check", CAST(l_orderkey AS VARCHAR) || '/' || CAST(l_linenumber AS VARCHAR) AS key FROM lineitem WHERE l_discount * 12 > 1""")
@@ -46,9 +52,12 @@ def score_violations(spark, d):
     return checks.score_rules(rows)
 
 
-@query("vector_violations", """SELECT vec_id FROM embeddings WHERE len(embedding) <> 64 OR list_sum(list_transform(embedding, lambda x: x * x)) = 0""")
+@query("vector_violations", """SELECT vec_id FROM embeddings WHERE vec_id % 7 = 0 OR vec_id % 11 = 0 OR vec_id % 13 = 0""")
 def vector_violations(spark, d):
-    return vectors.invalid_vectors(table(spark, d, "embeddings"), "embedding").select("vec_id")
+    """Vectors that are cut short, zero or have a NaN are planted."""
+    v, i = F.col("embedding"), F.col("vec_id")
+    broken = F.when(i % 7 == 0, F.slice(v, 1, 63)).when(i % 11 == 0, F.transform(v, lambda x: x * 0)).when(i % 13 == 0, F.transform(v, lambda x: F.lit(float("nan")).cast("float"))).otherwise(v)
+    return vectors.invalid_vectors(table(spark, d, "embeddings").select("vec_id", broken.alias("embedding")), "embedding").select("vec_id")
 
 
 @query("source_drift", """SELECT 'source changed' AS "check", CAST(doc_id AS VARCHAR) AS key FROM documents WHERE doc_id % 50 = 0""")
@@ -100,22 +109,19 @@ def first_images(spark, d):
 
 
 @query("related_posts", """
-WITH c AS (SELECT conv_id, turn, CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS id FROM conversations)
-SELECT a.id AS post_id, string_agg(b.id, ',' ORDER BY b.turn) AS related FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn <> b.turn WHERE a.conv_id % 5 = 0 AND b.turn <= 6 + CASE WHEN a.turn <= 6 THEN 0 ELSE -1 END GROUP BY 1""")
+WITH c AS (SELECT conv_id, turn, CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS id FROM conversations),
+f AS (SELECT conv_id, min_by(id, turn) AS id FROM c GROUP BY 1),
+r AS (SELECT a.id AS post_id, b.id AS id, 0 AS part, b.turn AS pos FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn <> b.turn
+      UNION ALL SELECT a.id, f.id, 1, k FROM c a CROSS JOIN (VALUES (1), (2), (3)) v(k) JOIN f ON f.conv_id = a.conv_id + k),
+o AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY part, pos) AS place FROM r)
+SELECT post_id, string_agg(id, ',' ORDER BY place) AS related FROM o WHERE place <= 6 GROUP BY 1""")
 def related_posts(spark, d):
-    return _related_posts(_conversations(spark, d).where("conv_id % 5 = 0"))
-
-
-@query("related_posts_whole", whole_sql("related_posts", "a.conv_id % 5 = 0 AND "))
-def related_posts_whole(spark, d):
-    return _related_posts(_conversations(spark, d))
-
-
-def _related_posts(rows):
-    spark = rows.sparkSession
+    rows = _conversations(spark, d)
     units = rows.groupBy(F.col("conv_id").cast("string").alias("unit_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.concat_ws("/", "conv_id", "turn").alias("id")))), lambda x: x["id"]).alias("post_ids"))
-    none = spark.createDataFrame([], "key string, neighbour string, rank int")
-    return publish.related_posts(units, none).where(F.size("related") > 0).select("post_id", F.array_join("related", ",").alias("related"))
+    # the three conversations behind one are its neighbours
+    near = rows.select("conv_id").distinct().select("conv_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("rank"))
+    near = near.select(F.col("conv_id").cast("string").alias("key"), (F.col("conv_id") + F.col("rank")).cast("string").alias("neighbour"), "rank")
+    return publish.related_posts(units, near).where(F.size("related") > 0).select("post_id", F.array_join("related", ",").alias("related"))
 
 
 @query("category_starts", """SELECT o_orderpriority, coalesce(min(o_orderkey) FILTER (WHERE o_orderkey % 3 = 1), min(o_orderkey)) AS start FROM orders GROUP BY 1""")
@@ -155,11 +161,19 @@ def mean_vectors(spark, d):
     return vectors.mean_vectors(rows, ["label"], "v").select("label", F.posexplode("centroid").alias("i", "x")).select("label", "i", F.round("x", 6).alias("x"))
 
 
-@query("fused_vectors", """SELECT vec_id, 96 AS size, round(1.0, 6) AS norm FROM embeddings""")
+@query("fused_vectors", """
+WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a, list_transform(embedding[1:32], lambda x: CAST(x AS DOUBLE)) AS b FROM embeddings),
+n AS (SELECT vec_id, a, b, sqrt(list_sum(list_transform(a, lambda x: x * x))) AS na, sqrt(list_sum(list_transform(b, lambda x: x * x))) AS nb, least(0.5 * 0.15 + ln(3.0) * 0.03, 0.25) AS w FROM u),
+f AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN list_transform(a, lambda x: x * 0.7 / na) || list_transform(a, lambda x: 0.0) ELSE list_transform(a, lambda x: x * 0.7 / na) || list_transform(b, lambda x: x * w / nb) END AS f FROM n),
+g AS (SELECT vec_id, f, sqrt(list_sum(list_transform(f, lambda x: x * x))) AS nf FROM f),
+e AS (SELECT vec_id, unnest(f) / nf AS x, generate_subscripts(f, 1) - 1 AS i FROM g)
+SELECT vec_id, CAST(i AS INTEGER) AS i, round(x, 6) + 0.0 AS x FROM e""")
 def fused_vectors(spark, d):
+    """Every third vector has no image vector."""
     rows = table(spark, d, "embeddings")
-    fused = vectors.fuse(F.col("embedding"), F.slice("embedding", 1, 32), F.lit(0.7), scalars.image_boost(F.lit(300.0), F.lit(2)))
-    return rows.select("vec_id", fused.alias("v")).select("vec_id", F.size("v").alias("size"), F.round(vectors.norm(F.col("v")), 6).alias("norm"))
+    image = F.when(F.col("vec_id") % 3 != 0, F.slice("embedding", 1, 32))
+    fused = vectors.fuse(F.col("embedding"), image, F.lit(0.7), scalars.image_boost(F.lit(300.0), F.lit(2)))
+    return rows.select("vec_id", fused.alias("v")).select("vec_id", F.posexplode("v").alias("i", "x")).select("vec_id", "i", (F.round("x", 6) + 0.0).alias("x"))
 
 
 @query("floor_quantiles", """
@@ -176,24 +190,16 @@ def price_ranks(spark, d):
     return global_rank(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), F.col("o_totalprice"), ["o_orderkey"], "rank", descending=True).select("o_orderkey", "rank")
 
 
-@query("asset_links", r"""SELECT page_id, regexp_replace(html, '(?i)\b(src|href)\s*=\s*(["'']?)/archive-images/', '\1=\2https://cdn.invalid/archive-images/', 'g') AS html, url || '.jpg' AS name FROM pages WHERE page_id % 10 = 0""")
+@query("asset_links", r"""SELECT page_id, regexp_replace(html, '(?i)\b(src|href)\s*=\s*(["'']?)/archive-images/', '\1=\2https://cdn.invalid/archive-images/', 'g') AS html, url || '.jpg' AS name FROM pages""")
 def asset_links(spark, d):
-    return _asset_links(table(spark, d, "pages").where("page_id % 10 = 0"))
-
+    return table(spark, d, "pages").select("page_id", urls.rewrite_assets(F.col("html"), "https://cdn.invalid").alias("html"), F.concat("url", F.lit(".jpg")).alias("name"))
 
-@query("asset_links_whole", whole_sql("asset_links", " WHERE page_id % 10 = 0"))
-def asset_links_whole(spark, d):
-    return _asset_links(table(spark, d, "pages"))
 
-
-def _asset_links(rows):
-    return rows.select("page_id", urls.rewrite_assets(F.col("html"), "https://cdn.invalid").alias("html"), F.concat("url", F.lit(".jpg")).alias("name"))
-
-
-@query("snippets", """SELECT doc_id, CASE WHEN position('apache' IN lower(text)) = 0 THEN substr(text, 1, 320) ELSE NULL END AS snippet FROM documents WHERE position('apache' IN lower(text)) = 0""")
+@query("snippets", """
+WITH a AS (SELECT doc_id, text, position('apache' IN lower(text)) AS p FROM documents), b AS (SELECT *, greatest(p - 130, 1) AS s FROM a)
+SELECT doc_id, CASE WHEN p = 0 THEN substr(text, 1, 320) ELSE CASE WHEN s > 1 THEN '…' ELSE '' END || substr(text, s, p + 260 - s) || CASE WHEN p + 260 <= length(text) THEN '…' ELSE '' END END AS snippet FROM b""")
 def snippets(spark, d):
-    rows = table(spark, d, "documents").where(F.locate("apache", F.lower("text")) == 0)
-    return rows.select("doc_id", X.snippet(F.col("text"), ["apache"]).alias("snippet"))
+    return table(spark, d, "documents").select("doc_id", X.snippet(F.col("text"), ["apache"]).alias("snippet"))
 
 
 @query("latest_chunk_wins", """SELECT c_custkey % 100 AS key, max_by(c_name, c_custkey // 100) AS name FROM customer GROUP BY 1""")
@@ -204,8 +210,10 @@ def latest_chunk_wins(spark, d):
     return merge_chunks(rows, "key", "chunk").select("key", "name")
 
 
-@query("newest_reactions", """SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS INTEGER) AS place FROM conversations""")
+@query("newest_reactions", """
+SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn % 3 = 0, turn DESC) AS INTEGER) AS place FROM conversations""")
 def newest_reactions(spark, d):
-    from pyspark.sql.window import Window as W
-
-    return _conversations(spark, d).select("conv_id", "turn", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc_nulls_last("turn"))).alias("place"))
+    """A day for each turn, and every third one without a valid date."""
+    rows = _conversations(spark, d).select("conv_id", "turn")
+    date = F.when(F.col("turn") % 3 != 0, F.date_add(F.lit("2007-01-01").cast("date"), F.col("turn").cast("int")))
+    return publish.reactions_in_order(rows, "conv_id", date, [F.desc("turn")])

@@ -151,10 +151,10 @@ def first_source(spark, d):
 
 
 @query("coverage_anti_join", """
-SELECT 'missing on the right' AS "check", CAST(c_custkey AS VARCHAR) AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
-UNION ALL SELECT DISTINCT 'missing on the left', CAST(o_custkey AS VARCHAR) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""")
+SELECT 'missing on the right' AS "check", CAST(c_custkey AS VARCHAR) AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey + 5 FROM orders)
+UNION ALL SELECT DISTINCT 'missing on the left', CAST(o_custkey + 5 AS VARCHAR) FROM orders WHERE o_custkey + 5 NOT IN (SELECT c_custkey FROM customer)""")
 def coverage_anti_join(spark, d):
-    return checks.coverage(table(spark, d, "customer").select(F.col("c_custkey").alias("key")), "key", table(spark, d, "orders").select(F.col("o_custkey").alias("key")), "key")
+    return checks.coverage(table(spark, d, "customer").select(F.col("c_custkey").alias("key")), "key", table(spark, d, "orders").select((F.col("o_custkey") + 5).alias("key")), "key")
 
 
 @query("unknown_labels", """SELECT 'unknown id' AS "check", CAST(doc_id AS VARCHAR) AS key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")

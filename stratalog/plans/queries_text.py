@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stratalog.functions import scalars, spam, urls
 from stratalog.functions import text as X
 from stratalog.operators import cluster, search, species, tags, vectors
-from stratalog.plans.registry import query, table, whole_sql
+from stratalog.plans.registry import query, table
 from stratalog.sources import documents as sources
 from stratalog.sources import sinks
 
@@ -41,14 +41,22 @@ def sanitized_pages(spark, d):
     return table(spark, d, "pages").select("page_id", sources.sanitize_html("html").alias("html"))
 
 
-@query("page_images", """SELECT page_id, CAST(NULL AS INTEGER) AS index, CAST(NULL AS VARCHAR) AS src, CAST(NULL AS VARCHAR) AS alt, CAST(NULL AS VARCHAR) AS caption FROM pages WHERE NOT regexp_matches(html, '(?i)<img')""")
+@query("page_images", """
+SELECT page_id, CAST(0 AS INTEGER) AS index, '/i/' || page_id || '.jpg' AS src, 'a & b' AS alt, 'caption ' || page_id || ' <é>' AS caption FROM pages
+UNION ALL SELECT page_id, 1, 'plain.png', '', '' FROM pages WHERE page_id % 2 = 1""")
 def page_images(spark, d):
-    return table(spark, d, "pages").select("page_id", F.explode_outer(sources.html_images("html")).alias("image")).select("page_id", "image.*")
+    """Pages with a figure in front of their own markup, and an image behind it on every second one."""
+    page = F.col("page_id").cast("string")
+    figure = F.concat(F.lit("<figure><img alt='a &amp; b' src=\"/i/"), page, F.lit(".jpg\"><figcaption>caption\n <b>"), page, F.lit("</b> &lt;é&gt;</figcaption></figure>"))
+    html = F.concat(figure, F.col("html"), F.when(F.col("page_id") % 2 == 1, "<IMG SRC=plain.png>").otherwise(""))
+    return table(spark, d, "pages").select("page_id", html.alias("html")).select("page_id", F.explode_outer(sources.html_images("html")).alias("image")).select("page_id", "image.*")
 
 
-@query("repaired_encoding", "SELECT false AS changed, count(*) AS n FROM documents")
+@query("repaired_encoding", "SELECT doc_id, regexp_matches(text, '[^\\x00-\\x7f]') AS changed, sha256('é 漢 ' || text) AS digest FROM documents")
 def repaired_encoding(spark, d):
-    return sinks.repaired(table(spark, d, "documents").select("doc_id", "text"), "text").groupBy("changed").agg(F.count("*").alias("n"))
+    """Texts whose bytes were read as Latin-1, behind letters that are sound and are to stay."""
+    broken = F.concat(F.lit("é 漢 "), F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"))
+    return sinks.repaired(table(spark, d, "documents").select("doc_id", broken.alias("text")), "text").select("doc_id", "changed", F.sha2("text", 256).alias("digest"))
 
 
 @query("spam_flags", r"""
@@ -80,11 +88,9 @@ def spam_decisions(spark, d):
     return rows.select("conv_id", "turn", spam.is_spam(F.substring("text", 1, 20), F.col("role"), F.col("text"), F.lit("2021"), r"own\.invalid").alias("spam"))
 
 
-@query("word_counts", r"""SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}][\p{L}\p{N}''’-]*')) AS words, substr(text, 1, 59) || '…' AS label FROM documents WHERE length(text) > 60""")
+@query("word_counts", r"""SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}][\p{L}\p{N}''’-]*')) AS words, CASE WHEN length(text) > 60 THEN rtrim(substr(text, 1, 59), ' ') || '…' ELSE text END AS label FROM documents""")
 def word_counts(spark, d):
-    rows = table(spark, d, "documents").where(F.char_length("text") > 60)
-    label = F.concat(F.substring("text", 1, 59), F.lit("…"))
-    return rows.select("doc_id", X.word_count(F.col("text")).alias("words"), label.alias("label"))
+    return table(spark, d, "documents").select("doc_id", X.word_count(F.col("text")).alias("words"), X.short_label(F.col("text"), 60).alias("label"))
 
 
 @query("excerpts", r"""SELECT doc_id, CASE WHEN length(text) <= 120 THEN text ELSE rtrim(regexp_replace(substr(text, 1, 120), '\s+\S*$', '')) || '…' END AS excerpt FROM documents""")
@@ -118,15 +124,10 @@ def supported_terms(spark, d):
     return cluster.supported_terms(_tokens(spark, d), "source", "doc_id")
 
 
-@query("tfidf_weights", _TOKENS + """, c AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2), n AS (SELECT count(DISTINCT doc_id) AS nd FROM tok), df AS (SELECT term, count(*) AS df FROM c GROUP BY 1 ORDER BY df DESC, term LIMIT 200),
+@query("tfidf_weights", _TOKENS + """, c AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2), n AS (SELECT count(DISTINCT doc_id) AS nd FROM tok), df AS (SELECT term, count(*) AS df FROM c GROUP BY 1 ORDER BY df DESC, term LIMIT 5000),
 w AS (SELECT doc_id, term, tf * (ln((1 + nd) / (1 + df)) + 1) AS w FROM c JOIN df USING (term), n)
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
 def tfidf_weights(spark, d):
-    return vectors.tfidf(_tokens(spark, d).select("doc_id", "term"), "doc_id", 200).select("doc_id", "term", F.round("weight", 6).alias("weight"))
-
-
-@query("tfidf_weights_whole", whole_sql("tfidf_weights", "LIMIT 200", "LIMIT 5000"))
-def tfidf_weights_whole(spark, d):
     return vectors.tfidf(_tokens(spark, d).select("doc_id", "term"), "doc_id").select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -137,14 +138,31 @@ def tfidf_projection(spark, d):
 
 @query("bm25_search", """
 WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2),
-dl AS (SELECT doc_id, count(*) AS length FROM tok GROUP BY 1), st AS (SELECT avg(length) AS al, count(*) AS nd FROM dl), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
+dl AS (SELECT doc_id, coalesce(len(regexp_extract_all(lower(text), '[a-z]+')), 0) AS length FROM documents), st AS (SELECT avg(length) AS al, count(*) AS nd FROM dl), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
 SELECT doc_id, round(sum(ln(1 + (nd - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / al))), 6) AS score
 FROM tf JOIN df USING (term) JOIN dl USING (doc_id), st WHERE term IN ('the', 'apache', 'license') GROUP BY doc_id HAVING count(DISTINCT term) = 3""")
 def bm25_search(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)).alias("t"))
-    index = docs.select("doc_id", F.lit("block").alias("field"), F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("doc_id", "field", "term", "length").agg(F.count("*").alias("tf"))
     asked = spark.createDataFrame([(t, t, 1.0) for t in ("the", "apache", "license")], "q string, term string, w double")
-    return search.bm25(index, "doc_id", asked, {"block": 1.0}, True, 3).select("doc_id", F.round("score", 6).alias("score"))
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)), F.array().cast("array<string>")).alias("t"))
+    sizes = docs.agg(F.avg(F.size("t")).alias("avg_length"), F.count("*").alias("docs")).withColumn("field", F.lit("block"))
+    # without a written index, only the query's terms become postings
+    terms = docs.select("doc_id", F.lit("block").alias("field"), F.size("t").alias("length"), F.explode("t").alias("term")).where(F.col("term").isin("the", "apache", "license"))
+    index = terms.groupBy("doc_id", "field", "term", "length").agg(F.count("*").alias("tf"))
+    return search.bm25(index, "doc_id", asked, {"block": 1.0}, True, 3, sizes).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("title_hits", """
+WITH t AS (SELECT page_id, regexp_extract_all(translate(lower(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), 'èéêëçñöüäíó', 'eeeecnouaio'), '[\\p{L}\\p{N}]+') AS w FROM pages),
+k AS (SELECT page_id, list_filter(w, lambda x: length(x) >= 2 AND NOT list_contains(string_split('STOPS', ' '), x)) AS w FROM t),
+st AS (SELECT avg(len(w)) AS al, count(*) AS nd FROM k), tf AS (SELECT page_id, len(w) AS length, term, count(*) AS tf FROM (SELECT page_id, w, unnest(w) AS term FROM k) GROUP BY 1, 2, 3),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+x AS (SELECT term, CASE WHEN term = 'that' THEN 1.0 WHEN starts_with(term, 'that') THEN 0.375 * length(term) / (length(term) + 0.3 * (length(term) - 4)) WHEN abs(length(term) - 4) <= 1 AND levenshtein(term, 'that') <= 1 THEN 0.45 * 4 / (4 + levenshtein(term, 'that')) END AS v FROM df),
+s AS (SELECT page_id, round(sum(v * ln(1 + (nd - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / al))), 6) AS score FROM tf JOIN df USING (term) JOIN x USING (term), st WHERE v IS NOT NULL GROUP BY 1)
+SELECT page_id, score FROM s ORDER BY score DESC, page_id LIMIT 40""".replace("STOPS", " ".join(X.STOPWORDS)))
+def title_hits(spark, d):
+    pages = table(spark, d, "pages").select("page_id", sources.html_title(F.col("html")).alias("title"))
+    hits = search.title_search(search.postings(pages, "page_id", {"title": "title"}), "page_id", ["that"])
+    return hits.select("page_id", F.round("score", 6).alias("score"))
 
 
 @query("full_search")
@@ -185,31 +203,17 @@ def species_tags(spark, d):
 
 @query("binomial_counts", r"""
 SELECT label, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\b([A-Z][a-z]{2,}\s+[a-z][a-z-]{2,})\b', 1)) AS label FROM documents
-  WHERE NOT regexp_matches(text, '(?i)\b(outlet|shoes|nike|jordan|kors|coach|sunglasses|replica|cheap|wholesale)\b') AND lang = 'en' AND n_chars < 1000) GROUP BY 1 HAVING count(*) >= 5""")
+  WHERE NOT regexp_matches(text, '(?i)\b(outlet|shoes|nike|jordan|kors|coach|sunglasses|replica|cheap|wholesale)\b')) GROUP BY 1 HAVING count(*) >= 5""")
 def binomial_counts(spark, d):
-    return species.binomials(table(spark, d, "documents").where("lang = 'en' and n_chars < 1000"), "text", 5)
-
-
-@query("binomial_counts_whole", whole_sql("binomial_counts", " AND lang = 'en' AND n_chars < 1000"))
-def binomial_counts_whole(spark, d):
     return species.binomials(table(spark, d, "documents"), "text", 5)
 
 
 @query("theme_terms", """
 SELECT doc_id, CASE WHEN lic AND lang THEN 'law,tongue' WHEN lic THEN 'law' WHEN lang THEN 'tongue' ELSE 'tuin' END AS tags FROM (
-  SELECT doc_id, regexp_matches(text, '(?i)(^|[^a-z])(license|copyright)([^a-z]|$)') AS lic, regexp_matches(text, '(?i)(^|[^a-z])(des)([^a-z]|$)') AS lang FROM documents WHERE lang = 'en')""")
+  SELECT doc_id, regexp_matches(text, '(?i)(^|[^a-z])(license|copyright)([^a-z]|$)') AS lic, regexp_matches(text, '(?i)(^|[^a-z])(des)([^a-z]|$)') AS lang FROM documents)""")
 def theme_terms(spark, d):
-    return _theme_terms(table(spark, d, "documents").where("lang = 'en'"))
-
-
-@query("theme_terms_whole", whole_sql("theme_terms", " WHERE lang = 'en'"))
-def theme_terms_whole(spark, d):
-    return _theme_terms(table(spark, d, "documents"))
-
-
-def _theme_terms(rows):
     found = tags.theme_tags(F.col("text"), [("law", ["license", "copyright"]), ("tongue", ["des"])], F.array().cast("array<string>"), "tuin")
-    return rows.select("doc_id", F.array_join(found, ",").alias("tags"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(found, ",").alias("tags"))
 
 
 @query("year_chunks", "SELECT coalesce(CAST(year(o_orderdate) AS VARCHAR), 'unknown') AS year, count(*) AS n, count(DISTINCT o_custkey) AS posts FROM orders GROUP BY 1")
@@ -217,18 +221,9 @@ def year_chunks(spark, d):
     return sinks.year_manifest(sinks.with_year(table(spark, d, "orders"), F.year("o_orderdate")), "o_custkey")
 
 
-@query("event_props", """SELECT event_id, je.key AS key, CAST(je.value AS VARCHAR) AS value FROM events, json_each(props) je WHERE event_id % 10 = 0""".replace("CAST(je.value AS VARCHAR)", "trim(CAST(je.value AS VARCHAR), '\"')"))
+@query("event_props", """SELECT event_id, je.key AS key, trim(CAST(je.value AS VARCHAR), '"') AS value FROM events, json_each(props) je""")
 def event_props(spark, d):
-    return _event_props(table(spark, d, "events").where("event_id % 10 = 0"))
-
-
-@query("event_props_whole", whole_sql("event_props", " WHERE event_id % 10 = 0"))
-def event_props_whole(spark, d):
-    return _event_props(table(spark, d, "events"))
-
-
-def _event_props(rows):
-    return rows.select("event_id", F.explode(sources.explorer_rows(F.col("props"))).alias("e")).select("event_id", "e.key", "e.value")
+    return table(spark, d, "events").select("event_id", F.explode(sources.explorer_rows(F.col("props"))).alias("e")).select("event_id", "e.key", "e.value")
 
 
 @query("prop_columns", "SELECT DISTINCT je.key AS name FROM events, json_each(props) je")

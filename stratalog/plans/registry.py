@@ -22,13 +22,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def whole_sql(name: str, part: str, whole: str = "") -> str:
-    """The SQL of a registered query on a subset, with ``whole`` for the part that makes the subset."""
-    if ORACLES[name].count(part) != 1:
-        raise ValueError(f"{name}: {part!r} is not once in its SQL")
-    return ORACLES[name].replace(part, whole)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

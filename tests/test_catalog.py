@@ -55,10 +55,6 @@ def test_query(spark, duck, name):
     assert rows(df.columns, got) == rows(columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["asset_links", "binomial_counts", "event_props", "related_posts", "theme_terms"])
-def test_whole_tables_hold_more_than_their_subsets(spark, name):
-    assert "%" not in catalog.ORACLES[f"{name}_whole"] and "lang = 'en'" not in catalog.ORACLES[f"{name}_whole"]
-    some, all_ = (catalog.QUERIES[n](spark, SF).collect() for n in (name, f"{name}_whole"))
-    assert len(all_) > len(some)
-    if name != "binomial_counts":
-        assert set(map(repr, some)) < set(map(repr, all_))
+@pytest.mark.parametrize("name", ["coverage_anti_join", "gallery_filter", "series_violations", "snippets", "title_hits", "vector_violations"])
+def test_checked_rows_are_some(duck, name):
+    assert duck.execute(f"SELECT count(*) FROM ({catalog.ORACLES[name]})").fetchone()[0] > 1

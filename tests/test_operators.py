@@ -209,7 +209,7 @@ def test_tfidf_queries_have_the_operators_defaults(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = catalog.QUERIES["tfidf_projection"](spark, str(tmp_path)).collect()
     assert {x.doc_id for x in got} == set(range(120)) and {len(x.vector) for x in got} == {384}
-    assert catalog.QUERIES["tfidf_weights_whole"](spark, str(tmp_path)).count() == 120 * 12
+    assert catalog.QUERIES["tfidf_weights"](spark, str(tmp_path)).count() == 120 * 12
 
 
 def test_species(spark):
