@@ -179,3 +179,34 @@ def merge_terms(label: Column, text_terms: Column, visual_terms: Column, generic
     concrete = F.filter(visual_terms, lambda t: ~F.lower(t).isin(*broad)) if broad else visual_terms
     both = F.filter(F.transform(F.concat(text_terms, concrete), lambda t: F.trim(t)), lambda t: (t != "") & ~F.lower(t).isin(*generic))
     return F.slice(F.array_distinct(F.concat(F.filter(F.array(label), lambda x: x.isNotNull()), both)), 1, k)
+
+
+def category_clusters(rows: DataFrame, category: str, key: str, vector: str, pos: str) -> DataFrame:
+    """key, label: average-link clusters of each category, numbered on from the larger categories to the smaller (by name on a tie).
+
+    Inside a category labels follow the first row by ``pos`` of each cluster.
+    """
+    named = rows.select(F.col(category).alias("in_"), F.col(key).alias("key_"), F.col(pos).alias("pos_"), F.col(vector).alias("v_"))
+    local = agglomerative(named, "in_", "pos_", "v_").join(named.select("in_", "pos_", "key_"), ["in_", "pos_"])
+    first = local.groupBy("in_", "label").agg(F.min("pos_").alias("p_"), F.count("*").alias("n_"))
+    total = first.groupBy("in_").agg(F.sum("n_").alias("all_"), F.count("*").alias("k_"))
+    # a row for each category
+    begin = total.select("in_", F.coalesce(F.sum("k_").over(W.orderBy(F.desc("all_"), "in_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("begin_"))
+    numbered = first.select("in_", "label", (F.row_number().over(W.partitionBy("in_").orderBy("p_")) - 1).alias("own_")).join(begin, "in_")
+    return local.join(numbered, ["in_", "label"]).select(F.col("key_").alias(key), (F.col("begin_") + F.col("own_")).cast("int").alias("label"))
+
+
+def usable_clusters(labels: DataFrame, label: str, noise: int = -1, least: int = 8, most_share: float = 0.45) -> bool:
+    """Whether there are ``least`` clusters besides noise, and none holds more than ``most_share`` of all rows."""
+    sizes = labels.groupBy(label).agg(F.count("*").alias("n"))
+    kept = F.col(label) != noise
+    row = sizes.agg(F.count_if(kept).alias("k"), F.max(F.when(kept, F.col("n"))).alias("largest"), F.sum("n").alias("all")).first()
+    return row.k >= least and row.largest <= most_share * row["all"]
+
+
+def clusters_or_kmeans(rows: DataFrame, key: str, vector: str, labels: DataFrame, seed: int = 42) -> DataFrame:
+    """``labels`` (key, label) if they are usable, else k-means with the root of half the rows, 12 to 48 clusters."""
+    if usable_clusters(labels, "label"):
+        return labels.select(key, "label")
+    n = rows.count()
+    return kmeans(rows, key, vector, min(n, max(12, min(48, round((n / 2) ** 0.5)))), seed, 60)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from stratalog.functions.scalars import clamp
+from stratalog.operators.cluster import representatives
 from stratalog.operators.ranking import global_rank
 from stratalog.operators.sizes import small
 from stratalog.plans.query_specs import ArchiveQuery, AtlasQuery, GalleryQuery
@@ -182,6 +183,37 @@ def cluster_summary(points: DataFrame, by: str, pos: str) -> DataFrame:
     return stats.join(mode, by)
 
 
+def cluster_payload(images: DataFrame, by: str, key: str, vector: str, tags: str, post: str, k: int = 8, most: int = 4) -> DataFrame:
+    """id, sourceLabel, imageCount, postCount, generatedLabel, representativeImageIds of each cluster, numbered by size.
+
+    The label names the ``most`` commonest tags (by name on a tie), the representatives are the ``k``
+    images nearest to the centroid. Clusters of one size are numbered by label.
+    """
+    rows = images.select(by, key, vector, tags, post)
+    sizes = rows.groupBy(by).agg(F.count("*").alias("imageCount"), F.count_distinct(post).alias("postCount"))
+    rank = F.row_number().over(W.orderBy(F.desc("imageCount"), by))  # a row for each cluster
+    number = F.lpad(rank.cast("string"), 2, "0")
+    named = sizes.withColumn("id", F.concat(F.lit("image-cluster-"), F.when(rank < 100, number).otherwise(rank.cast("string"))))
+    counts = rows.select(by, F.explode(tags).alias("tag")).groupBy(by, "tag").agg(F.count("*").alias("c"))
+    place = F.row_number().over(W.partitionBy(by).orderBy(F.desc("c"), "tag"))
+    top = counts.withColumn("r", place).where(F.col("r") <= most).groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "tag"))), lambda x: x["tag"]), ", ").alias("label_"))
+    near = representatives(rows, by, key, vector, k).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", key))), lambda x: x[key]).alias("representativeImageIds"))
+    out = named.join(top, by, "left").join(near, by, "left")
+    return out.select("id", F.col(by).alias("sourceLabel"), "imageCount", "postCount", F.coalesce("label_", F.lit("beelden")).alias("generatedLabel"), "representativeImageIds")
+
+
+def shuffled(rows: DataFrame, key: str, seed: int, first=None) -> DataFrame:
+    """key, place: an order that the seed decides, with ``first`` (if it is there) in front."""
+    front = F.when(F.col(key) == F.lit(first), -1.0) if first is not None else F.lit(None).cast("double")
+    drawn = F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 12).cast("double")
+    return global_rank(rows.select(key), F.coalesce(front, drawn), [key], "place")
+
+
+def random_row(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """One row, drawn by the seed; every row is as likely as any other. Empty without rows."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(1)
+
+
 def suppress_peaks(peaks: DataFrame, by: str, distance: float, most: int) -> DataFrame:
     """Greedy non-maximum suppression per key: strongest peaks (n, x, y) first, none nearer than ``distance`` to one kept."""
 

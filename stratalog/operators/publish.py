@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stratalog.functions import text as X
 from stratalog.functions.scalars import ordered_union
@@ -151,3 +152,69 @@ def overridden(rows: DataFrame, key: str, column: str, values: dict[str, str]) -
         return rows
     swap = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
     return rows.withColumn(column, F.coalesce(F.try_element_at(swap, F.col(key)), F.col(column)))
+
+
+def post_by_slug(posts: DataFrame, slug: str) -> DataFrame:
+    """The post of a slug, the first by id if several have it; no row without one."""
+    return posts.where(F.col("slug") == slug).orderBy("id").limit(1)
+
+
+def posts_with_images(posts: DataFrame, limit: int, pos: str) -> DataFrame:
+    """The first ``limit`` posts that have an image."""
+    return posts.where(F.size("images") > 0).orderBy(pos).limit(limit)
+
+
+def questions(vocabulary: DataFrame, record: Column | None = None) -> DataFrame:
+    """tag_id, instructions: what a scorer is asked for each tag (id, question, definition); ``record``: which record alone."""
+    asked = F.concat_ws(" ", "question", "definition")
+    if record is not None:
+        asked = F.concat(F.lit('For the record with id "'), record, F.lit('", and only that record: '), asked)
+    return vocabulary.select(F.col("id").alias("tag_id"), asked.alias("instructions"))
+
+
+def question_digest(vocabulary: DataFrame) -> DataFrame:
+    """One row, digest: of the questions by tag, whatever their order, thresholds and labels. A vocabulary is a stated list."""
+    each = questions(vocabulary).select(F.struct("tag_id", F.to_json(F.struct("instructions", F.lit("noul").alias("type"))).alias("json")).alias("q"))
+    listed = F.transform(F.array_sort(F.collect_list("q")), lambda q: F.concat(F.to_json(F.array(q["tag_id"])), q["json"]))
+    return each.agg(F.sha2(F.array_join(listed, ","), 256).alias("digest"))
+
+
+def batch_payloads(units: DataFrame, vocabulary: DataFrame, batch: str, pos: str, state: str, model: str) -> DataFrame:
+    """batch, payload: one JSON request per batch with its records r0, r1.. in order, and every question about each of them.
+
+    A batch is bounded by its plan (:func:`stratalog.operators.scoring.greedy_batches`); ``state`` is a struct column.
+    """
+    place = F.row_number().over(Window.partitionBy(batch).orderBy(pos)) - 1
+    named = units.select(batch, pos, F.concat(F.lit("r"), place.cast("string")).alias("id"), F.col(state).alias("state"))
+    records = named.groupBy(batch).agg(F.transform(F.array_sort(F.collect_list(F.struct(pos, "id", F.to_json("state").alias("json")))), lambda r: F.concat(F.lit('{"id":"'), r["id"], F.lit('"'), F.when(r["json"] != "{}", F.concat(F.lit(","), F.substr(r["json"], F.lit(2)))).otherwise(F.lit("}")))).alias("records"))
+    asked = vocabulary.select(F.concat_ws(" ", "question", "definition").alias("asked"), F.col("id").alias("tag_id"))
+    listed = asked.agg(F.array_sort(F.collect_list(F.struct("tag_id", "asked"))).alias("tags"))
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    question = lambda i, t: F.concat(quoted(F.concat(F.lit("r"), i.cast("string"), F.lit("__"), t["tag_id"])), F.lit(':{"instructions":'), quoted(F.concat(F.lit('For the record with id "r'), i.cast("string"), F.lit('", and only that record: '), t["asked"])), F.lit(',"type":"noul"}'))
+    # one row, the stated vocabulary
+    both = records.crossJoin(F.broadcast(listed))
+    asks = F.flatten(F.transform(F.sequence(F.lit(0), F.size("records") - 1), lambda i: F.transform("tags", lambda t: question(i, t))))
+    return both.select(batch, F.concat(F.lit('{"model":'), quoted(F.lit(model)), F.lit(',"questions":{'), F.array_join(asks, ","), F.lit('},"state":{"records":['), F.array_join("records", ","), F.lit("]}}")).alias("payload"))
+
+
+def batch_key(batch: DataFrame, by: str, pos: str, key: str, content: str, model: str, version: str) -> DataFrame:
+    """by, batch_key: digest of model, prompt version, and the ids and content digests of each batch in order."""
+    each = batch.select(by, pos, F.array(F.col(key).cast("string"), F.sha2(F.col(content).cast("binary"), 256)).alias("image"))
+    listed = each.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct(pos, "image"))), lambda x: x["image"]).alias("images"))
+    return listed.select(by, F.sha2(F.to_json(F.struct("images", F.lit(model).alias("model"), F.lit(version).alias("version"))), 256).alias("batch_key"))
+
+
+def suggestions(topics: DataFrame) -> DataFrame:
+    """value: the lines of a reviewable override file of suggested labels (topicId, label, confidence, reason), by topic."""
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(F.coalesce(F.col(c).cast("string"), F.lit("")))), r"^\[|\]$", "")
+    lines = F.concat_ws("\n", F.concat(F.lit("  "), quoted("topicId"), F.lit(":")), *[F.concat(F.lit(f"    {c}: "), quoted(c)) for c in ("label", "confidence", "reason")])
+    return topics.orderBy("topicId").select(lines.alias("value"))
+
+
+def contact_cards(images: DataFrame, asset_base: str) -> DataFrame:
+    """id, value: an HTML card for the review of each image (id, src, description, tags, linkedText)."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#x27;"))
+    thumb = F.concat(F.lit(asset_base.rstrip("/")), F.regexp_replace(F.replace("src", F.lit("/archive-images/"), F.lit("/archive-thumbs/")), r"\.[^./]*$", ".webp"))
+    text = lambda c, none: safe(F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(none)))
+    card = F.concat(F.lit('<article><img src="'), safe(thumb), F.lit('" loading="lazy" alt=""><b>'), safe(F.col("id").cast("string")), F.lit("</b><p>"), text("description", "Nog geen beeldbeschrijving"), F.lit("</p><small>"), safe(F.array_join("tags", ", ")), F.lit("</small><aside>"), text("linkedText", "Geen tekst direct aan dit beeld gekoppeld"), F.lit("</aside></article>"))
+    return images.select("id", card.alias("value"))

@@ -86,3 +86,19 @@ def carry_over(sample: DataFrame, old: DataFrame, key: str, columns: list[str])
     for c in columns:
         out = out.withColumn(c, F.coalesce(f"{c}_old", c) if c in sample.columns else F.col(f"{c}_old"))
     return out.drop(*[f"{c}_old" for c in columns])
+
+
+def first_available(backends: dict[str, Callable[[], Provider]], wanted: str = "auto") -> tuple[str, Provider]:
+    """Name and provider of the wanted backend, or with `auto` of the first, in their order, that can be made.
+
+    A backend says that it can't by ImportError or OSError; one that is asked for by name fails with that.
+    """
+    if wanted != "auto":
+        return wanted, backends[wanted]()
+    reasons = []
+    for name, make in backends.items():
+        try:
+            return name, make()
+        except (ImportError, OSError) as error:
+            reasons.append(f"{name}: {error}")
+    raise RuntimeError("no backend: " + "; ".join(reasons))

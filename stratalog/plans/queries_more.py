@@ -217,3 +217,93 @@ def newest_reactions(spark, d):
     rows = _conversations(spark, d).select("conv_id", "turn")
     date = F.when(F.col("turn") % 3 != 0, F.date_add(F.lit("2007-01-01").cast("date"), F.col("turn").cast("int")))
     return publish.reactions_in_order(rows, "conv_id", date, [F.desc("turn")])
+
+
+def _mirror_pages(spark, d):
+    """A mirrored post page for each page, with a neighbour's post in front, and a reaction page for every third one."""
+    rows = table(spark, d, "pages").select("page_id", F.col("page_id").cast("string").alias("n"))
+    day = F.date_format(F.date_add(F.lit("2007-01-01").cast("date"), F.col("page_id").cast("int")), "dd-MM-yyyy")
+    head = lambda file, n, title: F.concat(F.lit(f"<tr><td class='post_titel'><a href='{file}?ID="), n, F.lit("'>#</a> "), title, F.lit("</td></tr>"))
+    body = lambda text, signed: F.concat(F.lit("<tr><td class=bericht_content><p>"), text, F.lit("</p><form>x</form><img src='a.jpg'><h1>"), signed, F.lit("</h1></td></tr>"))
+    cell = F.concat(F.lit("<table><tr><td class='datum'>"), day, F.lit("</td></tr>"))
+    other = F.concat(F.lit("<table>"), head("archief.php", F.concat(F.lit("9"), F.col("n")), F.lit("neighbour")), body(F.lit("y"), F.lit("")), F.lit("</table>"))
+    own = F.concat(cell, head("archief.php", F.col("n"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("Title &amp; "), F.col("n"))).otherwise("")), body(F.concat(F.lit("Text  of "), F.col("n")), F.lit("01-02-2008, 10:15 geschreven door Ann")), F.lit("<tr><td>Reageer (3)</td></tr></table>"))
+    voice = F.concat(cell, head("reageer.php", F.col("n"), F.lit("Re")), body(F.lit("a good point about apples and pears"), F.lit("03-02-2008, 11:00 geschreven door Bob Janssen")), F.lit("</table>"))
+    spam = F.concat(F.lit("<table>"), head("reageer.php", F.col("n"), F.lit("Hi")), body(F.lit("cheap nike shoes outlet"), F.lit("")), F.lit("</table>"))
+    post = rows.select(F.lit("b").alias("blog"), F.lit("post").alias("kind"), F.col("n").alias("post_id"), F.concat(other, own).alias("html"), F.concat(F.lit("p"), F.col("n")).alias("path"))
+    reaction = rows.where("page_id % 3 = 0").select(F.lit("b"), F.lit("reaction"), "n", F.concat(own, voice, spam, voice), F.concat(F.lit("r"), F.col("n")))
+    return post.where("cast(post_id as long) % 9 <> 0").union(reaction)
+
+
+@query("mirror_posts", """
+SELECT 'b-' || page_id AS slug, CASE WHEN page_id % 2 = 0 THEN 'Title & ' || page_id ELSE 'Text of ' || page_id END AS title,
+  strftime(DATE '2007-01-01' + CAST(page_id AS INTEGER), '%Y-%m-%dT10:15:00') AS "isoDate", 'Ann' AS author, CASE WHEN page_id % 3 = 0 THEN 2 ELSE 3 END AS reactions,
+  CASE WHEN page_id % 3 = 0 THEN page_id || '-1,' || page_id || '-3' ELSE '' END AS voices, 'a.jpg' AS images, CASE WHEN page_id % 9 = 0 THEN 'r' ELSE 'p' END || page_id AS path FROM pages""")
+def mirror_posts(spark, d):
+    from stratalog.sources.mirror import mirror_posts as posts
+
+    found = posts(_mirror_pages(spark, d), r"own\.invalid", "Owner")
+    voices = F.array_join(F.transform(F.coalesce("reactions", F.array()), lambda r: r["id"]), ",")
+    return found.select("slug", "title", "isoDate", "author", F.col("reactionCount").alias("n"), voices.alias("voices"), F.array_join("images", ",").alias("images"), F.col("sourcePath").alias("path")).withColumnRenamed("n", "reactions")
+
+
+@query("imported_order", """
+SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(row_number() OVER (ORDER BY CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END DESC, o_orderkey DESC) AS INTEGER) AS place FROM orders
+QUALIFY place <= 2000 OR place > (SELECT count(*) FROM orders) - 500""")
+def imported_order(spark, d):
+    from pyspark.sql.window import Window as W
+
+    from stratalog.operators.ranking import global_rank
+    from stratalog.sources.mirror import import_order
+
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderkey") % 7 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("isoDate"))
+    n = rows.count()
+    ranked = global_rank(rows, F.to_timestamp("isoDate"), import_order(rows), "place", descending=True).where((F.col("place") < 2000) | (F.col("place") >= n - 500))
+    # the rows of both ends, in the order that was asked for
+    return ranked.withColumn("part", F.col("place") < 2000).withColumn("at", F.row_number().over(W.partitionBy("part").orderBy(*import_order(rows)))).select("id", (F.col("at") + F.when(F.col("part"), 0).otherwise(F.greatest(F.lit(n - 500), F.lit(min(n, 2000))))).cast("int").alias("place"))
+
+
+@query("image_clusters", """
+WITH r AS (SELECT vec_id, label, vec_id // 3 AS post, ['t' || vec_id % 5, 'u' || vec_id % 2] AS tags, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+s AS (SELECT label, count(*) AS n, count(DISTINCT post) AS posts, row_number() OVER (ORDER BY count(*) DESC, label) AS rank FROM r GROUP BY 1),
+t AS (SELECT label, tag, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, tag) AS place FROM (SELECT label, unnest(tags) AS tag FROM r) GROUP BY 1, 2),
+g AS (SELECT label, string_agg(tag, ', ' ORDER BY place) AS named FROM t WHERE place <= 4 GROUP BY 1),
+m AS (SELECT label, list(x ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM r) GROUP BY 1, 2) GROUP BY 1),
+k AS (SELECT r.label, vec_id, row_number() OVER (PARTITION BY r.label ORDER BY round(list_cosine_similarity(v, c), 6) DESC, vec_id) AS place FROM r JOIN m ON m.label = r.label),
+p AS (SELECT label, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY place) AS reps FROM k WHERE place <= 8 GROUP BY 1)
+SELECT 'image-cluster-' || lpad(CAST(rank AS VARCHAR), 2, '0') AS id, s.label, n AS images, posts, named, reps FROM s JOIN g ON g.label = s.label JOIN p ON p.label = s.label""")
+def image_clusters(spark, d):
+    from stratalog.operators.gallery import cluster_payload
+
+    rows = table(spark, d, "embeddings").withColumns({"post": F.floor(F.col("vec_id") / 3), "tags": F.array(F.concat(F.lit("t"), (F.col("vec_id") % 5).cast("string")), F.concat(F.lit("u"), (F.col("vec_id") % 2).cast("string")))})
+    found = cluster_payload(rows, "label", "vec_id", "embedding", "tags", "post")
+    return found.select("id", F.col("sourceLabel").alias("label"), F.col("imageCount").alias("images"), F.col("postCount").alias("posts"), F.col("generatedLabel").alias("named"), F.array_join(F.col("representativeImageIds").cast("array<string>"), ",").alias("reps"))
+
+
+@query("post_lookup", "SELECT page_id, url FROM pages WHERE page_id = (SELECT max(page_id) FROM pages)")
+def post_lookup(spark, d):
+    rows = table(spark, d, "pages")
+    slug = rows.agg(F.max_by("url", "page_id")).first()[0]
+    return publish.post_by_slug(rows.select(F.col("page_id").alias("id"), F.col("url").alias("slug")), slug).select(F.col("id").alias("page_id"), F.col("slug").alias("url"))
+
+
+@query("posts_with_images", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 4 = 1 ORDER BY o_orderkey LIMIT 12")
+def posts_with_images(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 4 == 1, F.array(F.lit("x.jpg"))).otherwise(F.array().cast("array<string>")).alias("images"))
+    return publish.posts_with_images(rows, 12, "id").select("id")
+
+
+@query("dutch_numbers", """
+SELECT o_orderkey, replace(format('{:,}', CAST(floor(o_totalprice + 0.5) AS BIGINT)), ',', '.') AS price, CAST(floor(o_totalprice / 500000 * 100 + 0.5) AS BIGINT) || '%' AS share,
+  CASE WHEN o_totalprice < 999.95 THEN NULL ELSE regexp_replace(replace(printf('%.1f', floor(o_totalprice / 100 + 0.5) / 10), '.', ','), ',0$', '') || 'K' END AS short FROM orders""")
+def dutch_numbers(spark, d):
+    from stratalog.functions import numbers
+
+    price = F.col("o_totalprice")
+    return table(spark, d, "orders").select("o_orderkey", numbers.dutch_number(price).alias("price"), numbers.percent(price, F.lit(500000)).alias("share"), F.when(price >= 999.95, numbers.dutch_compact(price)).alias("short"))
+
+
+@query("category_clusters")
+def category_clusters(spark, d):
+    rows = table(spark, d, "embeddings").select("label", "vec_id", F.col("vec_id").alias("pos"), "embedding")
+    return cluster.category_clusters(rows, "label", "vec_id", "embedding", "pos").withColumnRenamed("label", "cluster")

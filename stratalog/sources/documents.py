@@ -160,22 +160,54 @@ class _Sanitizer(HTMLParser):
         self.handle_data(f"&#{name};")
 
 
-def _sanitize(markup: pd.Series) -> pd.Series:
-    def one(x):
-        if x is None:
-            return None
-        p = _Sanitizer()
-        p.feed(x)
-        p.close()
-        return "".join(p.out).strip()
+def sanitize_markup(markup: str | None) -> str | None:
+    if markup is None:
+        return None
+    p = _Sanitizer()
+    p.feed(markup)
+    p.close()
+    return "".join(p.out).strip()
 
-    return markup.map(one)
+
+def _sanitize(markup: pd.Series) -> pd.Series:
+    return markup.map(sanitize_markup)
 
 
 #: HTML of whitelisted elements and attributes; forms and scripts go with their content, other elements are unwrapped.
 sanitize_html = F.pandas_udf(_sanitize, StringType())
 
 
+def candidates_from_yaml(text: str) -> list[dict]:
+    """Items of a small candidate file: a list of mappings, on its own or under `candidates:`.
+
+    Scalars, quotes, comments, one-line lists and lists of `- ` lines are understood; deeper nesting is not.
+    """
+    plain = lambda v: v.strip().strip("\"'")
+    out: list[dict] = []
+    key = None
+    for raw in text.splitlines():
+        line = raw.split(" #")[0].rstrip()
+        body = line.strip()
+        if not body or body.startswith("#") or body == "candidates:":
+            continue
+        item = body.startswith("- ")
+        name, colon, value = (body[2:] if item else body).partition(":")
+        if item and not colon:
+            if out and key:
+                out[-1][key] = [*(out[-1][key] or []), plain(name)]
+            continue
+        if item:
+            out.append({})
+        if not out or not colon:
+            continue
+        key, value = plain(name), value.strip()
+        if value.startswith("[") and value.endswith("]"):
+            out[-1][key] = [plain(v) for v in value[1:-1].split(",") if v.strip()]
+        else:
+            out[-1][key] = plain(value) or None
+    return out
+
+
 def explorer_rows(text: Column) -> Column:
     """Key and value rows of a JSON object as (key, value) entries."""
     return F.map_entries(F.from_json(text, "map<string,string>"))
