@@ -18,12 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalog.llm import vectext as V
 from stratalog.llm.common import documents
 from stratalog.llm.tokens import encoder, slices
 from stratalog.session import ship
 
 CAPACITY = 4096
 BLOCK_BYTES = 4 << 20
+#: A task holds a whole block and its windows, so the encoder gets smaller slices and remembers fewer words than elsewhere.
+SLICE_BYTES, WORDS = 2 << 20, 400_000
 
 
 def difference(sizes: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,9 +84,10 @@ def _pack(tokenizer: str, by_word: bool, end_id: int, capacity: int, piece: int,
         block, doc_ids, text = key[0].as_py(), table.column("doc_id").combine_chunks(), table.column("text").combine_chunks()
         if isinstance(text, pa.ChunkedArray):
             text = pa.concat_arrays(text.chunks)
-        tool = encoder(tokenizer, by_word)
-        parts = [tool.encode(texts, end_id) for _, texts in slices(text)]
-        ids, n = np.concatenate([x for x, _ in parts]).astype("<u4"), np.concatenate([x for _, x in parts])
+        tool = encoder(tokenizer, by_word, WORDS)
+        parts = [tool.encode(texts, end_id) for _, texts in slices(text, SLICE_BYTES)]
+        ids, n = np.concatenate([x for x, _ in parts]).astype("<u4", copy=False), np.concatenate([x for _, x in parts])
+        del parts, text, table
         base = np.cumsum(n) - n
         whole, rest = n // capacity, n % capacity
         # pieces: whole windows, then what is left in parts of at most `piece`
@@ -108,7 +112,8 @@ def _pack(tokenizer: str, by_word: bool, end_id: int, capacity: int, piece: int,
         at = base[doc] + start
         crc = [zlib.crc32(memoryview(ids[a : a + c])) for a, c in zip(at, length, strict=True)]
         if with_tokens:
-            tokens = pa.array([ids[a : a + c].astype(np.int32) for a, c in zip(at, length, strict=True)], pa.list_(pa.int32()))
+            begin = np.cumsum(length) - length
+            tokens = V.arrow_list(ids[np.arange(int(length.sum())) + np.repeat(at - begin, length)].view(np.int32), length, pa.int32())
         else:
             tokens = pa.nulls(len(doc), pa.list_(pa.int32()))
         return pa.table([doc_ids.take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(n[doc]), pa.array(sequence), pa.array(offset), tokens], names=[x.split()[0] for x in _PIECE.split(", ")])

@@ -37,10 +37,11 @@ class Encoder:
 
     ``by_word``: the tokenizer drops white space and joins nothing across it, so a text's ids are
     its words' ids in order; every word is then encoded once and remembered. Beyond
-    ``CACHED_WORDS`` words those seen once only are forgotten, or all if that is not enough.
+    ``most`` words those seen once only are forgotten, or all if that is not enough.
     """
 
-    def __init__(self, path: str, by_word: bool = True):
+    def __init__(self, path: str, by_word: bool = True, most: int = CACHED_WORDS):
+        self.most = most
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -60,7 +61,7 @@ class Encoder:
 
     def _thin(self) -> None:
         kept = np.flatnonzero(self.seen[: self.n_words] > 1)
-        if len(kept) > CACHED_WORDS * 3 // 4:
+        if len(kept) > self.most * 3 // 4:
             return self._forget()
         names = list(self.words)
         first = self.starts[kept]
@@ -103,7 +104,7 @@ class Encoder:
             texts = pc.ascii_lower(texts)
         if self.parts:
             texts = pc.replace_substring_regex(texts, r"(\pL)([.,])([ \n]|$)", r"\1 \2\3")
-        if len(self.words) > CACHED_WORDS:
+        if len(self.words) > self.most:
             self._thin()
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         per_text = pc.list_value_length(split).to_numpy()
@@ -136,17 +137,18 @@ class Encoder:
 _encoders = V.kept()
 
 
-def encoder(path: str, by_word: bool = True) -> Encoder:
+def encoder(path: str, by_word: bool = True, most: int = CACHED_WORDS) -> Encoder:
     """This worker's encoder for a file; a bare name is one of the public tokenizers' files."""
     V.release(_encoders)
-    if (path, by_word) not in _encoders:
+    if (path, by_word, most) not in _encoders:
+        _encoders.clear()
         found = path
         if os.sep not in path:
             import public_tokenizers
 
             found = public_tokenizers.path(path)
-        _encoders[path, by_word] = Encoder(found, by_word)
-    return _encoders[path, by_word]
+        _encoders[path, by_word, most] = Encoder(found, by_word, most)
+    return _encoders[path, by_word, most]
 
 
 def slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
