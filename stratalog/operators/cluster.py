@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from stratalog.operators.sizes import small
 from stratalog.operators.vectors import dot, mean_vectors, normalized
 
 
@@ -109,9 +110,9 @@ def merge_tiny(rows: DataFrame, key: str, label: str, vector: str, least: int) -
     sizes = rows.groupBy(label).agg(F.count("*").alias("n"))
     centers = mean_vectors(rows, [label], vector).join(sizes, label)
     large = centers.where(F.col("n") >= least).select(F.col(label).alias("to_"), F.col("centroid").alias("lc"))
-    pairs = centers.where(F.col("n") < least).crossJoin(F.broadcast(large)).select(label, "to_", dot(normalized("centroid"), normalized("lc")).alias("sim"))
+    pairs = centers.where(F.col("n") < least).crossJoin(small(large)).select(label, "to_", dot(normalized("centroid"), normalized("lc")).alias("sim"))
     moved = pairs.groupBy(label).agg(F.max_by("to_", F.struct(F.round("sim", 9), (-F.col("to_")).alias("t"))).alias("to_"))
-    return rows.select(key, label).join(F.broadcast(moved), label, "left").select(key, F.coalesce("to_", label).alias(label))
+    return rows.select(key, label).join(small(moved), label, "left").select(key, F.coalesce("to_", label).alias(label))
 
 
 def stable_topics(labels: DataFrame, label: str, noise: int = -1) -> DataFrame:
@@ -159,7 +160,7 @@ def voted_terms(terms: DataFrame, key: str, k: int = 4) -> DataFrame:
 def representatives(rows: DataFrame, by: str, key: str, vector: str, k: int = 8) -> DataFrame:
     """The ``k`` rows of each group nearest to its centroid."""
     centers = mean_vectors(rows.select(by, F.transform(vector, lambda x: x.cast("double")).alias("v")), [by], "v")
-    near = rows.join(F.broadcast(centers), by).select(by, key, F.round(dot(normalized(F.col(vector)), normalized(F.col("centroid"))), 6).alias("sim"))
+    near = rows.join(small(centers), by).select(by, key, F.round(dot(normalized(F.col(vector)), normalized(F.col("centroid"))), 6).alias("sim"))
     return near.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(F.desc("sim"), key))).where(F.col("rank") <= k)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -48,22 +48,37 @@ def pending(units: DataFrame, cache: DataFrame) -> DataFrame:
     return units.join(cache.select("unit_id", "payload_hash"), ["unit_id", "payload_hash"], "left_anti")
 
 
+def _batched(rows: Iterable, most_rows: int, most_size: int) -> Iterator[list]:
+    """Rows in lists that end before one would pass either limit; a payload over the limit alone is an error."""
+    now, size = [], 0
+    for row in rows:
+        if len(row.payload) > most_size:
+            raise ValueError("a unit is over the size limit")
+        if now and (len(now) == most_rows or size + len(row.payload) > most_size):
+            yield now
+            now, size = [], 0
+        now.append(row)
+        size += len(row.payload)
+    if now:
+        yield now
+
+
 def score_units(units: DataFrame, cache: DataFrame, provider: Callable[[], Provider], batch_rows: int, most_size: int, ceiling: float, spent: float = 0.0) -> tuple[DataFrame, DataFrame, float]:
     """New cache rows (unit_id, payload_hash, tag_id, score), ledger rows (batch_hash, cost), and what was spent in all.
 
-    units: unit_id, pos, payload. Only pending units are sent, in planned batches, one request after
-    another as every request costs; it stops before a batch once ``ceiling`` is reached. What a run
-    sends is bounded by the ceiling, so batches pass through the driver.
+    units: unit_id, pos, payload. Only pending units are sent, in order of ``pos`` and in batches as of
+    :func:`greedy_batches`, one request after another as every request costs; it stops before a batch
+    once ``ceiling`` is reached. Units come to the driver a sorted partition at a time, as far as
+    the ceiling lets it go.
     """
     spark = units.sparkSession
     hashed = units.withColumn("payload_hash", F.sha2("payload", 256))
-    planned = greedy_batches(pending(hashed, cache).withColumn("all_", F.lit(0)).withColumn("size_", F.char_length("payload")), "all_", "pos", "size_", batch_rows, most_size)
+    ordered = pending(hashed, cache).select("unit_id", "payload_hash", "payload").orderBy("pos").toLocalIterator()
     scores, ledger = [], []
     tool = provider()
-    for (batch,) in planned.select("batch").distinct().orderBy("batch").toLocalIterator():
+    for rows in _batched(ordered, batch_rows, most_size):
         if spent >= ceiling:
             break
-        rows = planned.where(F.col("batch") == batch).orderBy("pos").collect()
         answers, cost = tool.score([r.payload for r in rows])
         if len(answers) != len(rows) or not cost >= 0:
             raise ValueError("an answer does not fit its request")

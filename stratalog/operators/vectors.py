@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from stratalog.operators.sizes import small
+
 BLOCK_ROWS = 4096
 
 
@@ -36,53 +38,71 @@ def invalid_vectors(rows: DataFrame, vector: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(size)).where(odd).drop("size_")
 
 
+def _best(ids: np.ndarray, matrix: np.ndarray, other: np.ndarray, v: np.ndarray, k: int) -> list[pa.Array]:
+    """key, neighbour, sim: of each query (ids, unit rows) the ``k`` nearest of the rows ``other``, ``v``."""
+    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    order = np.argsort(other, kind="stable")
+    sim = np.round(matrix @ v[order].T, 9)
+    sim[ids[:, None] == other[order][None, :]] = -2
+    top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+    pick = np.take_along_axis(sim, top, 1)
+    keep = (pick > -2).ravel()
+    return [pa.array(np.repeat(ids, top.shape[1])[keep]), pa.array(other[order][top].ravel()[keep]), pa.array(pick.ravel()[keep])]
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+
+_NEAR = "key long, neighbour long, sim double"
+
+
 def neighbours(rows: DataFrame, key: str, vector: str, k: int = 5, queries: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact cosine neighbours: key, neighbour, sim, rank; ties by the neighbour's key, a row is no neighbour of itself.
 
-    Queries (all rows unless given) are taken in blocks of ``block_rows``; each block is broadcast to
-    one pass over all rows, whose tasks multiply matrices and keep k rows per query.
+    Up to ``block_rows`` queries (all rows unless given) are broadcast to one pass over all rows. More
+    are dealt into blocks, as the rows are, and each block of queries meets each block of rows in a task
+    of its own, by shuffle. Either way tasks multiply matrices and keep k rows per query.
     """
     spark = rows.sparkSession
     clean = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k_"), F.col(vector).cast("array<double>").alias("v_"))
     asked = clean if queries is None else queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k_"), F.col(vector).cast("array<double>").alias("v_"))
-    blocks = max(1, -(-asked.count() // block_rows))
-    dealt = asked.withColumn("b_", F.pmod(F.xxhash64("k_"), F.lit(blocks)))
-    out = None
-    for b in range(blocks):
-        block = dealt.where(F.col("b_") == b).orderBy("k_").collect() if blocks > 1 else asked.orderBy("k_").collect()
-        if not block:
-            continue
-        ids, matrix = np.array([r.k_ for r in block]), np.array([r.v_ for r in block])
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        sent = spark.sparkContext.broadcast((ids, matrix))
-
-        def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, matrix = sent.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                other = batch.column(0).to_numpy()
-                v = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                order = np.argsort(other, kind="stable")
-                sim = np.round(matrix @ v[order].T, 9)
-                sim[ids[:, None] == other[order][None, :]] = -2
-                top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-                pick = np.take_along_axis(sim, top, 1)
-                keep = pick > -2
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, top.shape[1])[keep.ravel()]), pa.array(other[order][top].ravel()[keep.ravel()]), pa.array(pick.ravel()[keep.ravel()])], names=["key", "neighbour", "sim"])
-
-        part = clean.mapInArrow(best, T.StructType([T.StructField("key", T.LongType()), T.StructField("neighbour", T.LongType()), T.StructField("sim", T.DoubleType())]))
-        out = part if out is None else out.union(part)
-    if out is None:
+    n_asked = asked.count()
+    if not n_asked:
         return spark.createDataFrame([], "key long, neighbour long, sim double, rank int")
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    if n_asked <= block_rows:
+        block = asked.orderBy("k_").collect()
+        sent = spark.sparkContext.broadcast((np.array([r.k_ for r in block]), unit(np.array([r.v_ for r in block]))))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays(_best(*sent.value, batch.column(0).to_numpy(), _matrix(batch.column(1), batch.num_rows), k), names=["key", "neighbour", "sim"])
+
+        out = clean.mapInArrow(scan, _NEAR)
+    else:
+
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not (left.num_rows and right.num_rows):
+                return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["key", "neighbour", "sim"])
+            found = _best(left.column("k_").to_numpy(), unit(_matrix(left.column("v_"), left.num_rows)), right.column("k_").to_numpy(), _matrix(right.column("v_"), right.num_rows), k)
+            return pa.table(found, names=["key", "neighbour", "sim"])
+
+        across, down = -(-clean.count() // block_rows), -(-n_asked // block_rows)
+        of = lambda n: F.pmod(F.xxhash64("k_"), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = asked.select("k_", "v_", of(down).alias("i"), every(across).alias("j"))
+        right = clean.select("k_", "v_", every(down).alias("i"), of(across).alias("j"))
+        out = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, _NEAR)
     rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("sim"), "neighbour"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def labels_by_vector(rows: DataFrame, key: str, vector: str, labels: DataFrame, k: int = 3) -> DataFrame:
     """The ``k`` nearest of a small label table (label, lv) for every row."""
-    sims = rows.select(key, F.col(vector)).crossJoin(F.broadcast(labels)).select(key, "label", F.round(dot(normalized(F.col(vector)), normalized(F.col("lv"))), 6).alias("sim"))
+    sims = rows.select(key, F.col(vector)).crossJoin(small(labels)).select(key, "label", F.round(dot(normalized(F.col(vector)), normalized(F.col("lv"))), 6).alias("sim"))
     return sims.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("sim"), "label"))).where(F.col("rank") <= k)
 
 
