@@ -61,8 +61,8 @@ def merged(hits: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def binomials(texts: DataFrame, text: str, least: int, stop: tuple[str, ...] = ()) -> DataFrame:
-    """Latin binomials by frequency, texts with shop words left out."""
-    found = texts.where(~field_spam(F.col(text))).select(F.explode(F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z]{2,}\s+[a-z][a-z-]{2,})\b"), F.lit(1))).alias("label"))
+    """Latin binomials by frequency, texts with shop words left out; letters with accents are parts of words too."""
+    found = texts.where(~field_spam(F.col(text))).select(F.explode(F.regexp_extract_all(text, F.lit(rf"(?<!{_EDGE})([A-Z][a-z]{{2,}}\s+[a-z][a-z-]{{2,}})(?:(?<={_EDGE})(?!{_EDGE})|(?<!{_EDGE})(?={_EDGE}))"), F.lit(1))).alias("label"))
     if stop:
         found = found.where(~F.split("label", r"\s+")[0].isin(*stop))
     return found.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= least)

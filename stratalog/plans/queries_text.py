@@ -202,7 +202,7 @@ def species_tags(spark, d):
 
 
 @query("binomial_counts", r"""
-SELECT label, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\b([A-Z][a-z]{2,}\s+[a-z][a-z-]{2,})\b', 1)) AS label FROM documents
+SELECT label, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '0', 'g'), '\b([A-Z][a-z]{2,}\s+[a-z][a-z-]{2,})\b', 1)) AS label FROM documents
   WHERE NOT regexp_matches(text, '(?i)\b(outlet|shoes|nike|jordan|kors|coach|sunglasses|replica|cheap|wholesale)\b')) GROUP BY 1 HAVING count(*) >= 5""")
 def binomial_counts(spark, d):
     return species.binomials(table(spark, d, "documents"), "text", 5)
@@ -210,7 +210,7 @@ def binomial_counts(spark, d):
 
 @query("theme_terms", """
 SELECT doc_id, CASE WHEN lic AND lang THEN 'law,tongue' WHEN lic THEN 'law' WHEN lang THEN 'tongue' ELSE 'tuin' END AS tags FROM (
-  SELECT doc_id, regexp_matches(text, '(?i)(^|[^a-z])(license|copyright)([^a-z]|$)') AS lic, regexp_matches(text, '(?i)(^|[^a-z])(des)([^a-z]|$)') AS lang FROM documents)""")
+  SELECT doc_id, regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}_])(license|copyright)([^\\p{L}\\p{N}_]|$)') AS lic, regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}_])(des)([^\\p{L}\\p{N}_]|$)') AS lang FROM documents)""")
 def theme_terms(spark, d):
     found = tags.theme_tags(F.col("text"), [("law", ["license", "copyright"]), ("tongue", ["des"])], F.array().cast("array<string>"), "tuin")
     return table(spark, d, "documents").select("doc_id", F.array_join(found, ",").alias("tags"))
