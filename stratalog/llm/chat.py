@@ -79,6 +79,9 @@ def call_levels(calls: DataFrame) -> DataFrame:
             for piece in found[:-1]:
                 discard(piece)
             found = [whole]
+        if calls_.where("open > 0").isEmpty():
+            used = [*used, merged, calls_]
+            break
         single = _composed(calls_.where("open = 1").select(*key, "begin", "a", "b", "missing"))
         several = merged.join(calls_.where("open > 1").select(*key), key, "left_semi")
         edges = materialize(single.union(_onward(several, single)), "edges")
