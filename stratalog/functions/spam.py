@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from stratalog.functions.text import squeeze, strip_tags
 
-# Patterns of shop, gambling, support, file and loan spam, of spam authors, praise and promotion.
+# Fixed values, all down to FIELD_SPAM: patterns of shop, gambling, support, file and loan spam, of spam
+# authors, praise, promotion and filler words, the endings of bare domains, suspicious characters, shop words.
 KEYWORDS = (
     r"\b(?:nike|adidas|yeezy|jordan|air\s*force|air\s*max|pandora|moncler|louboutin|jerseys?|wholesale|outlet|cheap\s+(?:shoes|jerseys|jordans)|kors|coach\s+(?:outlet|factory)|oakley|ralph\s+lauren|canada\s+goose|ray\s*ban|hermes\s+belts?)\b",
     r"\b(?:casino|slot\s*online|joker123|judi|poker\d*|idn\s*poker|ceme\s+online|togel|data\s+(?:hk|sgp|sdy)|agen\s+poker)\b",
