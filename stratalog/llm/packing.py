@@ -25,8 +25,8 @@ from stratalog.session import ship
 
 CAPACITY = 4096
 BLOCK_BYTES = 4 << 20
-#: A task holds a whole block and its windows, so the encoder gets smaller slices and remembers fewer words than elsewhere.
-SLICE_BYTES, WORDS = 2 << 20, 400_000
+#: Text that is encoded at once, and words that a worker remembers: less of both takes less memory and more time.
+SLICE_BYTES, WORDS = 4 << 20, 800_000
 
 
 def difference(sizes: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,13 +79,13 @@ def windows(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tokens array<int>"
 
 
-def _pack(tokenizer: str, by_word: bool, end_id: int, capacity: int, piece: int, with_tokens: bool):
+def _pack(tokenizer: str, by_word: bool, end_id: int, capacity: int, piece: int, with_tokens: bool, slice_bytes: int, words: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         block, doc_ids, text = key[0].as_py(), table.column("doc_id").combine_chunks(), table.column("text").combine_chunks()
         if isinstance(text, pa.ChunkedArray):
             text = pa.concat_arrays(text.chunks)
-        tool = encoder(tokenizer, by_word, WORDS)
-        parts = [tool.encode(texts, end_id) for _, texts in slices(text, SLICE_BYTES)]
+        tool = encoder(tokenizer, by_word, words)
+        parts = [tool.encode(texts, end_id) for _, texts in slices(text, slice_bytes)]
         ids, n = np.concatenate([x for x, _ in parts]).astype("<u4", copy=False), np.concatenate([x for _, x in parts])
         del parts, text, table
         base = np.cumsum(n) - n
@@ -121,14 +121,14 @@ def _pack(tokenizer: str, by_word: bool, end_id: int, capacity: int, piece: int,
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, capacity: int = CAPACITY, piece: int = CAPACITY, by_word: bool = True, block_bytes: int = BLOCK_BYTES, with_tokens: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, capacity: int = CAPACITY, piece: int = CAPACITY, by_word: bool = True, block_bytes: int = BLOCK_BYTES, with_tokens: bool = True, slice_bytes: int = SLICE_BYTES, words: int = WORDS) -> DataFrame:
     """Pack all ``docs`` (doc_id, text) into windows of at most ``capacity`` ids; one row per piece.
 
     Returns doc_id, start (ids of the document before the piece), length, ids_crc32, doc_tokens,
     sequence_id (unique; block number * 2**32 + window), offset in the window (gapless from 0), and
     the piece's tokens (null without ``with_tokens``). Each document is its ids and ``end_id``; null
     and empty texts are that id alone. What is over whole windows is cut into parts of at most
-    ``piece`` ids. Repeated rows are packed as often as they are given; other columns are not read.
+    ``piece`` ids. ``slice_bytes`` and ``words`` bound a worker's memory and change no result. Repeated rows are packed as often as they are given; other columns are not read.
     Empty input: empty result.
     """
     ship(docs.sparkSession)
@@ -136,7 +136,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)))
-    return dealt.groupBy("block").applyInArrow(_pack(tokenizer, by_word, end_id, capacity, piece, with_tokens), _PIECE)
+    return dealt.groupBy("block").applyInArrow(_pack(tokenizer, by_word, end_id, capacity, piece, with_tokens, slice_bytes, words), _PIECE)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
