@@ -76,7 +76,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of at most 4096 token ids; one row per piece, with its ids."""
     ship(spark)
-    return pack(docs)
+    # the executors' memory is well used by the stages before
+    return pack(docs, slice_bytes=2 << 20, words=400_000)
 
 
 STAGES = [
