@@ -23,16 +23,28 @@ CARRIED = ("doc_id", "lang", "source", "n_chars")
 MIN_LANGUAGE_SHARE = 0.2
 
 
+#: Rows of an Arrow batch at most; documents are long, and executors hold batches besides their heap.
+BATCH_ROWS = 2_000
+
+
+def _prepared(spark: SparkSession) -> None:
+    """Sources on the executors, and Arrow batches of the session of at most ``BATCH_ROWS`` rows."""
+    ship(spark)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+        spark.conf.set(setting, BATCH_ROWS)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter (null and empty texts too) and those without a main language."""
-    ship(spark)
+    _prepared(spark)
     found = identify(docs, train_on(docs), carry=CARRIED, with_spans=False)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SHARE)).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the lines that at least 10 documents have; every document stays."""
-    ship(spark)
+    _prepared(spark)
     kept = drop_common_lines(docs, min_docs=10, min_chars=1, carry=("doc_id", "lang", "source"))
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
@@ -43,7 +55,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     It is decided for each row: a row without a doc_id, or with one that other rows have too, is known
     by its id and text, and stands behind rows with an id of their own. Of rows alike one stays.
     """
-    ship(spark)
+    _prepared(spark)
     keyed = _with_row_key(docs)
     marks = materialize(near_duplicates(keyed.select(F.col("key_").alias("doc_id"), "text"), words=5, percent=80).select(F.col("doc_id").alias("key_"), "kept"), "marks")
     gone = materialize(marks.where("not kept").select("key_").distinct(), "gone")
@@ -68,14 +80,14 @@ def _with_row_key(docs: DataFrame) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, copied or edited, go."""
-    ship(spark)
+    _prepared(spark)
     found = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=CARRIED)
     return found.where(F.size("hits") == 0).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of at most 4096 token ids; one row per piece, with its ids."""
-    ship(spark)
+    _prepared(spark)
     # the executors' memory is well used by the stages before
     return pack(docs, slice_bytes=2 << 20, words=400_000)
 
