@@ -28,6 +28,8 @@ from stratalog.llm.common import documents, new_path, shuffle_width
 from stratalog.session import ship
 
 CACHED_WORDS = 550_000
+#: Words that the tokenizer is given as one text.
+WORDS_AT_ONCE = 32
 #: Bytes of text of a file of a token store.
 FILE_BYTES = 128 << 20
 
@@ -53,6 +55,14 @@ class Encoder:
         #: It also parts words from a stop or comma behind them, so these may be words of their own.
         self.parts = all(self.tokenizer.encode("est" + x, add_special_tokens=False).ids == self.tokenizer.encode("est " + x, add_special_tokens=False).ids for x in ".,")
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        #: A special token that can stand between words, spaced, and its id.
+        self.mark = None
+        for id_, x in self.tokenizer.get_added_tokens_decoder().items():
+            parted = self.tokenizer.encode(f"est {x.content} est {x.content} ", add_special_tokens=False).ids
+            word = self.tokenizer.encode("est", add_special_tokens=False).ids
+            if x.special and parted == [*word, id_, *word, id_]:
+                self.mark = (f" {x.content} ", id_)
+                break
         self._forget()
 
     def _forget(self) -> None:
@@ -77,16 +87,28 @@ class Encoder:
         while self.n_pool + more > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(1 << 20, np.uint32)])
 
+    def _apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words in order, and how many each has; several words a call with a special token between them, if there is one."""
+        plain = "".join(words).lower() if self.mark else ""
+        if not self.mark or any(x.lower() in plain for x in self.special):
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum())), n
+        mark, id_ = self.mark
+        texts = [mark.join([*words[k : k + WORDS_AT_ONCE], ""]) for k in range(0, len(words), WORDS_AT_ONCE)]
+        ids = np.concatenate([np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] or [np.zeros(0, np.uint32)])
+        own = ids != id_
+        return ids[own], np.diff(np.flatnonzero(~own), prepend=-1) - 1
+
     def _learn(self, new: list[str]) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(n.sum())
+        ids, n = self._apart(new)
+        total = len(ids)
         self._room(total)
-        while self.n_words + len(new) + 1 > len(self.starts):
+        while self.n_words + len(new) + 2 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
         while self.n_words + len(new) > len(self.seen):
             self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
-        self.pool[self.n_pool : self.n_pool + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.pool[self.n_pool : self.n_pool + total] = ids
         self.starts[self.n_words + 1 : self.n_words + 1 + len(new)] = self.n_pool + np.cumsum(n)
         self.n_pool += total
         self.n_words += len(new)
@@ -118,20 +140,20 @@ class Encoder:
             self._learn(names)
         at = known[coded.indices.to_numpy()]
         self.seen[: self.n_words] += np.bincount(at, minlength=self.n_words).astype(np.int32)
-        first, last = self.starts[at], self.starts[at + 1]
         if end_id is not None:
-            # the end id stands in the pool behind all words
+            # the end id stands in the pool behind all words, as a word of its own
             self._room(1)
             self.pool[self.n_pool] = end_id
-            place = np.cumsum(per_text)
-            first, last = np.insert(first, place, self.n_pool), np.insert(last, place, self.n_pool + 1)
+            self.starts[self.n_words + 1] = self.n_pool + 1
+            at = np.insert(at, np.cumsum(per_text), self.n_words)
             per_text = per_text + 1
-        n = last - first
-        end = np.cumsum(n)
-        ids = self.pool[np.arange(int(end[-1]) if len(end) else 0, dtype=np.int32) + np.repeat((first - (end - n)).astype(np.int32), n)]
-        before = np.concatenate([[0], end])
+        # a word's ids are its bytes, so that Arrow gathers them run by run
+        offsets = (4 * self.starts[: self.n_words + 2]).astype(np.int32)
+        pool = pa.Array.from_buffers(pa.binary(), self.n_words + 1, [None, pa.py_buffer(offsets), pa.py_buffer(self.pool)])
+        _, ends, ids = pool.take(pa.array(at)).buffers()
+        before = np.frombuffer(ends, np.int32, len(at) + 1) // 4
         edge = np.concatenate([[0], np.cumsum(per_text, dtype=np.int64)])
-        return ids, np.diff(before[edge])
+        return np.frombuffer(ids, np.uint32, int(before[-1])) if ids else np.zeros(0, np.uint32), np.diff(before[edge].astype(np.int64))
 
 
 _encoders = V.kept()
